@@ -100,18 +100,18 @@ def ranked_in_class(df: DataFrame, cls: Column, row_id: str, seed: str, orders:
     of all rows is still spread over 16^digits tasks.
     """
     h = seeded_hash(seed, row_id)
-    keyed = df.withColumn("_cls", cls).withColumn("_h", h).withColumn("_p", F.substring(F.col("_h"), 1, digits))
+    keyed = df.withColumn("_rc", cls).withColumn("_rh", h).withColumn("_rp", F.substring(F.col("_rh"), 1, digits))
     width = (32 - MAX_PREFIX) // orders
     ranks = []
     for i in range(orders):
-        piece = F.substring("_h", 1 + MAX_PREFIX + i * width, width)
-        rn = F.row_number().over(W.partitionBy("_cls", "_p").orderBy(piece, F.col(row_id)))
+        piece = F.substring("_rh", 1 + MAX_PREFIX + i * width, width)
+        rn = F.row_number().over(W.partitionBy("_rc", "_rp").orderBy(piece, F.col(row_id)))
         ranks.append((rn - 1).cast("bigint").alias(f"rank_{i}"))
-    out = keyed.select(*[F.col(c) for c in df.columns], "_cls", "_p", *ranks)
-    if digits:
-        sizes = keyed.groupBy("_cls", "_p").agg(F.count("*").alias("_n"))
-        offsets = sizes.select("_cls", "_p", (F.sum("_n").over(W.partitionBy("_cls").orderBy("_p")) - F.col("_n")).alias("_o"))
-        out = out.join(offsets, (out["_cls"].eqNullSafe(offsets["_cls"])) & (out["_p"] == offsets["_p"])).select(
-            *[out[c] for c in df.columns], *[(out[f"rank_{i}"] + offsets["_o"]).alias(f"rank_{i}") for i in range(orders)])
-        return out
-    return out.drop("_cls", "_p")
+    out = keyed.select(*[F.col(c) for c in df.columns], "_rc", "_rp", *ranks)
+    if not digits:
+        return out.drop("_rc", "_rp")
+    sizes = keyed.groupBy("_rc", "_rp").agg(F.count("*").alias("_n"))
+    offsets = sizes.select("_rc", "_rp", (F.sum("_n").over(W.partitionBy("_rc").orderBy("_rp")) - F.col("_n")).alias("_o"))
+    at = out["_rc"].eqNullSafe(offsets["_rc"]) & (out["_rp"] == offsets["_rp"])
+    return out.join(offsets, at).select(
+        *[out[c] for c in df.columns], *[(out[f"rank_{i}"] + offsets["_o"]).alias(f"rank_{i}") for i in range(orders)])

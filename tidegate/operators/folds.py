@@ -28,9 +28,16 @@ def holdout_split(df: DataFrame, y: Column, row_id: str, seed: str, test_size: f
     """Add ``is_test``: round(test_size * class rows) of every class."""
     digits = prefix_digits(df.count())
     ranked = ranked_in_class(df.withColumn("_y", y), F.col("_y"), row_id, seed, 1, digits)
-    sizes = {r["_y"]: r["n"] for r in df.groupBy(y.alias("_y")).agg(F.count("*").alias("n")).collect()}   # one row per class
-    quota = F.create_map(*[F.lit(x) for k, n in sizes.items() for x in (k, round(test_size * n))])
-    return ranked.select(*df.columns, (F.col("rank_0") < quota[F.col("_y")]).alias("is_test"))
+    quota = class_quota(df.withColumn("_y", y), "_y", test_size)
+    return ranked.select(*df.columns, (F.col("rank_0") < quota).alias("is_test"))
+
+
+def class_quota(df: DataFrame, cls: str, share: float) -> Column:
+    """round(share * class size) of the row's class; collects one row per class."""
+    quota = F.lit(0)
+    for r in df.groupBy(cls).agg(F.count("*").alias("n")).collect():
+        quota = F.when(F.col(cls).eqNullSafe(F.lit(r[cls])), round(share * r["n"])).otherwise(quota)
+    return quota
 
 
 def group_key(columns: list[str]) -> Column:
@@ -47,9 +54,7 @@ def grouped_split(df: DataFrame, features: list[str], label: str, row_id: str, s
     groups = keyed.groupBy("_g").agg(F.min_by(F.col(label).cast("string"), row_id).alias("_cls"))
     digits = prefix_digits(df.count())
     ranked = ranked_in_class(groups, F.col("_cls"), "_g", seed, 1, digits)
-    sizes = {r["_cls"]: r["n"] for r in groups.groupBy("_cls").agg(F.count("*").alias("n")).collect()}   # one row per class
-    quota = F.create_map(*[F.lit(x) for k, n in sizes.items() for x in (k, round(frac * n))])
-    picked = ranked.select("_g", (F.col("rank_0") < quota[F.col("_cls")]).alias("is_pilot"))
+    picked = ranked.select("_g", (F.col("rank_0") < class_quota(groups, "_cls", frac)).alias("is_pilot"))
     return keyed.join(picked, "_g").drop("_g")
 
 

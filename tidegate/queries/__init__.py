@@ -1,7 +1,7 @@
 """Registered queries, grouped by what they show."""
 from importlib import import_module
 
-MODULES = ("ingest", "profiling", "detection", "damage", "repairing", "evaluation")
+MODULES = ("ingest", "profiling", "detection", "damage", "repairing", "evaluation", "gating")
 
 
 def load_all() -> None:

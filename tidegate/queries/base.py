@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tidegate.functions.hashing import hash_unit
 from tidegate.operators.inject import DefectSpec, inject
+from tidegate.queries.registry import held
 from tidegate.sources.tables import table
 
 SEED = "7"
@@ -68,7 +69,8 @@ EVENT_COLS = ["rid", "user_id", "event_type", "value"]
 
 
 def dirty_line(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
-    return inject(line(spark, sf), LINE_SPECS, SEED, ROW)
+    df, key = inject(held(line(spark, sf)), LINE_SPECS, SEED, ROW)
+    return held(df), key
 
 
 def dirty_orders(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:

@@ -10,7 +10,7 @@ from tidegate.operators import repair as R
 from tidegate.operators.folds import fixed_folds, grouped_split, holdout_split, partition_fingerprint, training_sets
 from tidegate.plans.rate_table import rate_scores
 from tidegate.queries.base import DIRTY_LINE, DIRTY_ORDERS, LINE, ROW, dirty_line, dirty_orders, folds_sql, line
-from tidegate.queries.registry import query
+from tidegate.queries.registry import held, query
 from tidegate.queries.repairing import LONG_FOLDS, _models_sql
 from tidegate.sources.tables import table
 
@@ -88,7 +88,7 @@ SCORES += ", clean0 AS (SELECT d.rid, d.label, fold_0, fold_1, fold_2, CASE WHEN
 
 def _scored(spark: SparkSession, sf: str) -> DataFrame:
     """Scores of three versions of one table: the raw column, a band of its repaired form, another column."""
-    df = fixed_folds(dirty_line(spark, sf)[0], F.col("label"), ROW).persist()
+    df = held(fixed_folds(dirty_line(spark, sf)[0], F.col("label"), ROW))
     y = (F.col("label") == "hi").cast("int")
     args = (y, K.CV_FOLDS, K.CV_REPEATS)
     q = F.when(F.col("l_quantity") == 9999, 25.5).otherwise(F.col("l_quantity"))

@@ -12,7 +12,7 @@ from tidegate.operators.inject import DefectSpec, inject
 from tidegate.queries.base import (DIRTY_EVENTS, DIRTY_LINE, DIRTY_ORDERS, EVENT_COLS, EVENTS, LINE_COLS, ORDER_COLS, ORDERS, ROW, SEED,
                                    damage_sql, dirty_events, dirty_line, dirty_orders, event_rows, folds_sql, order_rows)
 from tidegate.queries.detection import MAGIC, units_ctes, variants_ctes
-from tidegate.queries.registry import query
+from tidegate.queries.registry import held, query
 from tidegate.sources.tables import table
 
 GAPS = [DefectSpec("value_gap", "nulls", "value", 0.1), DefectSpec("type_gap", "nulls", "event_type", 0.1)]
@@ -125,7 +125,7 @@ LONG_FOLDS = """long AS (SELECT t.*, r, f, CASE r WHEN 0 THEN fold_0 WHEN 1 THEN
     median(l_discount) FILTER (NOT is_test) AS dmed, quantile_cont(l_extendedprice, 0.25) FILTER (NOT is_test) AS p1,
     quantile_cont(l_extendedprice, 0.75) FILTER (NOT is_test) AS p3 FROM long GROUP BY r, f)
   SELECT CAST(r AS INTEGER) AS repeat, CAST(f AS INTEGER) AS fold, round(qmed, 6) AS qty_median, round(dmean, 6) AS disc_mean, round(dmed, 6) AS disc_median,
-    round(p1 - 1.5 * (p3 - p1), 4) AS price_low, round(p3 + 1.5 * (p3 - p1), 4) AS price_high,
+    round(p1 - 1.5 * (p3 - p1), 6) AS price_low, round(p3 + 1.5 * (p3 - p1), 6) AS price_high,
     count(*) FILTER (NOT is_test) AS n_train, count(*) FILTER (is_test) AS n_test,
     round(avg(CASE WHEN l_quantity = 9999 THEN qmed ELSE l_quantity END) FILTER (NOT is_test), 6) AS train_qty,
     round(avg(CASE WHEN l_quantity = 9999 THEN qmed ELSE l_quantity END) FILTER (is_test), 6) AS test_qty,
@@ -133,7 +133,7 @@ LONG_FOLDS = """long AS (SELECT t.*, r, f, CASE r WHEN 0 THEN fold_0 WHEN 1 THEN
   FROM long JOIN s USING (r, f) GROUP BY ALL""")
 def fold_fit_apply(spark: SparkSession, sf: str) -> DataFrame:
     """Statistics from each training fold, applied to its training and its test rows."""
-    df = fixed_folds(dirty_line(spark, sf)[0], F.col("label"), ROW).persist()
+    df = held(fixed_folds(dirty_line(spark, sf)[0], F.col("label"), ROW))
     models = training_sets()
     fits = {k: R.fit(df, op, c, models) for k, (op, c) in {
         "q": ("sentinel_to_median", "l_quantity"), "d": ("fill_mean", "l_discount"),
@@ -149,7 +149,7 @@ def fold_fit_apply(spark: SparkSession, sf: str) -> DataFrame:
             F.count_if(train).alias("n_train"), F.count_if(~train).alias("n_test"), F.avg(F.when(train, q)).alias("train_qty"),
             F.avg(F.when(~train, q)).alias("test_qty"), F.avg(F.when(~train, d)).alias("test_disc")))
     out = df.agg(F.array(*aggs).alias("a")).select(F.explode("a").alias("x")).select("x.*")
-    places = {"price_low": 4, "price_high": 4, "qty_median": 6, "disc_mean": 6, "disc_median": 6, "train_qty": 6, "test_qty": 6, "test_disc": 6}
+    places = {"price_low": 6, "price_high": 6, "qty_median": 6, "disc_mean": 6, "disc_median": 6, "train_qty": 6, "test_qty": 6, "test_disc": 6}
     return out.withColumns({c: F.round(c, p) for c, p in places.items()})
 
 
