@@ -30,25 +30,35 @@ class Ask:
         return v if self.where is None else F.when(self.where, v)
 
 
-def exact_quantiles(df: DataFrame, asks: list[Ask], limit: int = DIRECT_LIMIT) -> dict[str, tuple | None]:
-    """name -> tuple of quantiles, or None when no row qualifies. Collects one row per pass."""
+def exact_quantiles(df: DataFrame, asks: list[Ask], limit: int = DIRECT_LIMIT,
+                    bound: int | None = None) -> dict[str, tuple | None]:
+    """name -> tuple of quantiles, or None when no row qualifies. Collects one row per ask and pass.
+
+    ``bound``: a known upper bound on the distinct values of any ask; without it they are counted
+    first. The counters of one pass share the memory, so the limit is shared by its asks.
+    """
     if not asks:
         return {}
-    sizes = df.agg(*[e for i, a in enumerate(asks) for e in (
-        F.count(a.masked()).alias(f"n{i}"), F.approx_count_distinct(a.masked()).alias(f"d{i}"))]).first()
+    each = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), a.masked().alias("v")) for i, a in enumerate(asks)]))
+    long = df.select(each.alias("x")).select("x.i", "x.v").where("v IS NOT NULL")
+    share = limit // max(1, -(-len(asks) // 15))
+    narrow = set(range(len(asks)))
+    if bound is None or bound > share:
+        sizes = long.groupBy("i").agg(F.approx_count_distinct("v").alias("d")).collect()
+        narrow = {r["i"] for r in sizes if r["d"] <= share}
+        wide = {r["i"] for r in sizes} - narrow
+    else:
+        wide = set()
     out: dict[str, tuple | None] = {a.name: None for a in asks}
-    live = [(i, a) for i, a in enumerate(asks) if sizes[f"n{i}"]]
-    budget = limit / max(1, len(live)) * 15                      # all counters of one pass share the memory
-    direct = [(i, a) for i, a in live if sizes[f"d{i}"] <= min(limit, budget)]
-    if direct:
-        row = df.agg(*[F.percentile(a.masked(), F.array(*[F.lit(float(p)) for p in a.probs])).alias(f"q{i}")
-                       for i, a in direct]).first()
-        for i, a in direct:
-            out[a.name] = tuple(row[f"q{i}"])
-    done = {i for i, _ in direct}
-    for i, a in live:
-        if i not in done:
-            out[a.name] = tuple(_bracketed(df, a, p, sizes[f"n{i}"], limit) for p in a.probs)
+    if narrow:
+        probs = sorted({p for i in narrow for p in asks[i].probs})
+        got = (long.where(F.col("i").isin(sorted(narrow))).groupBy("i")
+               .agg(F.percentile("v", F.array(*[F.lit(float(p)) for p in probs])).alias("q")).collect())
+        for r in got:
+            out[asks[r["i"]].name] = tuple(r["q"][probs.index(p)] for p in asks[r["i"]].probs)
+    for i in wide:
+        n = df.agg(F.count(asks[i].masked()).alias("n")).first()["n"]
+        out[asks[i].name] = tuple(_bracketed(df, asks[i], p, n, limit) for p in asks[i].probs)
     return out
 
 

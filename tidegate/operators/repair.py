@@ -13,9 +13,9 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from tidegate import constants as K
 from tidegate.functions.quantiles import Ask, exact_quantiles
-from tidegate.functions.text import is_magic_code, norm_key
-from tidegate.operators.detect import LOG_STEP, is_far, unit_decision
-from tidegate.operators.histogram import training_histogram
+from tidegate.functions.text import norm_key
+from tidegate.operators.detect import confirm_units, sentinels, unit_candidates
+from tidegate.operators.histogram import in_models, training_histogram
 
 INLINE_SPELLINGS = 2000        # beyond this a spelling table is joined, not written into the plan
 
@@ -46,42 +46,43 @@ def _dtype(df: DataFrame, column: str) -> T.DataType | None:
 
 # ---------------------------------------------------------------- fitting
 
-def fit(df: DataFrame, op: str, column: str, models: Models = (None,)) -> list[dict]:
-    """One parameter dict per model."""
+def fit(df: DataFrame, op: str, column: str, models: Models = (None,), bound: int | None = None) -> list[dict]:
+    """One parameter dict per model. ``bound``: known upper bound on the column's distinct values."""
     check_op(op, _dtype(df, column), column)
     c = F.col(f"`{column}`")
     models = list(models)
+    ids = range(len(models))
     if op == "fill_mean":
-        row = df.agg(*[F.avg(c if m is None else F.when(m, c)).alias(f"a{i}") for i, m in enumerate(models)]).first()
-        return [{"value": v} for v in row]
+        rows = df.select(c.alias("v"), F.explode(in_models(models)).alias("m")).groupBy("m").agg(F.avg("v").alias("a")).collect()
+        means = {r["m"]: r["a"] for r in rows}
+        return [{"value": means.get(i)} for i in ids]
     if op == "fill_median":
-        q = exact_quantiles(df, [Ask(str(i), c, (0.5,), m) for i, m in enumerate(models)])
-        return [{"value": q[str(i)][0] if q[str(i)] else None} for i in range(len(models))]
+        q = exact_quantiles(df, [Ask(str(i), c, (0.5,), m) for i, m in enumerate(models)], bound=bound)
+        return [{"value": q[str(i)][0] if q[str(i)] else None} for i in ids]
     if op == "fill_mode":
         return _fit_mode(df, column, models)
     if op == "clip_outliers":
-        return _fit_clip(df, column, models)
+        return _fit_clip(df, column, models, bound)
     if op == "sentinel_to_median":
-        return _fit_sentinel(df, column, models)
+        return _fit_sentinel(df, column, models, bound)
     if op == "rescale_units":
-        return _fit_units(df, column, models)
+        return _fit_units(df, column, models, bound)
     if op == "normalize_categories":
         return _fit_spellings(df, column, models)
-    return [{} for _ in models]                      # fill_unknown, drop_rows, dedupe_rows
+    return [{} for _ in ids]                         # fill_unknown, drop_rows, dedupe_rows
 
 
 def _fit_mode(df: DataFrame, column: str, models: Models) -> list[dict]:
     hist = training_histogram(df, F.col(f"`{column}`"), models)
-    row = hist.agg(*[
-        F.min_by(F.when(F.col("t")[i] > 0, F.col("value")), F.when(F.col("t")[i] > 0, F.struct(-F.col("t")[i], F.col("value"))))
-        .alias(f"v{i}") for i in range(len(models))]).first()
-    if any(v is None for v in row):
+    modes = {r["column"]: r["v"] for r in hist.groupBy("column").agg(
+        F.min_by("value", F.struct(-F.col("n"), F.col("value"))).alias("v")).collect()}
+    if len(modes) < len(models):
         raise RepairError(f"no value of {column} in a training set, there is no mode")
-    return [{"value": v} for v in row]
+    return [{"value": modes[i]} for i in range(len(models))]
 
 
-def _fit_clip(df: DataFrame, column: str, models: Models) -> list[dict]:
-    q = exact_quantiles(df, [Ask(str(i), F.col(f"`{column}`"), (0.25, 0.75), m) for i, m in enumerate(models)])
+def _fit_clip(df: DataFrame, column: str, models: Models, bound: int | None) -> list[dict]:
+    q = exact_quantiles(df, [Ask(str(i), F.col(f"`{column}`"), (0.25, 0.75), m) for i, m in enumerate(models)], bound=bound)
     out = []
     for i in range(len(models)):
         if q[str(i)] is None:
@@ -94,98 +95,41 @@ def _fit_clip(df: DataFrame, column: str, models: Models) -> list[dict]:
     return out
 
 
-def _fit_sentinel(df: DataFrame, column: str, models: Models) -> list[dict]:
+def _fit_sentinel(df: DataFrame, column: str, models: Models, bound: int | None) -> list[dict]:
     c = F.col(f"`{column}`").cast("double")
-    hist = training_histogram(df, c, models).persist()
-    ids = range(len(models))
-    seen = [F.col("t")[i] > 0 for i in ids]
-    v = F.col("value")
-    first = hist.agg(*[e for i in ids for e in (
-        F.count_if(seen[i]).alias(f"nd{i}"), F.sum(F.col("t")[i]).alias(f"n{i}"),
-        F.max(F.when(seen[i], v)).alias(f"max{i}"), F.min(F.when(seen[i], v)).alias(f"min{i}"))]).first()
-    asks = [(i, end, first[f"{end}{i}"]) for i in ids for end in ("max", "min") if first[f"{end}{i}"] is not None]
-    if not asks:
-        hist.unpersist()
-        return [{"sentinel": None, "median": None} for _ in ids]
-    near = hist.agg(*[e for i, end, x in asks for e in (
-        (F.max(F.when(seen[i] & (v < x), v)) if end == "max" else F.min(F.when(seen[i] & (v > x), v))).alias(f"near_{end}{i}"),
-        F.sum(F.when(v == x, F.col("t")[i])).alias(f"n_{end}{i}"))]).first()
-    hist.unpersist()
-    cand = df.sparkSession.createDataFrame(
-        [(i, end, x, near[f"near_{end}{i}"], near[f"n_{end}{i}"], first[f"n{i}"], first[f"nd{i}"]) for i, end, x in asks],
-        "i int, end string, v double, nearest double, n bigint, n_valid bigint, nd bigint")
-    ok = cand.where((F.col("nd") >= K.MIN_DISTINCT) & (F.col("n") >= K.SENTINEL_MIN_ROWS)
-                    & (F.col("n") / F.col("n_valid") <= K.MAX_SPIKE_SHARE) & is_magic_code(F.col("v"))
-                    & is_far(F.col("v"), F.col("nearest")))
-    found: dict[int, float] = {}
-    for r in ok.orderBy("i", "end").collect():       # "max" sorts before "min"
-        found.setdefault(r["i"], r["v"])
+    rows = sentinels(training_histogram(df, c, models)).collect()
+    found = {r["column"]: r["sentinel"] for r in rows if r["sentinel"] is not None}
     q = exact_quantiles(df, [Ask(str(i), c, (0.5,), (c != sv) if models[i] is None else models[i] & (c != sv))
-                             for i, sv in found.items()])
-    return [{"sentinel": found.get(i), "median": q[str(i)][0] if i in found and q[str(i)] else None} for i in ids]
+                             for i, sv in found.items()], bound=bound)
+    return [{"sentinel": found.get(i), "median": q[str(i)][0] if i in found else None} for i in range(len(models))]
 
 
-def _fit_units(df: DataFrame, column: str, models: Models) -> list[dict]:
+def _fit_units(df: DataFrame, column: str, models: Models, bound: int | None) -> list[dict]:
     c = F.col(f"`{column}`").cast("double")
-    hist = training_histogram(df, F.when(c > 0, c), models).persist()
-    ids = range(len(models))
-    v, seen = F.col("value"), [F.col("t")[i] > 0 for i in range(len(models))]
-    step = F.floor(F.ln(v) / F.ln(F.lit(LOG_STEP)))
-    steps = hist.groupBy(step.alias("step")).agg(*[e for i in ids for e in (
-        F.min(F.when(seen[i], v)).alias(f"lo{i}"), F.max(F.when(seen[i], v)).alias(f"hi{i}"))])
-    edges = steps.orderBy("step").collect()          # a few thousand steps at most, whatever the table size
-    gap: dict[int, tuple[float, float]] = {}
-    for i in ids:
-        best, last = K.UNIT_MIN_GAP_RATIO, None
-        for e in edges:
-            if e[f"lo{i}"] is None:
-                continue
-            if last is not None and (e[f"lo{i}"] / last > best or (i not in gap and e[f"lo{i}"] / last >= best)):
-                best, gap[i] = e[f"lo{i}"] / last, (last, e[f"lo{i}"])
-            last = e[f"hi{i}"]
-    none = [{"cut": None, "factor": None} for _ in ids]
-    if not gap:
-        hist.unpersist()
-        return none
-    facts = hist.agg(*[e for i, (low, high) in gap.items() for e in (
-        F.sum(F.col("t")[i]).alias(f"n{i}"), F.count_if(seen[i]).alias(f"nd{i}"),
-        F.sum(F.when(v >= high, F.col("t")[i])).alias(f"n_hi{i}"), F.count_if(seen[i] & (v >= high)).alias(f"nd_hi{i}"),
-        F.min(F.when(seen[i], v)).alias(f"lo_min{i}"), F.max(F.when(seen[i], v)).alias(f"hi_max{i}"))]).first()
-    hist.unpersist()
-    live = [i for i in gap if facts[f"n{i}"] >= K.UNIT_MIN_POSITIVES and facts[f"nd{i}"] >= K.MIN_DISTINCT
-            and facts[f"n_hi{i}"] >= K.UNIT_MIN_ROWS and facts[f"nd_hi{i}"] >= K.UNIT_MIN_DISTINCT_HI
-            and K.UNIT_MIN_SHARE <= facts[f"n_hi{i}"] / facts[f"n{i}"] <= K.UNIT_MAX_SHARE]
-    asks = []
-    for i in live:
-        low, high = gap[i]
-        train = F.lit(True) if models[i] is None else models[i]
-        asks += [Ask(f"lo{i}", c, (0.5,), train & (c > 0) & (c <= low)), Ask(f"hi{i}", c, (0.5,), train & (c >= high))]
-    q = exact_quantiles(df, asks)
-    for i in live:
-        shift = unit_decision(gap[i][0], gap[i][1], facts[f"lo_min{i}"], facts[f"hi_max{i}"], q[f"lo{i}"][0], q[f"hi{i}"][0])
-        if shift:
-            none[i] = {"cut": shift[0], "factor": shift[1]}
-    return none
+    facts = unit_candidates(training_histogram(df, c, models))
+    found = confirm_units(df, facts, lambda i: c, lambda i: models[i], bound)
+    return [dict(zip(("cut", "factor"), found.get(i, (None, None)))) for i in range(len(models))]
 
 
 def spelling_table(df: DataFrame, column: str, models: Models) -> DataFrame:
-    """(key, canonical): canonical[m] is the most frequent training spelling of the key in model m."""
+    """(column, key, form): the most frequent training spelling of every key, per model."""
     hist = training_histogram(df, F.col(f"`{column}`").cast("string"), models).withColumn("key", norm_key(F.col("value")))
-    return hist.where("key IS NOT NULL").groupBy("key").agg(F.array(*[
-        F.min_by(F.when(F.col("t")[i] > 0, F.col("value")), F.when(F.col("t")[i] > 0, F.struct(-F.col("t")[i], F.col("value"))))
-        for i in range(len(models))]).alias("canonical"))
+    return hist.where("key IS NOT NULL").groupBy("column", "key").agg(
+        F.min_by("value", F.struct(-F.col("n"), F.col("value"))).alias("form"))
 
 
 def _fit_spellings(df: DataFrame, column: str, models: Models) -> list[dict]:
     table = spelling_table(df, column, models)
-    rows = table.limit(INLINE_SPELLINGS + 1).collect()
-    if len(rows) > INLINE_SPELLINGS:
+    most = INLINE_SPELLINGS * len(models)
+    rows = table.limit(most + 1).collect()
+    if len(rows) > most:
         from tidegate.session import written
         kept = written(table, f"spellings-{column}")
-        return [{"table": kept.select("key", F.col("canonical")[i].alias("form")).where("form IS NOT NULL")}
-                for i in range(len(models))]
-    return [{"forms": {r["key"]: r["canonical"][i] for r in rows if r["canonical"][i] is not None}}
-            for i in range(len(models))]
+        return [{"table": kept.where(F.col("column") == i).select("key", "form")} for i in range(len(models))]
+    out: list[dict] = [{} for _ in models]
+    for r in rows:
+        out[r["column"]][r["key"]] = r["form"]
+    return [{"forms": f} for f in out]
 
 
 # ---------------------------------------------------------------- applying
@@ -288,6 +232,7 @@ class FoldFit:
     df: DataFrame
     train: list[Column]
     steps: list[tuple[str, str, list[dict]]]
+    rows_key: tuple = ()                  # which row operations shaped the training rows
 
     def value(self, column: str, model: int) -> Column:
         """The column as model ``model`` sees it."""
@@ -298,16 +243,34 @@ class FoldFit:
         return c
 
 
-def fit_folds(df: DataFrame, ops: dict[str, str], models: Models, row_id: str) -> FoldFit:
-    """Replay ``ops`` in order on every training fold. Row operations shrink training rows only."""
+def fit_folds(df: DataFrame, ops: dict[str, str], models: Models, row_id: str,
+              fits: dict | None = None, bounds: dict[str, int] | None = None) -> FoldFit:
+    """Replay ``ops`` in order on every training fold. Row operations shrink training rows only.
+
+    An operation on one column is fitted on the raw column, so its fit only depends on the row
+    operations before it; ``fits`` keeps fits between calls under that key.
+    """
     state = FoldFit(df, list(models), [])
+    before: tuple = ()
     for column, op in ops.items():
         check_op(op, _dtype(state.df, column), column)
         if op == "drop_rows":
             state.train = [m & F.col(f"`{column}`").isNotNull() for m in state.train]
         elif op == "dedupe_rows":
             _keep_first_copies(state, row_id)
-        state.steps.append((op, column, fit(state.df, op, column, state.train)))
+        key = (op, column, before)
+        if fits is None or key not in fits:
+            params = fit(state.df, op, column, state.train, (bounds or {}).get(column))
+            if fits is not None:
+                fits[key] = params
+        else:
+            params = fits[key]
+        if op == "drop_rows":
+            before += (column,)
+        elif op == "dedupe_rows":                     # what counts as a copy depends on every repair so far
+            before += (tuple(ops.items())[:len(state.steps) + 1],)
+        state.steps.append((op, column, params))
+    state.rows_key = before
     return state
 
 

@@ -88,6 +88,9 @@ class Arena:
     text: list[str]
     nullable: set[str]
     levels: dict[str, list[tuple[str, str | None]]]
+    bounds: dict[str, int]
+    fits: dict = field(default_factory=dict)
+    medians: dict = field(default_factory=dict)
     cache: dict = field(default_factory=dict)
     last: np.ndarray | None = None
 
@@ -114,7 +117,8 @@ def arena(df: DataFrame, target: str, positive: str, row_id: str, n_splits: int
     feats = [f for f in df.schema.fields if f.name not in (row_id, target)]
     numeric = [f.name for f in feats if isinstance(f.dataType, T.NumericType)]
     text = [f.name for f in feats if isinstance(f.dataType, T.StringType)]
-    nulls = keep.agg(F.count("*").alias("_n"), *[F.count_if(F.col(f"`{c}`").isNull()).alias(c) for c in numeric]).first()
+    facts = keep.agg(F.count("*").alias("_n"), *[e for c in numeric for e in (
+        F.count_if(F.col(f"`{c}`").isNull()).alias(f"null_{c}"), F.approx_count_distinct(f"`{c}`").alias(f"size_{c}"))]).first()
     levels: dict[str, list] = {c: [] for c in text}
     if text:
         hist = value_histogram(keep, text, "string")
@@ -125,7 +129,8 @@ def arena(df: DataFrame, target: str, positive: str, row_id: str, n_splits: int
         for r in hist.select("column", "value", norm_key(F.col("value")).alias("key")).orderBy("column", "value").collect():
             levels[r["column"]].append((r["value"], r["key"]))          # at most 300 levels per column
     return Arena(keep, row_id, target, n_splits, n_repeats, numeric, text,
-                 {c for c in numeric if nulls[c]}, levels)
+                 {c for c in numeric if facts[f"null_{c}"]}, levels,
+                 {c: int(1.2 * facts[f"size_{c}"]) + 16 for c in numeric})
 
 
 def encode(a: Arena, state: FoldFit) -> tuple[DataFrame, Layout]:
@@ -134,15 +139,13 @@ def encode(a: Arena, state: FoldFit) -> tuple[DataFrame, Layout]:
     k = len(state.train)
     own = [c for c in a.numeric if c in touched or c in a.nullable]
     shared = [c for c in a.numeric if c not in own]
-    asks = [Ask(f"{c}:{m}", state.value(c, m), (0.5,), state.train[m]) for c in own if c in a.nullable for m in range(k)]
-    medians = exact_quantiles(state.df, asks)
+    medians = {c: _train_medians(a, state, c) for c in own if c in a.nullable}
 
     def seen(c: str, m: int) -> Column:
         v = state.value(c, m).cast("double")
         if c not in a.nullable:
             return v
-        q = medians[f"{c}:{m}"]
-        return F.coalesce(v, F.lit(float(q[0]) if q else 0.0))
+        return F.coalesce(v, F.lit(medians[c][m]))
 
     codes, remaps, sizes = [], [], []
     for c in a.text:
@@ -178,12 +181,23 @@ def encode(a: Arena, state: FoldFit) -> tuple[DataFrame, Layout]:
     return state.df.select(*out), Layout(k, len(shared), len(own), tuple(sizes), tuple(remaps))
 
 
+def _train_medians(a: Arena, state: FoldFit, c: str) -> list[float]:
+    """What fills the numeric gaps a repair leaves: the training median, 0 for an empty column."""
+    key = (c, tuple(op for op, col, _ in state.steps if col == c and op not in K.ROW_OPS), state.rows_key)
+    if key not in a.medians:
+        k = len(state.train)
+        q = exact_quantiles(state.df, [Ask(str(m), state.value(c, m), (0.5,), state.train[m]) for m in range(k)],
+                            bound=a.bounds[c])
+        a.medians[key] = [float(q[str(m)][0]) if q[str(m)] else 0.0 for m in range(k)]
+    return a.medians[key]
+
+
 def evaluate(a: Arena, ops: dict[str, str]) -> Evaluation:
     """Score the table after ``ops``; the same set of ops is only ever evaluated once."""
     key = tuple(ops.items())
     if key in a.cache:
         return a.cache[key]
-    state = fit_folds(a.df, ops, a.models, a.row_id)
+    state = fit_folds(a.df, ops, a.models, a.row_id, a.fits, a.bounds)
     table, layout = encode(a, state)
     if "*" in ops:
         table = spread(table)                    # the join on kept copies may have merged partitions
