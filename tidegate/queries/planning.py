@@ -66,13 +66,13 @@ FOLDED = DIRTY_LINE + ", " + folds_sql("dirty", "folded", "label") + ", " + _mod
 
 
 @query("WITH " + FOLDED + """, s AS (SELECT r, f, median(l_discount) FILTER (NOT is_test) AS med FROM long GROUP BY r, f)
-  SELECT CAST(r * 5 + f AS INTEGER) AS model, is_test, round(med, 6) AS median, round(avg(coalesce(l_discount, med)), 6) AS mean_after,
+  SELECT CAST(r * 5 + f AS INTEGER) AS model, is_test, round(med, 6) AS median, round(avg(coalesce(l_discount, med)), 8) AS mean_after,
   count(*) FILTER (l_discount IS NULL) AS filled FROM long JOIN s USING (r, f) GROUP BY ALL""")
 def impute_in_fold(spark: SparkSession, sf: str) -> DataFrame:
     df = held(fixed_folds(dirty_line(spark, sf)[0], F.col("label"), ROW))
     long = E.by_model(df, training_sets()).join(E.fold_medians(df, "l_discount", training_sets()), "model")
     return long.groupBy("model", (~F.col("in_train")).alias("is_test"), F.round("median", 6).alias("median")).agg(
-        F.round(F.avg(F.coalesce("l_discount", "median")), 6).alias("mean_after"), F.count_if(F.col("l_discount").isNull()).alias("filled"))
+        F.round(F.avg(F.coalesce("l_discount", "median")), 8).alias("mean_after"), F.count_if(F.col("l_discount").isNull()).alias("filled"))
 
 
 @query("WITH " + FOLDED + """, s AS (SELECT r, f, avg(l_tax) FILTER (NOT is_test) AS mu, stddev_pop(l_tax) FILTER (NOT is_test) AS sd FROM long GROUP BY r, f)
