@@ -17,7 +17,7 @@ from tidegate.functions.quantiles import Ask, exact_quantiles
 from tidegate.functions.stats import clears, commit_bar
 from tidegate.functions.text import norm_key
 from tidegate.operators.folds import fixed_folds, training_sets
-from tidegate.operators.histogram import value_histogram
+from tidegate.operators.histogram import training_histogram, value_histogram
 from tidegate.operators.repair import FoldFit, fit_folds
 from tidegate.plans.logistic import FoldScores, Layout, fit_and_score
 
@@ -133,8 +133,11 @@ def arena(df: DataFrame, target: str, positive: str, row_id: str, n_splits: int
                  {c: int(1.2 * facts[f"size_{c}"]) + 16 for c in numeric})
 
 
-def encode(a: Arena, state: FoldFit) -> tuple[DataFrame, Layout]:
-    """Design table of one candidate: values a model sees differently are laid out per model."""
+def encode(a: Arena, state: FoldFit, cap: dict[str, int] | None = None, scale_levels: bool = True) -> tuple[DataFrame, Layout]:
+    """Design table of one candidate: values a model sees differently are laid out per model.
+
+    ``cap``: text columns whose rare training levels (and levels unseen in training) share a slot.
+    """
     touched = {c for op, c, _ in state.steps if op not in K.ROW_OPS}
     k = len(state.train)
     own = [c for c in a.numeric if c in touched or c in a.nullable]
@@ -167,6 +170,8 @@ def encode(a: Arena, state: FoldFit) -> tuple[DataFrame, Layout]:
                     for i, (_, key) in enumerate(a.levels[c]):
                         form = params[m]["forms"].get(key)
                         table[m, i] = where[form] if form is not None else i
+        if cap and c in cap:
+            _pool_rare(state, c, values, table, unknown, cap[c])
         remaps.append(table)
         sizes.append(null + 1)
     base = a.models
@@ -178,7 +183,22 @@ def encode(a: Arena, state: FoldFit) -> tuple[DataFrame, Layout]:
         out.append(F.array(*[seen(c, m) for m in range(k) for c in own]).alias("z"))
     if codes:
         out.append(F.array(*codes).alias("c"))
-    return state.df.select(*out), Layout(k, len(shared), len(own), tuple(sizes), tuple(remaps))
+    return state.df.select(*out), Layout(k, len(shared), len(own), tuple(sizes), tuple(remaps), scale_levels)
+
+
+def _pool_rare(state: FoldFit, c: str, values: list[str], table: np.ndarray, slot: int, cap: int) -> None:
+    """Per model with more than ``cap`` training levels: all but the cap - 1 most frequent go to ``slot``."""
+    counts = np.zeros(table.shape, dtype=int)
+    where = {v: i for i, v in enumerate(values)}
+    for r in training_histogram(state.df, F.col(f"`{c}`"), state.train).collect():      # at most 300 levels per model
+        counts[r["column"], where[r["value"]]] = r["n"]
+    for m in range(len(table)):
+        seen = [i for i in np.argsort(-counts[m], kind="stable") if counts[m, i]]
+        if len(seen) > cap:
+            keep = set(seen[:cap - 1])
+            for i in range(len(values)):
+                if i not in keep:
+                    table[m, i] = slot
 
 
 def _train_medians(a: Arena, state: FoldFit, c: str) -> list[float]:
@@ -210,3 +230,38 @@ def evaluate(a: Arena, ops: dict[str, str]) -> Evaluation:
     a.cache[key] = Evaluation(list(s.neg_brier), list(s.f1), list(s.n_train.astype(int)), list(s.n_test.astype(int)),
                               a.n_splits, s.weights)
     return a.cache[key]
+
+
+def compare_preprocessing(a: Arena, recommended: list[dict], family: str = "linear") -> dict:
+    """Recommended against default preprocessing on the fixed folds (linear family): paired gain and scores.
+
+    ``recommended``: rows of (stage, method, columns). The default fills medians and most frequent
+    levels, one-hot encodes and standardises.
+    """
+    if family != "linear":
+        raise EvaluationError("the batched comparison covers the linear family")
+    fill = {"mean": "fill_mean", "median": "fill_median", "median+indicator": "fill_median", "most_frequent": "fill_mode"}
+    ops, cap = {}, {}
+    for s in recommended:
+        for c in s["columns"]:
+            if s["stage"] == "imputation" and s["method"] in fill:
+                ops[c] = fill[s["method"]]
+            elif s["stage"] == "encoding" and s["method"] == "onehot_capped":
+                cap[c] = K.HIGH_CARD
+    text_gaps = [r[0] for r in a.df.agg(*[F.count_if(F.col(f"`{c}`").isNull()).alias(c) for c in a.text]).unpivot(
+        [], a.text, "c", "n").where("n > 0").collect()] if a.text else []
+    default = {**{c: "fill_median" for c in sorted(a.nullable)}, **{c: "fill_mode" for c in text_gaps}}
+    out = []
+    for plan_ops, plan_cap in ((default, None), (ops, cap)):
+        state = fit_folds(a.df, plan_ops, a.models, a.row_id, a.fits, a.bounds)
+        table, layout = encode(a, state, plan_cap, scale_levels=False)
+        table = table.persist(StorageLevel.MEMORY_AND_DISK)
+        s = fit_and_score(table, layout)
+        table.unpersist()
+        out.append(Evaluation(list(s.neg_brier), list(s.f1), list(s.n_train.astype(int)), list(s.n_test.astype(int)), a.n_splits))
+    gain = paired_gain(out[0], out[1])
+    swap = lambda e: Evaluation(e.f1_scores, e.f1_scores, e.n_train, e.n_test, e.n_splits)
+    f1_gain = paired_gain(swap(out[0]), swap(out[1]))
+    return {"default_mean": out[0].mean, "recommended_mean": out[1].mean, "mean_diff": gain.delta, "se_corrected": gain.se,
+            "f1_default_mean": out[0].f1, "f1_recommended_mean": out[1].f1, "f1_mean_diff": f1_gain.delta, "f1_se_corrected": f1_gain.se,
+            "n_folds": len(out[0].scores)}
