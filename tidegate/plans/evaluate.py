@@ -5,7 +5,7 @@ applied to both sides; row operations shrink the training side only, so test row
 """
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 
 import numpy as np
@@ -93,10 +93,18 @@ class Arena:
     medians: dict = field(default_factory=dict)
     cache: dict = field(default_factory=dict)
     last: np.ndarray | None = None
+    conditions: list[Column] | None = None       # training sets other than the fixed folds
 
     @property
     def models(self) -> list[Column]:
-        return training_sets(self.n_splits, self.n_repeats)
+        return self.conditions or training_sets(self.n_splits, self.n_repeats)
+
+    def with_constant(self, column: str, value) -> "Arena":
+        """The same rows and folds with one column destroyed."""
+        text = column in self.text
+        return replace(self, df=self.df.withColumn(column, F.lit(value).cast(self.df.schema[column].dataType)),
+                       nullable=self.nullable - {column}, cache={}, fits={}, medians={},
+                       levels={**self.levels, **({column: [(value, value)]} if text else {})})
 
     def release(self) -> None:
         self.df.unpersist()

@@ -4,7 +4,7 @@ from __future__ import annotations
 from functools import reduce
 
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F, Window as W
 
 from tidegate import constants as K
 from tidegate.operators.folds import fixed_folds
@@ -13,7 +13,7 @@ from tidegate.operators.metrics import brier, f1
 from tidegate.plans import models as M
 from tidegate.plans import prep as P
 from tidegate.plans import recommend as R
-from tidegate.plans.evaluate import arena, compare_preprocessing
+from tidegate.plans.evaluate import arena, compare_preprocessing, spread
 from tidegate.queries.base import LINE, LINE_COLS, ROW, SEED, damage_sql, folds_sql, line
 from tidegate.queries.registry import held, query
 from tidegate.queries.repairing import GAPS_SQL, gappy_events
@@ -159,7 +159,7 @@ def stage2_models(spark: SparkSession, sf: str) -> DataFrame:
     """Every family fitted on training rows, scored on test rows."""
     df = P.standard(split_line(spark, sf), ["l_quantity", "l_extendedprice", "l_tax"], in_train())
     feats = array_to_vector(F.array("l_quantity", "l_extendedprice", "l_tax"))
-    rows = held(df.select(ROW, (F.col("label") == "hi").cast("int").alias("y"), feats.alias("features"), "fold_0", "l_discount"))
+    rows = held(spread(df).select(ROW, (F.col("label") == "hi").cast("int").alias("y"), feats.alias("features"), "fold_0", "l_discount"))
     train, test = rows.where(in_train()), rows.where(~in_train())
     n, out = train.count(), []
     for fam in ("linear", "tree_ensemble", "neural"):
@@ -212,7 +212,6 @@ NUMBERED = ", num AS (SELECT row_number() OVER (ORDER BY CASE split_part(s, '|',
   UNION ALL SELECT CAST(step AS INTEGER), NULL, NULL, NULL, NULL, NULL, NULL, problem FROM bad""")
 def stage2_edits(spark: SparkSession, sf: str) -> DataFrame:
     """Valid edits are applied, the others are listed with what is wrong with them."""
-    from pyspark.sql import Window as W
     df = held(wide_events(spark, sf))
     steps = R.recommend(R.profile_columns(df, list(EVENT_FEATURES)), "linear")
     numbered = held(steps.select((F.row_number().over(W.orderBy(R.stage_order(F.col("stage")), "rule_id")) - 1).alias("step"), "stage", "rule_id", "method",
