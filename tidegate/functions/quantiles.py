@@ -1,10 +1,11 @@
 """Exact quantiles (linear interpolation) for many columns and row conditions at once.
 
 The built-in ``percentile`` keeps one counter per distinct value, which is right for columns
-with a bounded number of them. Beyond ``limit`` distinct values the rank is bracketed instead:
-a mergeable sketch narrows the value range around the wanted rank, exact counts below the range
-keep the rank exact, and only once the range holds few distinct values is it ranked. Nothing
-row-sized is sorted or held by one task.
+with a bounded number of them. Beyond ``limit`` distinct values the wanted ranks are bracketed
+instead: rows are counted in equal-width bins, the bin that holds a rank becomes its new value
+range, and only a range with few rows left is ranked. Counts below the range keep the rank exact.
+All quantiles narrow together, one aggregation per round, and no task ever sorts or holds more
+than a bounded number of values.
 """
 from __future__ import annotations
 
@@ -14,7 +15,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, functions as F, Window as W
 
 DIRECT_LIMIT = 200_000
-SKETCH = 2000
+BINS = 512
 
 
 @dataclass(frozen=True)
@@ -56,42 +57,71 @@ def exact_quantiles(df: DataFrame, asks: list[Ask], limit: int = DIRECT_LIMIT,
                .agg(F.percentile("v", F.array(*[F.lit(float(p)) for p in probs])).alias("q")).collect())
         for r in got:
             out[asks[r["i"]].name] = tuple(r["q"][probs.index(p)] for p in asks[r["i"]].probs)
-    for i in wide:
-        n = df.agg(F.count(asks[i].masked()).alias("n")).first()["n"]
-        out[asks[i].name] = tuple(_bracketed(df, asks[i], p, n, limit) for p in asks[i].probs)
+    if wide:
+        out.update(_bracketed(df, [asks[i] for i in sorted(wide)], limit))
     return out
 
 
-def _bracketed(df: DataFrame, ask: Ask, p: float, n: int, limit: int) -> float:
-    pos = p * (n - 1)
-    k0, k1 = math.floor(pos), math.ceil(pos)
-    col = df.select(ask.masked().alias("v")).where("v IS NOT NULL")
-    lo, hi, below, inside = None, None, 0, n
-    while True:
-        # the sketch is off by at most inside/SKETCH ranks; widen by twice that on both sides
-        a = max(0.0, (k0 - below) / inside - 2 / SKETCH)
-        b = min(1.0, (k1 - below + 1) / inside + 2 / SKETCH)
-        part = col if lo is None else col.where(F.col("v").between(lo, hi))
-        lo2, hi2 = part.agg(F.percentile_approx("v", [a, b], SKETCH).alias("q")).first()["q"]
-        if a == 0.0 and lo is not None:
-            lo2 = lo
-        if b == 1.0 and hi is not None:
-            hi2 = hi
-        now = col.agg(F.count_if(F.col("v") < lo2).alias("below"),
-                      F.count_if(F.col("v").between(lo2, hi2)).alias("inside"),
-                      F.approx_count_distinct(F.when(F.col("v").between(lo2, hi2), F.col("v"))).alias("d")).first()
-        held = now["below"] <= k0 and k1 < now["below"] + now["inside"]
-        if held:
-            stuck = lo is not None and now["inside"] >= inside
-            lo, hi, below, inside = lo2, hi2, now["below"], now["inside"]
-            if lo == hi or now["d"] <= limit or stuck:
-                break
-        else:
-            raise ArithmeticError(f"rank {k0} of {n} left its bracket [{lo2}, {hi2}]")
-    if lo == hi:
-        return float(lo)
-    steps = (col.where(F.col("v").between(lo, hi)).groupBy("v").agg(F.count("*").alias("n"))
-             .withColumn("upto", F.sum("n").over(W.orderBy("v")) + F.lit(below)))     # bounded by ``limit``
-    hits = steps.agg(F.min(F.when(F.col("upto") > k0, F.col("v"))).alias("x0"),
-                     F.min(F.when(F.col("upto") > k1, F.col("v"))).alias("x1")).first()
-    return hits["x0"] + (hits["x1"] - hits["x0"]) * (pos - k0)
+@dataclass
+class _Target:
+    """One quantile of one ask: its 0-based ranks and the value range known to hold them."""
+    ask: Ask
+    prob: float
+    pos: float
+    lo: float
+    hi: float
+    below: int
+    inside: int
+
+    @property
+    def ranks(self) -> tuple[int, int]:
+        return math.floor(self.pos), math.ceil(self.pos)
+
+
+def _in_range(df: DataFrame, targets: list[tuple[int, _Target]]) -> DataFrame:
+    """(t, v, bin): the rows inside each target's range; bins grow with the value."""
+    cells = []
+    for i, t in targets:
+        v = t.ask.masked()
+        held = F.when(v.between(t.lo, t.hi), v)
+        width = t.hi - t.lo
+        part = (held - F.lit(t.lo)) / F.lit(width) if math.isfinite(width) and width > 0 else held / F.lit(max(abs(t.lo), abs(t.hi), 1.0)) + 1
+        cells.append(F.struct(F.lit(i).alias("t"), held.alias("v"), F.floor(part * (BINS - 1)).cast("int").alias("bin")))
+    return df.select(F.explode(F.array(*cells)).alias("x")).select("x.t", "x.v", "x.bin").where("v IS NOT NULL")
+
+
+def _bracketed(df: DataFrame, asks: list[Ask], limit: int) -> dict[str, tuple]:
+    ends = df.agg(*[e for i, a in enumerate(asks) for e in (
+        F.count(a.masked()).alias(f"n{i}"), F.min(a.masked()).alias(f"lo{i}"), F.max(a.masked()).alias(f"hi{i}"))]).first()
+    targets = [_Target(a, p, p * (ends[f"n{i}"] - 1), ends[f"lo{i}"], ends[f"hi{i}"], 0, ends[f"n{i}"])
+               for i, a in enumerate(asks) for p in a.probs]
+    found: dict[tuple[str, float], float] = {}
+    live = dict(enumerate(targets))
+    small = max(1000, limit // len(targets))
+    while wide := [(i, t) for i, t in live.items() if t.lo < t.hi and t.inside > small]:
+        bins: dict[int, list] = {}
+        for r in (_in_range(df, wide).groupBy("t", "bin").agg(F.count("*").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"))
+                  .orderBy("t", "bin").collect()):                       # at most BINS rows per quantile
+            bins.setdefault(r["t"], []).append(r)
+        for i, t in wide:
+            k0, k1 = t.ranks
+            upto, below, held = t.below, None, []
+            for r in bins[i]:
+                if upto + r["n"] > k0 and upto <= k1:
+                    below = upto if below is None else below
+                    held.append(r)
+                upto += r["n"]
+            t.lo, t.hi, t.below, t.inside = held[0]["lo"], held[-1]["hi"], below, sum(r["n"] for r in held)
+    rest = [(i, t) for i, t in live.items() if t.lo < t.hi]
+    got = {}
+    if rest:
+        ranks = df.sparkSession.createDataFrame([(i, t.ranks[0] - t.below, t.ranks[1] - t.below) for i, t in rest], "t int, k0 bigint, k1 bigint")
+        steps = (_in_range(df, rest).groupBy("t", "v").agg(F.count("*").alias("n"))
+                 .withColumn("upto", F.sum("n").over(W.partitionBy("t").orderBy("v"))).join(ranks, "t"))      # at most ``small`` rows per t
+        got = {r["t"]: (r["x0"], r["x1"]) for r in steps.groupBy("t").agg(
+            F.min(F.when(F.col("upto") > F.col("k0"), F.col("v"))).alias("x0"),
+            F.min(F.when(F.col("upto") > F.col("k1"), F.col("v"))).alias("x1")).collect()}
+    for i, t in live.items():
+        x0, x1 = got.get(i, (t.lo, t.lo))
+        found[(t.ask.name, t.prob)] = float(x0 + (x1 - x0) * (t.pos - t.ranks[0]))
+    return {a.name: tuple(found[(a.name, p)] for p in a.probs) for a in asks}
