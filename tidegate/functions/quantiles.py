@@ -40,8 +40,7 @@ def exact_quantiles(df: DataFrame, asks: list[Ask], limit: int = DIRECT_LIMIT,
     """
     if not asks:
         return {}
-    each = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), a.masked().alias("v")) for i, a in enumerate(asks)]))
-    long = df.select(each.alias("x")).select("x.i", "x.v").where("v IS NOT NULL")
+    long = _long(df, asks)
     share = limit // max(1, -(-len(asks) // 15))
     narrow = set(range(len(asks)))
     if bound is None or bound > share:
@@ -78,29 +77,34 @@ class _Target:
         return math.floor(self.pos), math.ceil(self.pos)
 
 
-def _in_range(df: DataFrame, targets: list[tuple[int, _Target]]) -> DataFrame:
-    """(t, v, bin): the rows inside each target's range; bins grow with the value."""
-    cells = []
-    for i, t in targets:
-        v = t.ask.masked()
-        held = F.when(v.between(t.lo, t.hi), v)
-        width = t.hi - t.lo
-        part = (held - F.lit(t.lo)) / F.lit(width) if math.isfinite(width) and width > 0 else held / F.lit(max(abs(t.lo), abs(t.hi), 1.0)) + 1
-        cells.append(F.struct(F.lit(i).alias("t"), held.alias("v"), F.floor(part * (BINS - 1)).cast("int").alias("bin")))
-    return df.select(F.explode(F.array(*cells)).alias("x")).select("x.t", "x.v", "x.bin").where("v IS NOT NULL")
+def _long(df: DataFrame, asks: list[Ask]) -> DataFrame:
+    """(i, v): the value of every ask a row belongs to."""
+    each = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), a.masked().alias("v")) for i, a in enumerate(asks)]))
+    return df.select(each.alias("x")).select("x.i", "x.v").where("v IS NOT NULL")
+
+
+def _in_range(long: DataFrame, targets: list[tuple[int, int, _Target]]) -> DataFrame:
+    """(t, v, bin): the rows inside each target's range; bins grow with the value. The ranges are
+    one row per target, so Spark joins them without a shuffle."""
+    ranges = long.sparkSession.createDataFrame(
+        [(i, t, x.lo, x.hi, x.hi - x.lo if math.isfinite(x.hi - x.lo) else x.hi / 2 - x.lo / 2) for t, i, x in targets],
+        "i int, t int, lo double, hi double, width double")
+    part = F.when(F.col("width") > 0, (F.col("v") - F.col("lo")) / F.col("width")).otherwise(0.0)
+    return (long.join(ranges, "i").where(F.col("v").between(F.col("lo"), F.col("hi")))
+            .select("t", "v", F.least(F.floor(part * (BINS - 1)), F.lit(2 * BINS)).cast("int").alias("bin")))
 
 
 def _bracketed(df: DataFrame, asks: list[Ask], limit: int) -> dict[str, tuple]:
-    ends = df.agg(*[e for i, a in enumerate(asks) for e in (
-        F.count(a.masked()).alias(f"n{i}"), F.min(a.masked()).alias(f"lo{i}"), F.max(a.masked()).alias(f"hi{i}"))]).first()
-    targets = [_Target(a, p, p * (ends[f"n{i}"] - 1), ends[f"lo{i}"], ends[f"hi{i}"], 0, ends[f"n{i}"])
-               for i, a in enumerate(asks) for p in a.probs]
+    long = _long(df, asks)
+    ends = {r["i"]: r for r in long.groupBy("i").agg(F.count("*").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi")).collect()}
+    which = [(i, p) for i, a in enumerate(asks) for p in a.probs]
+    targets = [_Target(asks[i], p, p * (ends[i]["n"] - 1), ends[i]["lo"], ends[i]["hi"], 0, ends[i]["n"]) for i, p in which]
     found: dict[tuple[str, float], float] = {}
     live = dict(enumerate(targets))
     small = max(1000, limit // len(targets))
     while wide := [(i, t) for i, t in live.items() if t.lo < t.hi and t.inside > small]:
         bins: dict[int, list] = {}
-        for r in (_in_range(df, wide).groupBy("t", "bin").agg(F.count("*").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"))
+        for r in (_in_range(long, [(i, which[i][0], t) for i, t in wide]).groupBy("t", "bin").agg(F.count("*").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"))
                   .orderBy("t", "bin").collect()):                       # at most BINS rows per quantile
             bins.setdefault(r["t"], []).append(r)
         for i, t in wide:
@@ -116,7 +120,7 @@ def _bracketed(df: DataFrame, asks: list[Ask], limit: int) -> dict[str, tuple]:
     got = {}
     if rest:
         ranks = df.sparkSession.createDataFrame([(i, t.ranks[0] - t.below, t.ranks[1] - t.below) for i, t in rest], "t int, k0 bigint, k1 bigint")
-        steps = (_in_range(df, rest).groupBy("t", "v").agg(F.count("*").alias("n"))
+        steps = (_in_range(long, [(i, which[i][0], t) for i, t in rest]).groupBy("t", "v").agg(F.count("*").alias("n"))
                  .withColumn("upto", F.sum("n").over(W.partitionBy("t").orderBy("v"))).join(ranks, "t"))      # at most ``small`` rows per t
         got = {r["t"]: (r["x0"], r["x1"]) for r in steps.groupBy("t").agg(
             F.min(F.when(F.col("upto") > F.col("k0"), F.col("v"))).alias("x0"),

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from tidegate.functions.hashing import hash_unit
 from tidegate.operators.inject import DefectSpec, inject
 from tidegate.queries.registry import held
-from tidegate.sources.tables import table
+from tidegate.sources.tables import one_task_per_core, table
 
 SEED = "7"
 ROW = "rid"
@@ -32,7 +32,7 @@ EVENT_SPECS = [DefectSpec("value_cap", "sentinel", "value", 0.05, value=500.0)]
 
 def line(spark: SparkSession, sf: str) -> DataFrame:
     """lineitem with a row id and a label that depends on the quantity."""
-    li = table(spark, sf, "lineitem")
+    li = one_task_per_core(table(spark, sf, "lineitem"))
     rid = F.concat_ws("-", *[F.col(c).cast("string") for c in ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")],
                       F.round(F.col("l_extendedprice") * 100).cast("bigint").cast("string"))
     keyed = li.withColumn(ROW, rid)

@@ -42,6 +42,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def one_task_per_core(df: DataFrame) -> DataFrame:
+    """Spread a table that lies in fewer files than there are cores, before CPU-heavy work on it.
+
+    A table of many files is returned as it is: it needs no shuffle to be parallel.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if len(df.inputFiles()) >= cores else df.repartition(cores)
+
+
 def read_csv(spark: SparkSession, path: str | list[str], schema: T.StructType | str | None = None) -> DataFrame:
     """CSV with a header; UTF-8, or Latin-1 when a line is not valid UTF-8; column names stripped.
 
