@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tidegate.llm import ann, chaining, chat, mixing, packing, quality_cnn, rules, simhash
+from tidegate.llm import ann, chaining, chat, mixing, packing, quality_cnn, rules, simhash, suffixes
 from tidegate.session import written
 from tidegate.sources.tables import table
 
@@ -81,6 +81,13 @@ def op9_chaining(spark: SparkSession, sf: str) -> DataFrame:
         F.coalesce("sources", F.array().cast("array<bigint>")).alias("source_ids"))
 
 
+@register
+def op10_suffixes(spark: SparkSession, sf: str) -> DataFrame:
+    removed = F.aggregate("spans", F.lit(0).cast("bigint"), lambda n, s: n + s["stop"] - s["start"])
+    return suffixes.dedup_bytes(table(spark, sf, "documents")).select(
+        "doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("bigint").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def _escape_sql(col: str, t: chat.ChatTemplate = chat.ChatTemplate()) -> str:
     out = f"replace(coalesce({col}, ''), '\\', '\\\\')"
     for s in t.controls:
