@@ -4,7 +4,8 @@ Every ``length``-byte string belongs to the smallest hash of its ``k``-byte subs
 strings meet in one bucket. Neighbouring strings of a document with the same smallest hash travel as
 one stretch of bytes; a chunk of documents sends the stretches of a bucket in one compressed block,
 equal ones once. In a bucket, stretches whose hash occurs in one document only are set aside, equal
-stretches are collapsed, and the suffixes of the rest are ordered: multikey quicksort, eight bytes a
+stretches are collapsed, strings that the smallest document of the hash has at the same distance from
+it are settled by comparing the two, and the suffixes of the rest are ordered: multikey quicksort, eight bytes a
 step, down to a shallow depth; groups that still agree there, and so share a long prefix, are finished
 by a blind trie (a group of two is the trie of one comparison). Suffixes that agree over ``length``
 bytes are repeats in every document but the smallest.
@@ -32,15 +33,14 @@ class SuffixSpec:
     length: int = 50
     k: int = 16
     shallow: int = 24               # bytes ordered by multikey quicksort; a multiple of 8 below ``length``
-    chunk: int = 8 << 20            # bytes of text handled at a time
+    chunk: int = 2 << 20            # bytes of text handled at a time
     stretch: int = 256              # strings of one stretch, at most
     bucket_bytes: int = 6 << 20     # of input per bucket
     least_buckets: int = 48
     small: int = 200_000            # rows of a table that may be broadcast
 
 
-def smallest_hashes(b: np.ndarray, spec: SuffixSpec) -> np.ndarray:
-    """For every string start the smallest substring hash inside the string."""
+def _substring_hashes(b: np.ndarray, spec: SuffixSpec) -> np.ndarray:
     raw = b.tobytes() + bytes(8)
     eight = np.ndarray((len(b) + 1,), "<u8", raw, strides=(1,))
     n = len(b) - spec.k + 1
@@ -48,7 +48,12 @@ def smallest_hashes(b: np.ndarray, spec: SuffixSpec) -> np.ndarray:
     for at in [*range(0, spec.k - 8, 8), spec.k - 8]:
         h = h * np.uint64(0x2545F4914F6CDD1D) + eight[at:at + n]
         h ^= h >> np.uint64(29)
-    h = scramble(h)
+    return scramble(h)
+
+
+def smallest_hashes(b: np.ndarray, spec: SuffixSpec) -> np.ndarray:
+    """For every string start the smallest substring hash inside the string."""
+    h = _substring_hashes(b, spec)
     width, have = spec.length - spec.k + 1, 1
     while 2 * have <= width:
         h = np.minimum(h[:len(h) - have], h[have:])
@@ -189,6 +194,42 @@ def equal_strings(b: np.ndarray, start: np.ndarray, group: np.ndarray, doc: np.n
     return least
 
 
+def _agree(b: np.ndarray, x: np.ndarray, y: np.ndarray, most: np.ndarray, step: int, width: int) -> np.ndarray:
+    """How many bytes agree from x and y on, in direction ``step``, up to ``most``."""
+    out = np.empty(len(x), np.int64)
+    k = np.arange(width) * step
+    for i in range(0, len(x), 1 << 15):
+        own = slice(i, i + (1 << 15))
+        same = b[np.clip(x[own, None] + k, 0, len(b) - 1)] == b[np.clip(y[own, None] + k, 0, len(b) - 1)]
+        same &= np.arange(width) < most[own, None]
+        out[own] = np.where(same.all(axis=1), width, same.argmin(axis=1))
+    return out
+
+
+def against_head(b, start, size, doc, reps, head, spec: SuffixSpec) -> tuple[np.ndarray, np.ndarray]:
+    """Per stretch the range of strings that the head of its group has around the common hash; empty
+    for the head itself and for stretches of the head's document."""
+    width = spec.length - spec.k + 1
+    raw = b.tobytes() + bytes(8)
+    place = np.zeros(len(start), np.int64)
+    who = np.unique(np.concatenate([reps, head]))
+    for i in range(0, len(who), 1 << 14):
+        own = who[i:i + (1 << 14)]
+        first = np.frombuffer(raw, np.uint8)[start[own, None] + np.arange(spec.length)]
+        place[own] = _substring_hashes(first.ravel(), spec)[np.arange(len(own))[:, None] * spec.length + np.arange(width)].argmin(axis=1)
+    lo, hi = np.zeros(len(reps), np.int64), np.zeros(len(reps), np.int64)
+    use = np.flatnonzero((reps != head) & (doc[reps] > doc[head]))
+    r, h = reps[use], head[use]
+    mr, mh = place[r], place[h]
+    left = _agree(b, start[r] + mr - 1, start[h] + mh - 1, np.minimum(mr, mh), -1, spec.length)
+    right = _agree(b, start[r] + mr, start[h] + mh, np.minimum(size[r] - mr, size[h] - mh), 1, spec.length)
+    lo[use] = mr - left
+    hi[use] = np.maximum(np.minimum(size[r] - spec.length, mr + right - spec.length) + 1, lo[use])
+    none = hi <= lo
+    lo[none] = hi[none] = 0
+    return lo, hi
+
+
 ROWS = pa.schema([("bucket", pa.int32()), ("block", pa.binary())])
 SPANS = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("stop", pa.int64())])
 
@@ -196,8 +237,8 @@ SPANS = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("stop", pa.in
 def _packed(doc, pos, size, tag, content) -> bytes:
     head = np.array([len(doc)], "<i8").tobytes()
     tag = tag.astype("<u4").view(np.uint8).reshape(-1, 4)[:, :3].T.tobytes()          # three bytes of the hash tell most groups apart
-    return zstandard.ZstdCompressor(level=1).compress(
-        b"".join([head, doc.astype("<i8").tobytes(), pos.astype("<i8").tobytes(), size.astype("<i4").tobytes(), tag, content.tobytes()]))
+    planes = [x.astype(kind).view(np.uint8).reshape(len(x), -1).T.tobytes() for x, kind in ((doc, "<i8"), (pos, "<i8"), (size, "<i4"))]      # equal high bytes side by side
+    return zstandard.ZstdCompressor(level=2).compress(b"".join([head, *planes, tag, content.tobytes()]))
 
 
 def _unpacked(block: bytes):
@@ -205,7 +246,7 @@ def _unpacked(block: bytes):
     n = int(np.frombuffer(raw, "<i8", 1)[0])
     at, out = 8, []
     for kind, width in (("<i8", 8), ("<i8", 8), ("<i4", 4)):
-        out.append(np.frombuffer(raw, kind, n, at).astype(np.int64))
+        out.append(np.ascontiguousarray(np.frombuffer(raw, np.uint8, n * width, at).reshape(width, n).T).view(kind).ravel().astype(np.int64))
         at += n * width
     tag = np.zeros((n, 4), np.uint8)
     tag[:, :3] = np.frombuffer(raw, np.uint8, 3 * n, at).reshape(3, n).T
@@ -276,27 +317,41 @@ def bucket_spans(raw_blocks: list[bytes], spec: SuffixSpec) -> tuple[np.ndarray,
         np.minimum.at(low, group, doc[order])
         np.maximum.at(high, group, doc[order])
         use = np.sort(order[(low < high)[group]])                            # the hash occurs in several documents
-        doc, pos, size, tag, start = doc[use], pos[use], size[use], tag[use], start[use]
+        doc, pos, size, tag = doc[use], pos[use], size[use], tag[use]
         if len(use):
+            b = gathered(b, start[use], size)
+            start = np.cumsum(size) - size
             lead, _ = collapse(b, start, size, doc, pos)
             settled = doc > doc[lead]
             spans.append(np.stack([doc[settled], pos[settled], (pos + size)[settled]]))
             reps = np.flatnonzero(lead == np.arange(len(lead)))
-            alone = np.bincount(np.unique(tag[reps], return_inverse=True)[1])[np.unique(tag[reps], return_inverse=True)[1]] == 1
-            reps = reps[~alone]
-            if len(reps):
-                n = size[reps] - spec.length + 1
-                at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-                owner = np.repeat(reps, n)
+            reps = reps[np.lexsort((pos[reps], doc[reps], tag[reps]))]
+            group = np.cumsum(np.append(True, tag[reps][1:] != tag[reps][:-1])) - 1
+            head = reps[np.flatnonzero(np.append(True, group[1:] != group[:-1]))][group]            # the group's smallest
+            lo, hi = against_head(b, start, size, doc, reps, head, spec)                              # strings lo .. hi - 1 are settled
+            n = size[reps] - spec.length + 1
+            open_ = (reps != head) & (hi - lo < n)
+            wanted = np.bincount(group, weights=open_)[group] > 0
+            cut = hi > lo
+            run = [(reps[cut], lo[cut], hi[cut] + spec.length - 1)]
+            owner = np.concatenate([reps[wanted], reps[wanted]])                                      # the strings before and after the settled ones
+            first = np.concatenate([np.zeros(int(wanted.sum()), np.int64), hi[wanted]])
+            many = np.concatenate([lo[wanted], (n - hi)[wanted]])
+            owner, first, many = owner[many > 0], first[many > 0], many[many > 0]
+            if len(owner):
+                at = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many) + np.repeat(first, many)
+                owner = np.repeat(owner, many)
                 hit = equal_strings(b, start[owner] + at, tag[owner], doc[owner], spec) < doc[owner]
-                new = np.append(True, (hit[1:] != hit[:-1]) | (owner[1:] != owner[:-1]))
+                new = np.append(True, (hit[1:] != hit[:-1]) | (owner[1:] != owner[:-1]) | (at[1:] != at[:-1] + 1))
                 s = np.flatnonzero(new)
                 e = np.append(s[1:], len(hit)) - 1
                 s, e = s[hit[s]], e[hit[s]]
-                run = (owner[s], at[s], at[e] + spec.length)
-                spans.append(np.stack([doc[run[0]], pos[run[0]] + run[1], pos[run[0]] + run[2]]))
+                run.append((owner[s], at[s], at[e] + spec.length))
+            run = [np.concatenate(x) for x in zip(*run)]
+            spans.append(np.stack([doc[run[0]], pos[run[0]] + run[1], pos[run[0]] + run[2]]))
+            if len(run[0]):
                 twin = np.flatnonzero((lead != np.arange(len(lead))) & ~settled)              # equal stretches of the same document share its runs
-                if len(twin) and len(s):
+                if len(twin):
                     by = np.argsort(run[0], kind="stable")
                     lo, hi = np.searchsorted(run[0][by], lead[twin], "left"), np.searchsorted(run[0][by], lead[twin], "right")
                     k = np.repeat(np.arange(len(twin)), hi - lo)
