@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tidegate.llm import ann, chaining, chat, mixing, packing, quality_cnn, rules, simhash, suffixes
+from tidegate.llm import ann, chaining, chat, langid, mixing, packing, quality_cnn, rules, simhash, suffixes
 from tidegate.session import written
 from tidegate.sources.tables import table
 
@@ -27,6 +27,11 @@ def op1_mixing(spark: SparkSession, sf: str) -> DataFrame:
     return mixing.mix(table(spark, sf, "documents"))
 
 
+@register
+def op2_language(spark: SparkSession, sf: str) -> DataFrame:
+    return langid.fuse(table(spark, sf, "pages"), langid.train_text(table(spark, sf, "documents")))
+
+
 @register
 def op3_quality(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents")
