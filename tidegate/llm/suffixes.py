@@ -33,9 +33,9 @@ class SuffixSpec:
     length: int = 50
     k: int = 16
     shallow: int = 24               # bytes ordered by multikey quicksort; a multiple of 8 below ``length``
-    chunk: int = 2 << 20            # bytes of text handled at a time
+    chunk: int = 1 << 20            # bytes of text handled at a time
     stretch: int = 256              # strings of one stretch, at most
-    bucket_bytes: int = 6 << 20     # of input per bucket
+    bucket_bytes: int = 3 << 20     # of input per bucket
     least_buckets: int = 48
     small: int = 200_000            # rows of a table that may be broadcast
 
@@ -81,16 +81,29 @@ def stretches(b: np.ndarray, bounds: np.ndarray, spec: SuffixSpec) -> tuple[np.n
     return start, count, scramble(low[start] + np.uint64(1))
 
 
-def content_hashes(b: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
-    up, down = _powers(len(b) + 1)
-    run = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_BYTE[b] * up[:len(b)], dtype=np.uint64)])
-    return scramble((run[start + size] - run[start]) * down[start] + size.astype(np.uint64))
+def content_hashes(b: np.ndarray, start: np.ndarray, size: np.ndarray, step: int = 1 << 19) -> np.ndarray:
+    """A hash of the bytes of every stretch; ``start`` ascends, and ``step`` bytes are held at a time."""
+    out, i = np.empty(len(start), np.uint64), 0
+    stop = start + size
+    while i < len(start):
+        j = max(i + 1, int(np.searchsorted(stop, start[i] + step, "right")))
+        part = b[start[i]:stop[j - 1]]
+        up, down = _powers(len(part) + 1)
+        run = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_BYTE[part] * up[:len(part)], dtype=np.uint64)])
+        at = start[i:j] - start[i]
+        out[i:j] = scramble((run[at + size[i:j]] - run[at]) * down[at] + size[i:j].astype(np.uint64))
+        i = j
+    return out
 
 
-def gathered(b: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+def gathered(b: np.ndarray, start: np.ndarray, size: np.ndarray, step: int = 1 << 14) -> np.ndarray:
     """The bytes b[start:start + size] of every stretch, one after the other."""
-    stop = np.cumsum(size)
-    return b[np.arange(int(stop[-1]) if len(stop) else 0) + np.repeat(start - stop + size, size)]
+    parts = [np.empty(0, np.uint8)]
+    for i in range(0, len(start), step):
+        x, n = start[i:i + step], size[i:i + step]
+        stop = np.cumsum(n)
+        parts.append(b[np.arange(int(stop[-1])) + np.repeat(x - stop + n, n)])
+    return np.concatenate(parts)
 
 
 def collapse(b: np.ndarray, start: np.ndarray, size: np.ndarray, doc: np.ndarray, pos: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -198,8 +211,8 @@ def _agree(b: np.ndarray, x: np.ndarray, y: np.ndarray, most: np.ndarray, step:
     """How many bytes agree from x and y on, in direction ``step``, up to ``most``."""
     out = np.empty(len(x), np.int64)
     k = np.arange(width) * step
-    for i in range(0, len(x), 1 << 15):
-        own = slice(i, i + (1 << 15))
+    for i in range(0, len(x), 1 << 13):
+        own = slice(i, i + (1 << 13))
         same = b[np.clip(x[own, None] + k, 0, len(b) - 1)] == b[np.clip(y[own, None] + k, 0, len(b) - 1)]
         same &= np.arange(width) < most[own, None]
         out[own] = np.where(same.all(axis=1), width, same.argmin(axis=1))
@@ -213,8 +226,8 @@ def against_head(b, start, size, doc, reps, head, spec: SuffixSpec) -> tuple[np.
     raw = b.tobytes() + bytes(8)
     place = np.zeros(len(start), np.int64)
     who = np.unique(np.concatenate([reps, head]))
-    for i in range(0, len(who), 1 << 14):
-        own = who[i:i + (1 << 14)]
+    for i in range(0, len(who), 1 << 13):
+        own = who[i:i + (1 << 13)]
         first = np.frombuffer(raw, np.uint8)[start[own, None] + np.arange(spec.length)]
         place[own] = _substring_hashes(first.ravel(), spec)[np.arange(len(own))[:, None] * spec.length + np.arange(width)].argmin(axis=1)
     lo, hi = np.zeros(len(reps), np.int64), np.zeros(len(reps), np.int64)
