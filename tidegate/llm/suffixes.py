@@ -35,7 +35,7 @@ class SuffixSpec:
     shallow: int = 24               # bytes ordered by multikey quicksort; a multiple of 8 below ``length``
     chunk: int = 1 << 20            # bytes of text handled at a time
     stretch: int = 256              # strings of one stretch, at most
-    bucket_bytes: int = 3 << 20     # of input per bucket
+    bucket_bytes: int = 6 << 20     # of input per bucket
     least_buckets: int = 48
     small: int = 200_000            # rows of a table that may be broadcast
 
@@ -251,7 +251,7 @@ def _packed(doc, pos, size, tag, content) -> bytes:
     head = np.array([len(doc)], "<i8").tobytes()
     tag = tag.astype("<u4").view(np.uint8).reshape(-1, 4)[:, :3].T.tobytes()          # three bytes of the hash tell most groups apart
     planes = [x.astype(kind).view(np.uint8).reshape(len(x), -1).T.tobytes() for x, kind in ((doc, "<i8"), (pos, "<i8"), (size, "<i4"))]      # equal high bytes side by side
-    return zstandard.ZstdCompressor(level=2).compress(b"".join([head, *planes, tag, content.tobytes()]))
+    return zstandard.ZstdCompressor(level=5).compress(b"".join([head, *planes, tag, content.tobytes()]))
 
 
 def _unpacked(block: bytes):
