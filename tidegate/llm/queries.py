@@ -1,9 +1,12 @@
 """The registered queries of this subpackage: op<N>_<name>, and the pipeline."""
 from __future__ import annotations
 
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tidegate.llm import ann, chaining, chat, langid, mixing, packing, quality_cnn, rules, simhash, suffixes
+from tidegate.llm.text import bounded_batches
 from tidegate.session import written
 from tidegate.sources.tables import table
 
@@ -18,8 +21,12 @@ def vocabulary(name: str = "word_bpe_49k.json") -> str:
 
 
 def register(fn):
-    QUERIES[fn.__name__] = fn
-    return fn
+    @wraps(fn)
+    def run(spark: SparkSession, sf: str) -> DataFrame:
+        bounded_batches(spark)
+        return fn(spark, sf)
+    QUERIES[fn.__name__] = run
+    return run
 
 
 @register

@@ -3,6 +3,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import SparkSession
 
 SPACE = b" \t\n\x0b\x0c\r"             # what separates words; bytes.split() uses the same six
 WORD = r"[^\x20\x09-\x0D]+"
@@ -25,3 +26,11 @@ def word_spans(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
 
 def batch_of(columns: dict, schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) for f in schema], schema=schema)
+
+
+def bounded_batches(spark: SparkSession, rows: int = 500) -> None:
+    """Whole texts go to Python tasks in batches of at most ``rows``, where the session leaves the
+    batch size at Spark's default: with long texts 10,000 rows are too many for a small executor."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key) == "10000":
+        spark.conf.set(key, str(rows))
