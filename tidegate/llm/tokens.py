@@ -40,7 +40,7 @@ class _Recent:
 class WordTokenizer:
     """ids(text) equals encode(text, add_special_tokens=False).ids; special strings are plain text."""
 
-    def __init__(self, path: str, cache: int = 400_000):
+    def __init__(self, path: str, cache: int = 120_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
         self.whole = Tokenizer.from_file(path)
