@@ -32,7 +32,7 @@ class PackSpec:
     capacity: int = 2048
     end_id: int = 0
     shard_rows: int = 16_384        # pieces packed together
-    groups: int = 64                # sizes of the linear programme
+    groups: int = 128               # sizes of the linear programme
     small: int = 512                # lengths up to this are only placed best-fit
 
 
