@@ -58,3 +58,20 @@ def test_t_quantile_and_commit_rule():
     assert abs(t_quantile(0.975, 14) - 2.1448) < 1e-3
     assert commit_bar(1.0, 0) == math.inf
     assert not clears(0.0, 0.0) and clears(0.1, 0.1) and not clears(0.1, 0.2)
+
+
+@pytest.mark.parametrize("limit", [100, 200_000])
+@pytest.mark.parametrize("case", ["two clusters", "nan", "inf", "constant", "wide"])
+def test_quantiles_end_and_agree_at_every_limit(spark, case, limit):
+    v = np.random.default_rng(3).random(8000)
+    v = {"two clusters": np.concatenate([v[:4000] / 2, v[4000:] / 2 + 1e6]), "nan": np.concatenate([v, [np.nan] * 5]), "inf": np.concatenate([v, [np.inf] * 5]),
+         "constant": np.full(8000, 2.0), "wide": np.concatenate([v, [1e300, -1e300, -np.inf]])}[case]
+    df = spark.createDataFrame([(float(x),) for x in v], "x double")
+    got = exact_quantiles(df, [Ask("q", F.col("x"), (0.25, 0.5, 0.75))], limit)["q"]
+    assert np.allclose(got, np.quantile(v[~np.isnan(v)], [0.25, 0.5, 0.75]), rtol=1e-12)
+
+
+def test_group_key_has_no_collisions(spark):
+    from tidegate.operators.folds import group_key
+    rows = [("a|b", "c"), ("a", "b|c"), (None, "x"), ("<NA>", "x"), ("-", "x"), ("1:a", None), ("1", "a"), ("", "1:a")]
+    assert spark.createDataFrame(rows, "x string, y string").select(group_key(["x", "y"])).distinct().count() == len(rows)

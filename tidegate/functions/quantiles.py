@@ -4,8 +4,8 @@ The built-in ``percentile`` keeps one counter per distinct value, which is right
 with a bounded number of them. Beyond ``limit`` distinct values the wanted ranks are bracketed
 instead: rows are counted in equal-width bins, the bin that holds a rank becomes its new value
 range, and only a range with few rows left is ranked. Counts below the range keep the rank exact.
-All quantiles narrow together, one aggregation per round, and no task ever sorts or holds more
-than a bounded number of values.
+All ranks narrow together, one aggregation per round, and no task ever sorts or holds more than a
+bounded number of values. NaN counts as NULL; infinite values are values.
 """
 from __future__ import annotations
 
@@ -28,6 +28,7 @@ class Ask:
 
     def masked(self) -> Column:
         v = self.value.cast("double")
+        v = F.when(~F.isnan(v), v)                        # NaN is no value, as NULL
         return v if self.where is None else F.when(self.where, v)
 
 
@@ -63,19 +64,13 @@ def exact_quantiles(df: DataFrame, asks: list[Ask], limit: int = DIRECT_LIMIT,
 
 @dataclass
 class _Target:
-    """One quantile of one ask: its 0-based ranks and the value range known to hold them."""
-    ask: Ask
-    prob: float
-    pos: float
+    """One 0-based rank of one ask, and the value range known to hold it."""
+    rank: int
     lo: float
     hi: float
     below: int
     inside: int
 
-    @property
-    def ranks(self) -> tuple[int, int]:
-        return math.floor(self.pos), math.ceil(self.pos)
-
 
 def _long(df: DataFrame, asks: list[Ask]) -> DataFrame:
     """(i, v): the value of every ask a row belongs to."""
@@ -83,49 +78,55 @@ def _long(df: DataFrame, asks: list[Ask]) -> DataFrame:
     return df.select(each.alias("x")).select("x.i", "x.v").where("v IS NOT NULL")
 
 
-def _in_range(long: DataFrame, targets: list[tuple[int, int, _Target]]) -> DataFrame:
-    """(t, v, bin): the rows inside each target's range; bins grow with the value. The ranges are
-    one row per target, so Spark joins them without a shuffle."""
-    ranges = long.sparkSession.createDataFrame(
-        [(i, t, x.lo, x.hi, x.hi - x.lo if math.isfinite(x.hi - x.lo) else x.hi / 2 - x.lo / 2) for t, i, x in targets],
-        "i int, t int, lo double, hi double, width double")
-    part = F.when(F.col("width") > 0, (F.col("v") - F.col("lo")) / F.col("width")).otherwise(0.0)
-    return (long.join(ranges, "i").where(F.col("v").between(F.col("lo"), F.col("hi")))
-            .select("t", "v", F.least(F.floor(part * (BINS - 1)), F.lit(2 * BINS)).cast("int").alias("bin")))
+def _in_range(long: DataFrame, targets: list[tuple[int, int, _Target]], finite: dict[int, tuple[float, float]]) -> DataFrame:
+    """(t, v, bin): the rows inside each target's range; bins grow with the value, and infinite values
+    have bins of their own. The ranges are one row per target, so Spark joins them without a shuffle."""
+    rows = []
+    for t, i, x in targets:
+        low, high = (x.lo if math.isfinite(x.lo) else finite[i][0]), (x.hi if math.isfinite(x.hi) else finite[i][1])
+        rows.append((i, t, x.lo, x.hi, low, high - low if math.isfinite(high - low) else high / 2 - low / 2))
+    ranges = long.sparkSession.createDataFrame(rows, "i int, t int, lo double, hi double, base double, width double")
+    part = F.when(F.col("width") > 0, (F.col("v") - F.col("base")) / F.col("width")).otherwise(0.0)
+    bin_ = (F.when(F.col("v") == float("inf"), 2 * BINS + 1).when(F.col("v") == float("-inf"), -1)
+            .otherwise(F.least(F.floor(part * (BINS - 1)), F.lit(2 * BINS))).cast("int"))
+    return long.join(ranges, "i").where(F.col("v").between(F.col("lo"), F.col("hi"))).select("t", "v", bin_.alias("bin"))
 
 
 def _bracketed(df: DataFrame, asks: list[Ask], limit: int) -> dict[str, tuple]:
     long = _long(df, asks)
-    ends = {r["i"]: r for r in long.groupBy("i").agg(F.count("*").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi")).collect()}
-    which = [(i, p) for i, a in enumerate(asks) for p in a.probs]
-    targets = [_Target(asks[i], p, p * (ends[i]["n"] - 1), ends[i]["lo"], ends[i]["hi"], 0, ends[i]["n"]) for i, p in which]
-    found: dict[tuple[str, float], float] = {}
-    live = dict(enumerate(targets))
+    real = F.when(F.abs("v") < float("inf"), F.col("v"))
+    ends = {r["i"]: r for r in long.groupBy("i").agg(F.count("*").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"),
+                                                     F.min(real).alias("flo"), F.max(real).alias("fhi")).collect()}
+    finite = {i: (r["flo"] or 0.0, r["fhi"] or 0.0) for i, r in ends.items()}
+    spots = {(i, p): p * (ends[i]["n"] - 1) for i, a in enumerate(asks) for p in a.probs}
+    which = sorted({(i, k) for (i, _), pos in spots.items() for k in (math.floor(pos), math.ceil(pos))})
+    targets = [_Target(k, ends[i]["lo"], ends[i]["hi"], 0, ends[i]["n"]) for i, k in which]      # every rank narrows alone
     small = max(1000, limit // len(targets))
-    while wide := [(i, t) for i, t in live.items() if t.lo < t.hi and t.inside > small]:
+    while wide := [(t, i, x) for t, ((i, _), x) in enumerate(zip(which, targets)) if x.lo < x.hi and x.inside > small]:
         bins: dict[int, list] = {}
-        for r in (_in_range(long, [(i, which[i][0], t) for i, t in wide]).groupBy("t", "bin").agg(F.count("*").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"))
-                  .orderBy("t", "bin").collect()):                       # at most BINS rows per quantile
+        for r in (_in_range(long, wide, finite).groupBy("t", "bin").agg(F.count("*").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"))
+                  .orderBy("t", "bin").collect()):                       # at most 2 * BINS + 3 rows per rank
             bins.setdefault(r["t"], []).append(r)
-        for i, t in wide:
-            k0, k1 = t.ranks
-            upto, below, held = t.below, None, []
-            for r in bins[i]:
-                if upto + r["n"] > k0 and upto <= k1:
-                    below = upto if below is None else below
-                    held.append(r)
+        for t, _, x in wide:
+            upto = x.below
+            for r in bins[t]:
+                if upto + r["n"] > x.rank:
+                    if r["n"] == x.inside and (r["lo"], r["hi"]) == (x.lo, x.hi):
+                        raise ArithmeticError(f"rank {x.rank}: the range {x.lo} .. {x.hi} does not shrink")
+                    x.lo, x.hi, x.below, x.inside = r["lo"], r["hi"], upto, r["n"]
+                    break
                 upto += r["n"]
-            t.lo, t.hi, t.below, t.inside = held[0]["lo"], held[-1]["hi"], below, sum(r["n"] for r in held)
-    rest = [(i, t) for i, t in live.items() if t.lo < t.hi]
-    got = {}
+    rest = [(t, i, x) for t, ((i, _), x) in enumerate(zip(which, targets)) if x.lo < x.hi]
+    found = {w: x.lo for w, x in zip(which, targets)}
     if rest:
-        ranks = df.sparkSession.createDataFrame([(i, t.ranks[0] - t.below, t.ranks[1] - t.below) for i, t in rest], "t int, k0 bigint, k1 bigint")
-        steps = (_in_range(long, [(i, which[i][0], t) for i, t in rest]).groupBy("t", "v").agg(F.count("*").alias("n"))
+        ranks = df.sparkSession.createDataFrame([(t, x.rank - x.below) for t, _, x in rest], "t int, k bigint")
+        steps = (_in_range(long, rest, finite).groupBy("t", "v").agg(F.count("*").alias("n"))
                  .withColumn("upto", F.sum("n").over(W.partitionBy("t").orderBy("v"))).join(ranks, "t"))      # at most ``small`` rows per t
-        got = {r["t"]: (r["x0"], r["x1"]) for r in steps.groupBy("t").agg(
-            F.min(F.when(F.col("upto") > F.col("k0"), F.col("v"))).alias("x0"),
-            F.min(F.when(F.col("upto") > F.col("k1"), F.col("v"))).alias("x1")).collect()}
-    for i, t in live.items():
-        x0, x1 = got.get(i, (t.lo, t.lo))
-        found[(t.ask.name, t.prob)] = float(x0 + (x1 - x0) * (t.pos - t.ranks[0]))
-    return {a.name: tuple(found[(a.name, p)] for p in a.probs) for a in asks}
+        for r in steps.where("upto > k").groupBy("t").agg(F.min("v").alias("x")).collect():
+            found[which[r["t"]]] = r["x"]
+
+    def value(i: int, p: float) -> float:
+        pos = spots[(i, p)]
+        x0, x1 = found[(i, math.floor(pos))], found[(i, math.ceil(pos))]
+        return float(x0 if x0 == x1 else x0 + (x1 - x0) * (pos - math.floor(pos)))
+    return {a.name: tuple(value(i, p) for p in a.probs) for i, a in enumerate(asks)}

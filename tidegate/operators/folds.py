@@ -41,8 +41,9 @@ def class_quota(df: DataFrame, cls: str, share: float) -> Column:
 
 
 def group_key(columns: list[str]) -> Column:
-    """md5 over the cells, NULL as its own marker so that NULL never merges with a neighbour."""
-    return F.md5(F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("<NA>")) for c in columns]))
+    """md5 over the cells, each with its length before it; NULL has none, so no two rows share a key."""
+    cells = [F.col(c).cast("string") for c in columns]
+    return F.md5(F.concat(*[F.coalesce(F.concat(F.length(x).cast("string"), F.lit(":"), x), F.lit("-")) for x in cells]))
 
 
 def grouped_split(df: DataFrame, features: list[str], label: str, row_id: str, seed: str,

@@ -36,8 +36,8 @@ def holdout_query(spark: SparkSession, sf: str) -> DataFrame:
     return holdout_split(dirty_orders(spark, sf)[0], F.col("o_orderstatus"), ROW, "hold").select(ROW, "o_orderstatus", "is_test")
 
 
-GROUPED = ("g0 AS (SELECT event_id AS rid, md5(event_type || '|' || CAST(user_id AS VARCHAR) || '|' || CASE WHEN value > 100 THEN '<NA>' "
-           "ELSE CAST(floor(value / 10) AS BIGINT)::VARCHAR END) AS g, CASE WHEN props LIKE '%1%' THEN 'a' ELSE 'b' END AS label FROM events), "
+GROUPED = ("g0 AS (SELECT event_id AS rid, md5(coalesce(length(event_type) || ':' || event_type, '-') || coalesce(length(user_id::VARCHAR) || ':' || user_id::VARCHAR, '-') || "
+           "coalesce(length((CASE WHEN NOT value > 100 THEN CAST(floor(value / 10) AS BIGINT)::VARCHAR END)) || ':' || (CASE WHEN NOT value > 100 THEN CAST(floor(value / 10) AS BIGINT)::VARCHAR END), '-')) AS g, CASE WHEN props LIKE '%1%' THEN 'a' ELSE 'b' END AS label FROM events), "
            "g1 AS (SELECT g, arg_min(label, rid) AS cls FROM g0 GROUP BY g), "
            "gd AS (SELECT CAST(greatest(0, least(6, floor(log(greatest(count(*), 1) / 4096.0) / log(16) + 1e-9))) AS INTEGER) AS _d FROM g0), "
            "gh AS (SELECT *, md5('split:' || g) AS _h FROM g1, gd), "
