@@ -3,7 +3,8 @@
 The vocabulary's pre-tokenizer cuts a text into pieces that are tokenized on their own, so ids can
 be kept by piece: the model only sees each worker's new pieces. Texts of printable ASCII and Latin-1
 letters are cut here; in any other text each word between ASCII white space (which is dropped and
-never joined across) goes through the whole tokenizer. Memory is that of a text's pieces.
+never joined across) goes through the whole tokenizer. Long texts are cut at white space into stretches of
+about ``STRETCH`` characters, so memory is that of a text's ids and of one stretch's pieces.
 """
 from __future__ import annotations
 
@@ -12,6 +13,8 @@ import re
 from array import array
 
 PLAIN = re.compile(r"[\t-\r -~À-ÖØ-öø-ÿ]*").fullmatch
+GAP = re.compile(r"[\x20\x09-\x0D]").search
+STRETCH = 1 << 18
 WORDS = re.compile(r"[^\x20\x09-\x0D]+").findall
 #: The vocabulary file's pre-tokenizer on lower-case PLAIN texts, and the byte-to-character table of byte-level BPE.
 PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9\s]+").findall
@@ -63,6 +66,16 @@ class WordTokenizer:
 
     def packed(self, text: str) -> bytes:
         """The ids as 32-bit numbers in the machine's order."""
+        out, at = [], 0
+        while len(text) - at > STRETCH:
+            gap = GAP(text, at + STRETCH)
+            if not gap:
+                break
+            out.append(self._stretch(text[at:gap.start()]))
+            at = gap.end()
+        return b"".join([*out, self._stretch(text[at:] if at else text)])
+
+    def _stretch(self, text: str) -> bytes:
         if PLAIN(text):
             parts, kept, new = PIECES(text.lower()), self.pieces, self._piece
         else:
