@@ -173,6 +173,38 @@ def test_passages(docs):
     assert [c.tolist() for c in chaining.chains(at, np.array([0, 5, 10, 12, 15]), chaining.ChainSpec())] == [[0, 1, 2, 4]]
 
 
+def test_passages_whose_seeds_occur_elsewhere(spark):
+    """Every run of 50 equal words is found, though its parts also stand alone in earlier and later documents."""
+    rng = random.Random(9)
+    new = lambda n: [f"w{rng.randrange(3000)}" for _ in range(n)]
+    passage = new(56)
+    texts = [new(60) + passage[i:i + 14] + new(60) for i in range(0, 42, 6)]
+    texts += [new(50) + passage + new(50)] + [new(60) + passage[i:i + 14] + new(60) for i in range(3, 42, 6)] + [new(70) + passage + new(30)]
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id bigint, text string").repartition(3)
+    got = {r.doc_id: [(s.start, s.stop) for s in r.spans] for r in chaining.repeat_spans(docs).collect()}
+    assert list(got) == [len(texts) - 1] and got[len(texts) - 1][0][0] <= 70 and got[len(texts) - 1][0][1] >= 126
+
+
+def test_alike_parts_of_an_alignment():
+    score = [3, -5, 4, -1, 2, -9, 1, 1]
+    assert chaining.heavy_parts(score) == [(0, 1), (2, 5), (6, 7), (7, 8)] or chaining.heavy_parts(score) == [(0, 1), (2, 5), (6, 8)]
+    x = np.arange(200, dtype=np.uint32)
+    y = x.copy()
+    y[60:140] += 1000
+    xs, ys, runs = chaining.align(x, y, np.array([5, 20, 150]), np.array([5, 20, 150]))
+    assert (xs, ys, runs.tolist()) == (0, 0, [[60, 60, 1], [80, 80, 0], [60, 60, 1]])
+    assert chaining.passages(xs, runs, chaining.ChainSpec()) == [(0, 60), (140, 200)]
+
+
+def test_long_texts_tokenize_in_stretches(monkeypatch):
+    from tidegate.llm import tokens
+    texts = ["one two  three\tfour " * 40, "é ß 日本 語 " * 30, "x" * 500]
+    coder = WordTokenizer(queries.vocabulary())
+    whole = [coder.ids(t) for t in texts]
+    monkeypatch.setattr(tokens, "STRETCH", 17)
+    assert [coder.ids(t) for t in texts] == whole == [coder.whole.encode(t, add_special_tokens=False).ids for t in texts]
+
+
 @pytest.mark.parametrize("chunk", [1 << 20, 700])
 def test_suffixes(docs, chunk):
     spec = suffixes.SuffixSpec(chunk=chunk, least_buckets=3)

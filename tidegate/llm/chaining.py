@@ -1,12 +1,17 @@
 """Fuzzy repeated passages by collinear chaining of word seeds.
 
 Seeds are the minimizers of ``k``-word strings: every run of k + w - 1 equal words shares one. A seed
-is matched with its first occurrence, the one in the smallest doc_id, and with the one just before
-it, so a seed makes at most two matches for each of its rows, however common it is. Matches of two documents are chained in
+carries a hash of the ``reach`` = min_words - w + 1 words that begin at it, so every run of min_words
+equal words holds a seed whose whole reach lies in the run. A seed is matched with its first occurrence,
+the one in the smallest doc_id, with the one just before it, and with the first and the previous one of
+equal reach: at most four matches for each row, however common the seed, and a run of min_words that an
+earlier document has is found even where its seeds also occur elsewhere. A match of equal reach counts
+as the seeds at both ends and the middle of the reach. Matches of two documents are chained in
 order of both positions: a chain gains k per seed and pays ``gap_cost`` per skipped word, the best
 predecessor is a prefix maximum in a Fenwick tree. Chains are cut at long gaps, their words are
 fetched in blocks and aligned between the seeds and beyond the ends; a passage of at least
-``min_words`` words in the later document, ``similarity`` of them aligned, is a repeat.
+``min_words`` words in the later document, ``similarity`` of them aligned, is a repeat. An alignment
+that is less alike as a whole gives the parts of it that are.
 
 Defined cases: words are compared with ASCII letters lower-cased; a null text has no words; rows with
 a null doc_id take no part and keep their text; rows that repeat a doc_id count as one document
@@ -39,6 +44,10 @@ class ChainSpec:
     block: int = 64                 # words of a text fetched together
     small: int = 500_000            # rows of an id table that may be broadcast
 
+    @property
+    def reach(self) -> int:
+        return self.min_words - self.w + 1
+
 
 def scramble(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
@@ -55,7 +64,7 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     if len(_POWERS[0]) < n:
         base = 0x5851F42D4C957F2D
         for i, b in enumerate((base, pow(base, -1, 1 << 64))):
-            _POWERS[i] = np.cumprod(np.concatenate([[1], np.full(n - 1, b, np.uint64)]).astype(np.uint64), dtype=np.uint64)
+            _POWERS[i] = np.cumprod(np.array([1] + [b] * (n - 1), np.uint64), dtype=np.uint64)
     return _POWERS[0], _POWERS[1]
 
 
@@ -96,33 +105,59 @@ def minimizers(h: np.ndarray, w: int) -> np.ndarray:
     return np.unique(view.argmin(axis=1) + np.arange(len(view)))
 
 
-SEEDS = pa.schema([("seed", pa.int64()), ("doc", pa.int64()), ("pos", pa.int32())])
+def reach_hashes(words: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
+    """A 31-bit hash of the n words from each position on; -1 where fewer follow."""
+    up, down = _powers(len(words) + 1)
+    run = np.concatenate([np.zeros(1, np.uint64), np.cumsum(words * up[:len(words)], dtype=np.uint64)])
+    to = np.minimum(at + n, len(words))
+    return np.where(at + n <= len(words), (scramble((run[to] - run[at]) * down[at]) >> np.uint64(33)).astype(np.int64), -1)
+
+
+SEEDS = pa.schema([("seed", pa.int64()), ("doc", pa.int64()), ("pos", pa.int32()), ("ahead", pa.int32())])
 
 
 def seeds(docs: DataFrame, spec: ChainSpec) -> DataFrame:
-    """seed, doc, pos of every minimizer of every text that is long enough to hold a passage."""
+    """seed, doc, pos, ahead (hash of its reach) of every minimizer of every text that is long enough to hold a passage."""
     def run(batches):
         for b in batches:
-            s, d, p = [np.empty(0, np.uint64)], [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+            s, d, p, r = [np.empty(0, np.uint64)], [np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0, np.int64)]
             for doc, text in zip(b.column(0).to_pylist(), b.column(1)):
                 words = word_hashes(as_bytes(text.as_py()).lower())
                 if len(words) >= spec.min_words * spec.similarity:
                     h = kmer_hashes(words, spec.k)
                     at = minimizers(h, spec.w)
-                    s.append(h[at]), p.append(at), d.append(np.full(len(at), doc))
-            yield batch_of({"seed": np.concatenate(s).view(np.int64), "doc": np.concatenate(d), "pos": np.concatenate(p).astype(np.int32)}, SEEDS)
-    return docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("bigint"), "text").mapInArrow(run, "seed bigint, doc bigint, pos int")
+                    s.append(h[at]), p.append(at), d.append(np.full(len(at), doc)), r.append(reach_hashes(words, at, spec.reach))
+            yield batch_of({"seed": np.concatenate(s).view(np.int64), "doc": np.concatenate(d), "pos": np.concatenate(p).astype(np.int32),
+                            "ahead": np.concatenate(r).astype(np.int32)}, SEEDS)
+    return docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("bigint"), "text").mapInArrow(run, "seed bigint, doc bigint, pos int, ahead int")
 
 
 def matches(found: DataFrame) -> DataFrame:
-    """a, d, pa, pd: every seed of a document with its first occurrence and with the one just before,
-    in order of (doc, pos), where these are in smaller documents."""
-    order = W.partitionBy("seed").orderBy("doc", "pos")
-    here = F.struct("doc", "pos")
-    placed = found.withColumns({"first": F.first(here).over(order), "last": F.lag(here).over(order)})
-    ends = F.filter(F.array_distinct(F.array("first", "last")), lambda x: x["doc"] < F.col("doc"))
+    """a, d, pa, pd, alike: every seed of a document with its first occurrence and with the one just before,
+    in order of (doc, pos), and with these two among the seeds of equal reach, where they are in smaller documents."""
+    here = F.struct("doc", "pos", "ahead")
+    every = W.partitionBy("seed").orderBy("doc", "pos")
+    alike = W.partitionBy("seed", "ahead").orderBy("doc", "pos")
+    placed = found.withColumns({"first": F.first(here).over(every), "last": F.lag(here).over(every), "next": F.lead("doc").over(every)})
+    placed = (placed.where("last IS NOT NULL OR next IS NOT NULL")         # a seed that occurs once has no match
+              .withColumns({"first_alike": F.first(here).over(alike), "last_alike": F.lag(here).over(alike)}))
+    ends = F.filter(F.array_distinct(F.array("first", "last", "first_alike", "last_alike")), lambda x: x["doc"] < F.col("doc"))
     return (placed.withColumn("e", F.explode(ends))
-            .select(F.col("e.doc").alias("a"), F.col("doc").alias("d"), F.col("e.pos").alias("pa"), F.col("pos").alias("pd")))
+            .select(F.col("e.doc").alias("a"), F.col("doc").alias("d"), F.col("e.pos").alias("pa"), F.col("pos").alias("pd"),
+                    ((F.col("ahead") >= 0) & (F.col("ahead") == F.col("e.ahead"))).alias("alike")))
+
+
+def spread(at: np.ndarray, dt: np.ndarray, alike: np.ndarray, spec: ChainSpec) -> tuple[np.ndarray, np.ndarray]:
+    """The matches of one pair, sorted by dt, then at; a match of equal reach also stands for the seeds in
+    the middle and at the end of its reach, unless the next match lies on its diagonal within the reach."""
+    last = spec.reach - spec.k
+    gap = np.append(np.diff(dt), last + 1)
+    lone = alike & ~((np.append(np.diff(at), -1) == gap) & (gap <= last))
+    if not lone.any():
+        return at, dt
+    both = np.concatenate([np.stack([dt, at], 1), *[np.stack([dt[lone] + x, at[lone] + x], 1) for x in (last // 2, last)]])
+    dt, at = np.unique(both, axis=0).T
+    return at, dt
 
 
 def chains(at: np.ndarray, dt: np.ndarray, spec: ChainSpec) -> list[np.ndarray]:
@@ -172,26 +207,46 @@ def chains(at: np.ndarray, dt: np.ndarray, spec: ChainSpec) -> list[np.ndarray]:
     return out
 
 
+def straight(at: np.ndarray, dt: np.ndarray, alike: np.ndarray, found: list[tuple[np.ndarray, np.ndarray]], spec: ChainSpec) -> list:
+    """Chains along one diagonal through matches of equal reach, where ``found`` has none that runs straight
+    there: a chain may leave a run of equal words for a stray seed, and its alignment then splits the run."""
+    at, dt, last = at[alike], dt[alike], spec.reach - spec.k
+    order = np.lexsort((dt, at - dt))
+    at, dt = at[order], dt[order]
+    cut = np.flatnonzero((np.diff(at - dt) != 0) | (np.diff(dt) > spec.reach)) + 1
+    have = [(y[0], y[-1], x[0] - y[0]) for x, y in found if len(np.unique(x - y)) == 1]
+    out = []
+    for x, y in zip(np.split(at, cut), np.split(dt, cut)):
+        x, y = np.append(x, x[-1] + last), np.append(y, y[-1] + last)
+        if not any(lo <= y[0] and hi >= y[-1] and shift == x[0] - y[0] for lo, hi, shift in have):
+            out.append((x, y))
+    return out
+
+
 CHAINS = pa.schema([("a", pa.int64()), ("d", pa.int64()), ("pa", pa.list_(pa.int32())), ("pd", pa.list_(pa.int32()))])
 
 
 def chained(found: DataFrame, spec: ChainSpec) -> DataFrame:
     """a, d, pa, pd: the chains of every pair of documents, streamed pair by pair."""
     def close(cols) -> dict | None:
-        a, d, at, dt = cols
+        a, d, at, dt, alike = cols
         cut = np.flatnonzero((a[1:] != a[:-1]) | (d[1:] != d[:-1])) + 1
         start, stop = np.concatenate([[0], cut]), np.concatenate([cut, [len(a)]])
-        keep = stop - start >= spec.min_seeds
+        keep = (stop - start >= spec.min_seeds) | np.logical_or.reduceat(alike, start)
         out = {n: [] for n in CHAINS.names}
         for s, e in zip(start[keep], stop[keep]):
-            for c in chains(at[s:e].astype(np.int64), dt[s:e].astype(np.int64), spec):
-                out["a"].append(a[s]), out["d"].append(d[s]), out["pa"].append(at[s:e][c]), out["pd"].append(dt[s:e][c])
+            x, y = spread(at[s:e].astype(np.int64), dt[s:e].astype(np.int64), alike[s:e], spec)
+            whole = [(x[c], y[c]) for c in chains(x, y, spec)]
+            if alike[s:e].any():
+                whole += straight(at[s:e].astype(np.int64), dt[s:e].astype(np.int64), alike[s:e], whole, spec)
+            for u, v in whole:
+                out["a"].append(a[s]), out["d"].append(d[s]), out["pa"].append(u), out["pd"].append(v)
         return out
 
     def run(batches):
         held = None
         for b in batches:
-            cols = [b.column(i).to_numpy() for i in range(4)]
+            cols = [b.column(i).to_numpy(zero_copy_only=False) for i in range(5)]
             if held is not None:
                 cols = [np.concatenate(x) for x in zip(held, cols)]
             if not len(cols[0]):
@@ -202,7 +257,7 @@ def chained(found: DataFrame, spec: ChainSpec) -> DataFrame:
                 yield batch_of(close([c[:tail] for c in cols]), CHAINS)
         if held is not None and len(held[0]):
             yield batch_of(close(held), CHAINS)
-    return (found.repartition("a", "d").sortWithinPartitions("a", "d", "pd", "pa").select("a", "d", "pa", "pd")
+    return (found.repartition("a", "d").sortWithinPartitions("a", "d", "pd", "pa").select("a", "d", "pa", "pd", "alike")
             .mapInArrow(run, "a bigint, d bigint, pa array<int>, pd array<int>"))
 
 
@@ -226,26 +281,69 @@ def word_blocks(docs: DataFrame, spec: ChainSpec) -> DataFrame:
     return docs.mapInArrow(run, "doc bigint, block int, words binary")
 
 
-def align(x: np.ndarray, y: np.ndarray, px: np.ndarray, py: np.ndarray, k: int) -> tuple[int, int, int, int, int]:
-    """(x start, x stop, y start, y stop, aligned words) of the alignment through the seeds at px, py:
-    word by word where both sides are equally far, else from both ends of the gap; ends are extended
-    while words agree."""
-    same = 0
-    for i in range(len(px) - 1):
+def align(x: np.ndarray, y: np.ndarray, px: np.ndarray, py: np.ndarray) -> tuple[int, int, np.ndarray]:
+    """(x start, y start, runs) of the alignment through the seeds at px, py: word by word where both
+    sides are equally far, else from both ends of the gap; the ends are extended while words agree.
+    A run has (x words, y words, 1 if they agree, else 0)."""
+    runs: list[tuple[int, int, int]] = []
+
+    def compare(u, v):
+        if len(u):
+            same = u == v
+            edge = np.concatenate([[0], np.flatnonzero(same[1:] != same[:-1]) + 1, [len(same)]])
+            runs.extend((n, n, int(e)) for n, e in zip(np.diff(edge).tolist(), same[edge[:-1]].tolist()))
+
+    m = int(min(px[0], py[0]))
+    back = int(np.argmin(np.append(x[px[0] - m:px[0]][::-1] == y[py[0] - m:py[0]][::-1], False)))
+    xs, ys = int(px[0]) - back, int(py[0]) - back
+    x0, y0 = xs, ys
+    turn = np.flatnonzero(np.diff(px) != np.diff(py))              # seeds after which the sides are not equally far
+    for i in turn.tolist():
+        compare(x[x0:px[i]], y[y0:py[i]])
         u, v = x[px[i]:px[i + 1]], y[py[i]:py[i + 1]]
-        if len(u) == len(v):
-            same += int((u == v).sum())
-        else:
-            n = min(len(u), len(v))
-            head = int(np.argmin(np.append(u[:n] == v[:n], False)))
-            tail = int(np.argmin(np.append((u[::-1][:n] == v[::-1][:n])[:n - head], False)))
-            same += head + tail
-    xs, ys, xe, ye = int(px[0]), int(py[0]), int(px[-1]), int(py[-1])
-    m = min(xs, ys)
-    back = int(np.argmin(np.append(x[xs - m:xs][::-1] == y[ys - m:ys][::-1], False)))
+        n = min(len(u), len(v))
+        head = int(np.argmin(np.append(u[:n] == v[:n], False)))
+        tail = int(np.argmin(np.append((u[::-1][:n] == v[::-1][:n])[:n - head], False)))
+        runs += [r for r in ((head, head, 1), (len(u) - head - tail, len(v) - head - tail, 0), (tail, tail, 1)) if r[0] or r[1]]
+        x0, y0 = int(px[i + 1]), int(py[i + 1])
+    xe, ye = int(px[-1]), int(py[-1])
     m = min(len(x) - xe, len(y) - ye)
     on = int(np.argmin(np.append(x[xe:xe + m] == y[ye:ye + m], False)))
-    return xs - back, xe + on, ys - back, ye + on, same + back + on
+    compare(x[x0:xe + on], y[y0:ye + on])
+    return xs, ys, np.array(runs, np.int64).reshape(-1, 3)
+
+
+def heavy_parts(score: list[float]) -> list[tuple[int, int]]:
+    """The maximal parts of positive sum: none can be made heavier by growing or shrinking, and runs of
+    positive scores are never split."""
+    done, stack, total = [], [], 0.0
+    for i, gain in enumerate(score):
+        if gain > 0:
+            low, high, start = total, total + gain, i
+            while True:
+                j = len(stack) - 1
+                while j >= 0 and stack[j][0] >= low:
+                    j -= 1
+                if j < 0:
+                    done += stack                     # the sum never was lower: nothing before can still grow
+                    stack = [(low, high, start, i + 1)]
+                    break
+                if stack[j][1] >= high:
+                    stack.append((low, high, start, i + 1))
+                    break
+                low, start = stack[j][0], stack[j][2]
+                del stack[j:]
+        total += gain
+    return [(s, e) for _, _, s, e in done + stack]
+
+
+def passages(xs: int, runs: np.ndarray, spec: ChainSpec) -> list[tuple[int, int]]:
+    """Word ranges (x side) of the repeats in an alignment: all of it where it is alike enough, else its
+    heaviest parts, in which every run of equal words is whole."""
+    gain = 2 * runs[:, 0] * runs[:, 2] - spec.similarity * (runs[:, 0] + runs[:, 1])
+    edge = np.concatenate([[0], np.cumsum(runs[:, 0])]) + xs
+    parts = [(0, len(runs))] if gain.sum() >= 0 else heavy_parts(gain.tolist())
+    return [(int(edge[s]), int(edge[e])) for s, e in parts if edge[e] - edge[s] >= spec.min_words]
 
 
 def repeats(docs: DataFrame, spec: ChainSpec = ChainSpec()) -> DataFrame:
@@ -274,9 +372,9 @@ def repeats(docs: DataFrame, spec: ChainSpec = ChainSpec()) -> DataFrame:
                     first[side] = own[0]["block"] * spec.block
                     text[side] = np.frombuffer(b"".join(p["words"] for p in own), np.uint32)
                 pd, at = np.array(r["pd"]) - first[0], np.array(r["pa"]) - first[1]
-                ds, de, as_, ae, same = align(text[0], text[1], pd, at, spec.k)
-                if de - ds >= spec.min_words and 2 * same >= spec.similarity * (de - ds + ae - as_):
-                    out["doc_id"].append(r["d"]), out["source_id"].append(r["a"]), out["start"].append(ds + first[0]), out["stop"].append(de + first[0])
+                xs, _, runs = align(text[0], text[1], pd, at)
+                for start, stop in passages(xs + first[0], runs, spec):
+                    out["doc_id"].append(r["d"]), out["source_id"].append(r["a"]), out["start"].append(start), out["stop"].append(stop)
             yield batch_of(out, schema)
     return found.join(parts, "chain").mapInArrow(run, "doc_id bigint, source_id bigint, start int, stop int")
 
