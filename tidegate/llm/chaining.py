@@ -290,6 +290,9 @@ def align(x: np.ndarray, y: np.ndarray, px: np.ndarray, py: np.ndarray) -> tuple
     def compare(u, v):
         if len(u):
             same = u == v
+            if same.all():
+                runs.append((len(u), len(u), 1))
+                return
             edge = np.concatenate([[0], np.flatnonzero(same[1:] != same[:-1]) + 1, [len(same)]])
             runs.extend((n, n, int(e)) for n, e in zip(np.diff(edge).tolist(), same[edge[:-1]].tolist()))
 
@@ -362,21 +365,28 @@ def repeats(docs: DataFrame, spec: ChainSpec = ChainSpec()) -> DataFrame:
     parts = fetched.groupBy("chain").agg(F.array_sort(F.collect_set(F.struct("side", "block", "words"))).alias("parts"))       # bounded by the chain's own length
     schema = pa.schema([("doc_id", pa.int64()), ("source_id", pa.int64()), ("start", pa.int32()), ("stop", pa.int32())])
 
+    def flat(col: pa.Array) -> tuple[np.ndarray, pa.Array]:
+        return col.offsets.to_numpy(), col.values
+
     def run(batches):
         for b in batches:
             out = {n: [] for n in schema.names}
-            for r in b.to_pylist():
-                text, first = {}, {}
-                for side in (0, 1):
-                    own = [p for p in r["parts"] if p["side"] == side]
-                    first[side] = own[0]["block"] * spec.block
-                    text[side] = np.frombuffer(b"".join(p["words"] for p in own), np.uint32)
-                pd, at = np.array(r["pd"]) - first[0], np.array(r["pa"]) - first[1]
-                xs, _, runs = align(text[0], text[1], pd, at)
-                for start, stop in passages(xs + first[0], runs, spec):
-                    out["doc_id"].append(r["d"]), out["source_id"].append(r["a"]), out["start"].append(start), out["stop"].append(stop)
+            a, d = b.column("a").to_numpy(), b.column("d").to_numpy()
+            (cut, at), (_, dt), (edge, got) = flat(b.column("pa")), flat(b.column("pd")), flat(b.column("parts"))
+            at, dt = at.to_numpy(), dt.to_numpy()
+            side, block, words = got.field("side").to_numpy(), got.field("block").to_numpy(), got.field("words")
+            byte = np.frombuffer(words.buffers()[1], np.int64 if pa.types.is_large_binary(words.type) else np.int32)[words.offset:words.offset + len(words) + 1]
+            every = np.frombuffer(words.buffers()[2], np.uint32)           # blocks of one chain lie one after another
+            for i in range(len(a)):
+                lo, hi = edge[i], edge[i + 1]
+                turn = lo + int(np.searchsorted(side[lo:hi], 1))
+                later, earlier = every[byte[lo] // 4:byte[turn] // 4], every[byte[turn] // 4:byte[hi] // 4]
+                first = int(block[lo]) * spec.block
+                xs, _, runs = align(later, earlier, dt[cut[i]:cut[i + 1]] - first, at[cut[i]:cut[i + 1]] - int(block[turn]) * spec.block)
+                for start, stop in passages(xs + first, runs, spec):
+                    out["doc_id"].append(d[i]), out["source_id"].append(a[i]), out["start"].append(start), out["stop"].append(stop)
             yield batch_of(out, schema)
-    return found.join(parts, "chain").mapInArrow(run, "doc_id bigint, source_id bigint, start int, stop int")
+    return found.join(parts, "chain").select("a", "d", "pa", "pd", "parts").mapInArrow(run, "doc_id bigint, source_id bigint, start int, stop int")
 
 
 def repeat_spans(docs: DataFrame, spec: ChainSpec = ChainSpec()) -> DataFrame:
