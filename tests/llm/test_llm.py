@@ -96,6 +96,39 @@ def test_covering_finds_every_link(spark, bucket):
     assert all(len(g) == 1 for g in groups.values()) and len({next(iter(g)) for g in groups.values()}) == len(groups)
 
 
+@pytest.mark.parametrize("bucket, size", [(64, 300), (512, 1500)])
+def test_covering_of_large_clusters_at_radius_6(spark, bucket, size):
+    """More fingerprints than a bucket takes share 32 bits, and some of the open ones are cut further: all links are found."""
+    rng = np.random.default_rng(4)
+    low = rng.choice(2 ** 20, size, replace=False).astype(np.uint64)
+    a = np.sort(np.concatenate([np.uint64(0xA5A5A5A5 << 32) | low, rng.integers(0, 2 ** 63, 40, dtype=np.uint64)]))
+    want = {frozenset((i, j)) for i, j in zip(*np.nonzero(np.triu(np.bitwise_count(a[:, None] ^ a[None, :]) <= 6, 1)))}
+    at = {int(x): i for i, x in enumerate(a.view(np.int64))}
+    parent = list(range(len(a)))
+
+    def root(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+    nodes = spark.createDataFrame([(x,) for x in at], "fp bigint")
+    for r in simhash.near_links(nodes, 6, bucket).collect():
+        parent[root(at[r.a])] = root(at[r.b])
+    assert want and all(len({root(i) for i in pair}) == 1 for pair in want)
+    assert len({root(i) for i in range(len(a))}) > 1
+
+
+def test_every_table_narrows_its_bucket():
+    rng = random.Random(2)
+    for radius in (4, 6):
+        for n in (64, 40, 32, 20, 10, radius + 1):
+            shared = sum(1 << b for b in rng.sample(range(64), 64 - n))
+            tables = simhash.masks(shared, radius).view(np.uint64).tolist()
+            assert all(m & shared == shared and m != shared for m in tables)
+            for _ in range(50):
+                x = sum(1 << b for b in rng.sample([b for b in range(64) if not shared >> b & 1], rng.randint(1, radius)))
+                assert any(not m & x for m in tables) or n == radius + 1 and x.bit_count() == radius + 1
+
+
 def test_near_copies(docs):
     got = {r.doc_id: r.component_id for r in simhash.near_copies(docs).collect()}
     assert got[1] == 0 and got[2] == 0 and got[11] == 0 and 3 not in got and 10 not in got

@@ -5,8 +5,8 @@ bits whose vector has an odd product with v. The vectors of at most ``radius`` d
 some v orthogonal to all of them, so in that table the pair has the same key: no pair is missed.
 Equal fingerprints are one node. A table's bucket is streamed in sorted order; up to ``bucket``
 fingerprints are compared in memory and give a spanning set of links, larger buckets are covered
-again on the bits they leave open. Each level halves these: after three levels at most 256 different
-fingerprints share a bucket, so the recursion ends and no bucket is ever capped or compared whole.
+again on the bits they leave open. The vectors of these are chosen anew, so that every table narrows
+its bucket; n open bits leave at most 2 ** n fingerprints, so the recursion ends with none left over.
 
 Defined cases: null and empty texts have fingerprint zero and link like any other; a null doc_id is
 kept, and takes part unless all ids of its component are null; repeated rows give repeated results;
@@ -14,6 +14,8 @@ an empty table gives no rows; other columns are ignored.
 """
 from __future__ import annotations
 
+from functools import lru_cache
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -28,6 +30,7 @@ BITS = 64
 SEED = 42                      # of the shingle hash: a fixed value
 STEP = 1 << 16                 # shingles counted at a time
 BUCKET = 512                   # fingerprints of one bucket compared in memory
+ROWS = 512                     # fingerprints covered at a time
 
 
 def fingerprint(text: str | None, width: int = 4) -> int:
@@ -62,31 +65,33 @@ def fingerprints(docs: DataFrame, of=fingerprint, carry: tuple[str, ...] = ("doc
     return docs.select(*carry, F.col("text").alias("_t")).mapInArrow(run, ", ".join(f"`{c}` {kinds[c]}" for c in carry) + ", fp bigint")
 
 
-def masks(open_bits: list[int], radius: int) -> list[int]:
-    """The tables' masks over ``open_bits``; index v - 1 belongs to vector v."""
-    n = 2 ** (radius + 1) - 1
-    vector = {b: n - i % n for i, b in enumerate(open_bits)}       # from the top: any run of them is balanced
-    return [sum(1 << b for b in open_bits if (vector[b] & v).bit_count() & 1) for v in range(1, n + 1)]
-
-
-def path_masks(radius: int, levels: int) -> list[tuple[int, int, int]]:
-    """(level-specific parent path, path, mask) of every table down to ``levels``; a path's mask holds
-    the bits that its bucket's members share. Path numbers are mixed-radix, so they are unique."""
-    full = range(BITS)
-    n = 2 ** (radius + 1) - 1
-    rows = [(0, v, m) for v, m in enumerate(masks(list(full), radius), 1)]
-    last = rows
-    for _ in range(levels - 1):
-        nxt = []
-        for _, path, m in last:
-            left = [b for b in full if not m >> b & 1]
-            nxt += [(path, path * (n + 1) + v, m | own) for v, own in enumerate(masks(left, radius), 1)]
-        rows, last = rows + nxt, nxt
-    return rows
-
-
-def _signed(m: int) -> int:
-    return m - (1 << 64) if m >> 63 else m
+@lru_cache(None)
+def vectors(n: int, radius: int) -> tuple[int, ...]:
+    """A non-zero vector of radius + 1 bits for each of n > radius open bits, so that every non-zero v has an
+    odd product with some of them, and with as many as a greedy choice reaches."""
+    every = np.arange(1, 2 ** (radius + 1))
+    odd = np.bitwise_count(every[:, None] & every[None, :]) & 1                       # by v and vector
+    share, greedy = np.ones(len(every)), []
+    for _ in range(n):
+        greedy.append(int(np.argmin(share @ np.where(odd, 0.5, 1.0))))
+        share = share * np.where(odd[:, greedy[-1]], 0.5, 1.0)
+    top = [len(every) - 1 - i % len(every) for i in range(n)]                         # 64 bits: all tables keep half or more
+    best = max((greedy, top), key=lambda x: odd[:, x].sum(axis=1).min())
+    if not odd[:, best].any(axis=1).all():
+        raise ValueError(f"no covering of {n} bits within {radius}")
+    return tuple(int(every[i]) for i in best)
+
+
+@lru_cache(1 << 15)
+def masks(shared: int, radius: int) -> np.ndarray:
+    """The tables over a bucket whose members share the bits ``shared``: the bits that each table's buckets share.
+    Every one has more than ``shared``; one of all bits joins nothing and is left out."""
+    left = [b for b in range(BITS) if not shared >> b & 1]
+    of = dict(zip(left, vectors(len(left), radius)))
+    out = [shared | sum(1 << b for b in left if (of[b] & v).bit_count() & 1) for v in range(1, 2 ** (radius + 1))]
+    if shared in out:
+        raise ValueError("a table does not narrow its bucket")
+    return np.array([m for m in out if m != (1 << BITS) - 1], np.uint64).view(np.int64)
 
 
 def _spanning(fps: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
@@ -120,17 +125,17 @@ def _close_pairs(fps: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
     return fps[at], fps[lead[at]]
 
 
-LINKS = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("path", pa.int32())])
+LINKS = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("mask", pa.int64())])
 
 
 def _scan(radius: int, bucket: int, join=_spanning):
-    """Streams (path, key, fp) in order; yields links (a, b, null) and, for buckets of more than
-    ``bucket`` members, these (fp, null, path) to be covered again. Holds one bucket at most."""
-    def emit(a, b=None, path=None):
+    """Streams (mask, key, fp) in order; yields links (a, b, null) and, for buckets of more than
+    ``bucket`` members, these (fp, null, mask) to be covered again. Holds one bucket at most."""
+    def emit(a, b=None, mask=None):
         return batch_of({"a": a, "b": pa.nulls(len(a), pa.int64()) if b is None else b,
-                         "path": pa.nulls(len(a), pa.int32()) if path is None else path}, LINKS)
+                         "mask": pa.nulls(len(a), pa.int64()) if mask is None else mask}, LINKS)
 
-    def runs(path, key, fp, start, stop):
+    def runs(mask, key, fp, start, stop):
         n = stop - start
         two = start[n == 2]
         hit = np.bitwise_count((fp[two] ^ fp[two + 1]).view(np.uint64)) <= radius
@@ -139,7 +144,7 @@ def _scan(radius: int, bucket: int, join=_spanning):
         if linked:
             yield emit(np.concatenate([x for x, _ in linked]), np.concatenate([y for _, y in linked]))
         for s, e in zip(start[n > bucket], stop[n > bucket]):
-            yield emit(fp[s:e], path=path[s:e])
+            yield emit(fp[s:e], mask=mask[s:e])
 
     def run(batches):
         held, large = None, None                      # rows of the open bucket; the open bucket's name once it is too large
@@ -151,24 +156,24 @@ def _scan(radius: int, bucket: int, join=_spanning):
                 return
             else:
                 rows = held
-            path, key, fp = rows
+            mask, key, fp = rows
             if large is not None and len(fp):
-                same = int(((path == large[0]) & (key == large[1])).sum())          # a prefix, as rows are sorted
-                yield emit(fp[:same], path=path[:same])
-                path, key, fp = path[same:], key[same:], fp[same:]
+                same = int(((mask == large[0]) & (key == large[1])).sum())          # a prefix, as rows are sorted
+                yield emit(fp[:same], mask=mask[:same])
+                mask, key, fp = mask[same:], key[same:], fp[same:]
                 large = None if len(fp) else large
             if not len(fp):
                 held = None
                 continue
-            cut = np.flatnonzero((path[1:] != path[:-1]) | (key[1:] != key[:-1])) + 1
+            cut = np.flatnonzero((mask[1:] != mask[:-1]) | (key[1:] != key[:-1])) + 1
             start, stop = np.concatenate([[0], cut]), np.concatenate([cut, [len(fp)]])
             if b is None:
-                yield from runs(path, key, fp, start, stop)
+                yield from runs(mask, key, fp, start, stop)
                 return
-            yield from runs(path, key, fp, start[:-1], stop[:-1])
-            held = path[start[-1]:], key[start[-1]:], fp[start[-1]:]
+            yield from runs(mask, key, fp, start[:-1], stop[:-1])
+            held = mask[start[-1]:], key[start[-1]:], fp[start[-1]:]
             if len(held[2]) > bucket:
-                yield emit(held[2], path=held[0])
+                yield emit(held[2], mask=held[0])
                 large, held = (held[0][0], held[1][0]), None
     return run
 
@@ -178,36 +183,36 @@ def _with_end(batches):
     yield None
 
 
+def _covered(radius: int):
+    """(mask, key, fp) of every table over the bucket whose members share the bits of ``shared``."""
+    def run(batches):
+        for b in batches:
+            shared, fp = (b.column(i).to_numpy() for i in range(2))
+            for m in np.unique(shared):
+                own, tables = fp[shared == m], masks(int(m) & (1 << BITS) - 1, radius)
+                for k in range(0, len(own), ROWS):
+                    part = own[k:k + ROWS]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.tile(tables, len(part))), pa.array((part[:, None] & tables[None, :]).ravel()),
+                                                      pa.array(np.repeat(part, len(tables)))], names=["mask", "key", "fp"])
+    return run
+
+
 def near_links(nodes: DataFrame, radius: int = 4, bucket: int = BUCKET, pairs: bool = False) -> DataFrame:
     """Links (a, b) between different fingerprints of ``nodes`` (column fp, each once) whose closure is
     the closure of all pairs within ``radius``; with ``pairs`` every link is such a pair itself."""
-    spark = nodes.sparkSession
-    levels = path_masks(radius, 3)
-    todo, links = nodes.select("fp", F.lit(0).alias("parent")), None
-    for level in range(3):
-        own = [(p, q, _signed(m)) for p, q, m in levels if _level(q, radius) == level]
-        if level == 0:                                # a literal list; deeper ones are a table joined on the parent path
-            each = F.explode(F.array(*[F.struct(F.lit(q).alias("path"), F.lit(m).alias("mask")) for _, q, m in own]))
-            rows = todo.select("fp", each.alias("t")).select("t.path", F.col("fp").bitwiseAND(F.col("t.mask")).alias("key"), "fp")
-        else:
-            tables = spark.createDataFrame(own, "parent int, path int, mask bigint")      # 31 ** (level + 1) rows at most
-            rows = todo.join(tables, "parent").select("path", F.col("fp").bitwiseAND(F.col("mask")).alias("key"), "fp").distinct()
-        out = written(rows.repartition("path", "key").sortWithinPartitions("path", "key", "fp")
-                      .mapInArrow(_scan(radius, max(bucket, 256) if level == 2 else bucket, _close_pairs if pairs else _spanning), "a bigint, b bigint, path int"), "near")
+    todo, links = nodes.select(F.lit(0).cast("bigint").alias("mask"), "fp"), None
+    most = max(bucket, 2 ** radius)                   # so a larger bucket has more than ``radius`` open bits
+    for level in range(BITS):                         # a mask grows at each level
+        rows = todo.mapInArrow(_covered(radius), "mask bigint, key bigint, fp bigint")
+        rows = rows.distinct() if level else rows     # several ways may lead to one bucket
+        out = written(rows.repartition("mask", "key").sortWithinPartitions("mask", "key", "fp")
+                      .mapInArrow(_scan(radius, most, _close_pairs if pairs else _spanning), "a bigint, b bigint, mask bigint"), "near")
         found = out.where("b IS NOT NULL").select("a", "b")
         links = found if links is None else links.unionByName(found)
-        todo = out.where("b IS NULL").select(F.col("a").alias("fp"), F.col("path").alias("parent"))
-        if level == 2 or todo.isEmpty():
-            break
-    return links.distinct()
-
-
-def _level(path: int, radius: int) -> int:
-    n, level = 2 ** (radius + 1), 0
-    while path >= n:
-        path //= n
-        level += 1
-    return level
+        todo = out.where("b IS NULL").select("mask", F.col("a").alias("fp"))
+        if todo.isEmpty():
+            return links.distinct()
+    raise ValueError("buckets are left that no table narrows")
 
 
 def near_classes(marked: DataFrame, radius: int = 4) -> DataFrame:
