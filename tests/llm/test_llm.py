@@ -134,6 +134,38 @@ def test_near_copies(docs):
     assert got[1] == 0 and got[2] == 0 and got[11] == 0 and 3 not in got and 10 not in got
 
 
+def _shingles(text):
+    w = text.split()
+    return {tuple(w[i:i + 5]) for i in range(max(1, len(w) - 4))}
+
+
+def _copy_groups(texts):
+    """Smallest id of every text's closure of pairs with 0.8 of their shingles in common, by brute force."""
+    sets, label = [_shingles(t) for t in texts], list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                low, high = sorted((label[i], label[j]))
+                label = [low if x == high else x for x in label]
+    return {i: x for i, x in enumerate(label) if label.count(x) > 1}
+
+
+def test_near_copies_with_edits_insertions_and_cuts(spark):
+    """Every pair of similarity 0.8 or more is found, also where a stretch of new words was put in."""
+    rng = random.Random(3)
+    new = lambda n: [f"v{rng.randrange(5000)}" for _ in range(n)]
+    texts = []
+    for _ in range(25):
+        base = new(200)
+        edited = list(base)
+        for i in rng.sample(range(200), 4):
+            edited[i] = "edited"
+        texts += [base, base[:90] + new(40) + base[90:], base[:160 + rng.randrange(10)], edited, new(30) + base]
+    docs = spark.createDataFrame(list(enumerate(map(" ".join, texts))), "doc_id bigint, text string").repartition(3)
+    want = _copy_groups([" ".join(t) for t in texts])
+    assert len(want) > 90 and {r.doc_id: r.component_id for r in simhash.near_copies(docs).collect()} == want
+
+
 def test_packing(docs, spark):
     path = queries.vocabulary()
     rows = packing.pack_documents(docs, packing.PackSpec(path)).collect()

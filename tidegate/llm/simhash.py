@@ -14,6 +14,7 @@ an empty table gives no rows; other columns are ignored.
 """
 from __future__ import annotations
 
+import math
 from functools import lru_cache
 
 import numpy as np
@@ -21,7 +22,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tidegate.llm.chaining import kmer_hashes, small_enough, word_hashes
+from tidegate.llm.chaining import kmer_hashes, word_hashes
 from tidegate.llm.components import components
 from tidegate.llm.text import as_bytes, batch_of
 from tidegate.session import written
@@ -31,6 +32,8 @@ SEED = 42                      # of the shingle hash: a fixed value
 STEP = 1 << 16                 # shingles counted at a time
 BUCKET = 512                   # fingerprints of one bucket compared in memory
 ROWS = 512                     # fingerprints covered at a time
+SAMPLE = 16                    # one text of so many tells which shingles are common
+COMMON = 100_000               # shingles ordered by that
 
 
 def fingerprint(text: str | None, width: int = 4) -> int:
@@ -53,13 +56,13 @@ def fingerprint(text: str | None, width: int = 4) -> int:
     return int(on.view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, of=fingerprint, carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+def fingerprints(docs: DataFrame, carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """``carry`` columns and fp, the fingerprint as a signed 64-bit number."""
     at = len(carry)
 
     def run(batches):
         for b in batches:
-            fp = np.array([of(t.as_py()) for t in b.column(at)], np.uint64).view(np.int64)
+            fp = np.array([fingerprint(t.as_py()) for t in b.column(at)], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([*[b.column(i) for i in range(at)], pa.array(fp)], names=[*carry, "fp"])
     kinds = {f.name: f.dataType.simpleString() for f in docs.schema}
     return docs.select(*carry, F.col("text").alias("_t")).mapInArrow(run, ", ".join(f"`{c}` {kinds[c]}" for c in carry) + ", fp bigint")
@@ -109,26 +112,10 @@ def _spanning(fps: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
     return fps[at], fps[label[at]]
 
 
-def _close_pairs(fps: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Real pairs within the radius: all of a small bucket; in a larger one every member with the
-    first one that leads it, so a dense bucket gives no more pairs than it has members."""
-    bits = fps.view(np.uint64)
-    near = np.bitwise_count(bits[:, None] ^ bits[None, :]) <= radius
-    if len(fps) <= 16:
-        i, j = np.nonzero(np.triu(near, 1))
-        return fps[j], fps[i]
-    lead = np.full(len(fps), -1)
-    for i in range(len(fps)):
-        if lead[i] < 0:
-            lead[near[i] & (lead < 0)] = i
-    at = np.flatnonzero(lead != np.arange(len(fps)))
-    return fps[at], fps[lead[at]]
-
-
 LINKS = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("mask", pa.int64())])
 
 
-def _scan(radius: int, bucket: int, join=_spanning):
+def _scan(radius: int, bucket: int):
     """Streams (mask, key, fp) in order; yields links (a, b, null) and, for buckets of more than
     ``bucket`` members, these (fp, null, mask) to be covered again. Holds one bucket at most."""
     def emit(a, b=None, mask=None):
@@ -140,7 +127,7 @@ def _scan(radius: int, bucket: int, join=_spanning):
         two = start[n == 2]
         hit = np.bitwise_count((fp[two] ^ fp[two + 1]).view(np.uint64)) <= radius
         yield emit(fp[two[hit] + 1], fp[two[hit]])
-        linked = [join(fp[s:e], radius) for s, e in zip(start[(n > 2) & (n <= bucket)], stop[(n > 2) & (n <= bucket)])]
+        linked = [_spanning(fp[s:e], radius) for s, e in zip(start[(n > 2) & (n <= bucket)], stop[(n > 2) & (n <= bucket)])]
         if linked:
             yield emit(np.concatenate([x for x, _ in linked]), np.concatenate([y for _, y in linked]))
         for s, e in zip(start[n > bucket], stop[n > bucket]):
@@ -197,16 +184,16 @@ def _covered(radius: int):
     return run
 
 
-def near_links(nodes: DataFrame, radius: int = 4, bucket: int = BUCKET, pairs: bool = False) -> DataFrame:
+def near_links(nodes: DataFrame, radius: int = 4, bucket: int = BUCKET) -> DataFrame:
     """Links (a, b) between different fingerprints of ``nodes`` (column fp, each once) whose closure is
-    the closure of all pairs within ``radius``; with ``pairs`` every link is such a pair itself."""
+    the closure of all pairs within ``radius``."""
     todo, links = nodes.select(F.lit(0).cast("bigint").alias("mask"), "fp"), None
     most = max(bucket, 2 ** radius)                   # so a larger bucket has more than ``radius`` open bits
     for level in range(BITS):                         # a mask grows at each level
         rows = todo.mapInArrow(_covered(radius), "mask bigint, key bigint, fp bigint")
         rows = rows.distinct() if level else rows     # several ways may lead to one bucket
         out = written(rows.repartition("mask", "key").sortWithinPartitions("mask", "key", "fp")
-                      .mapInArrow(_scan(radius, most, _close_pairs if pairs else _spanning), "a bigint, b bigint, mask bigint"), "near")
+                      .mapInArrow(_scan(radius, most), "a bigint, b bigint, mask bigint"), "near")
         found = out.where("b IS NOT NULL").select("a", "b")
         links = found if links is None else links.unionByName(found)
         todo = out.where("b IS NULL").select("mask", F.col("a").alias("fp"))
@@ -225,16 +212,6 @@ def near_classes(marked: DataFrame, radius: int = 4) -> DataFrame:
     return joined.join(least, "root").select("fp", "component_id")
 
 
-def word_set_fingerprint(text: str | None) -> int:
-    """The same vote over a text's different words: an edit moves one of them, not several shingles."""
-    words = set(as_bytes(text).lower().split())
-    if not words:
-        return 0
-    h = np.array([xxhash.xxh64_intdigest(w, SEED) for w in words], "<u8")
-    votes = sum(np.unpackbits(h[k:k + STEP].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64) for k in range(0, len(h), STEP))
-    return int(np.packbits(votes * 2 > len(h), bitorder="little").view("<u8")[0])
-
-
 def shingle_sets(texts: DataFrame, width: int = 5) -> DataFrame:
     """doc_id, shingles: the sorted hashes of a text's different ``width``-word shingles (of the whole
     text if it is shorter)."""
@@ -250,27 +227,91 @@ def shingle_sets(texts: DataFrame, width: int = 5) -> DataFrame:
     return texts.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(run, "doc_id bigint, shingles array<bigint>")
 
 
-def near_copies(docs: DataFrame, similarity: float = 0.8, radius: int = 6, small: int = 500_000) -> DataFrame:
+def common_shingles(sets: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """The most frequent shingles of a seeded sample of texts, sorted, and their counts there. They only
+    serve to order shingles, so the sample changes the cost of a join on prefixes but not its pairs."""
+    some = sets.where(F.pmod(F.xxhash64(F.lit(SEED), "doc_id"), F.lit(SAMPLE)) == 0)
+    counts = some.select(F.explode("shingles").alias("s")).groupBy("s").agg(F.count("*").alias("n")).where("n > 1")
+    rows = sorted((r["s"], r["n"]) for r in counts.orderBy(F.desc("n"), "s").limit(COMMON).collect())
+    return np.array([s for s, _ in rows], np.int64), np.array([n for _, n in rows], np.int64)
+
+
+def prefixes(sets: DataFrame, similarity: float) -> DataFrame:
+    """token, doc, n: of each text's n shingles the rarest n - ceil(similarity * n) + 1, in one order for all
+    texts. Sets of this similarity share ceil(similarity * n) shingles or more, so also one of these."""
+    seen, often = common_shingles(sets)
+    schema = pa.schema([("token", pa.int64()), ("doc", pa.int64()), ("n", pa.int32())])
+
+    def run(batches):
+        for b in batches:
+            out = [np.empty(0, np.int64)]
+            docs, sizes, takes = b.column(0).to_numpy(), [], []
+            for s in b.column(1):
+                s = s.values.to_numpy()
+                count = np.zeros(len(s), np.int64)
+                if len(seen) and len(s):
+                    at = np.minimum(np.searchsorted(seen, s), len(seen) - 1)
+                    count = np.where(seen[at] == s, often[at], 0)
+                take = len(s) - math.ceil(similarity * len(s) - 1e-9) + 1 if len(s) else 0
+                out.append(s[np.lexsort((s, count))[:take]])
+                sizes.append(len(s)), takes.append(take)
+            yield batch_of({"token": np.concatenate(out), "doc": np.repeat(docs, takes), "n": np.repeat(np.array(sizes, np.int32), takes)}, schema)
+    return sets.select("doc_id", "shingles").mapInArrow(run, "token bigint, doc bigint, n int")
+
+
+def alike(sets: DataFrame, similarity: float) -> DataFrame:
+    """x, y: links between sets (doc_id, shingles; none twice) of at least ``similarity`` shingles in common,
+    whose closure is the closure of all such pairs.
+
+    Texts that share a prefix token form its list. A round compares some leaders of every list with all its
+    other members that are not yet linked to them; the first round takes one leader, each later one
+    about four times as many, chosen by a hash. A list is done when all its members are linked or all
+    have led, so every pair of a list is compared or already linked, and no list is capped.
+    """
+    keys = written(prefixes(sets, similarity), "prefixes")
+    shared = keys.groupBy("token").agg(F.count("*").alias("members"), F.min("doc").alias("lead")).where("members > 1")
+    rows = written(keys.join(shared, "token"), "lists")
+    links, roots, led = None, None, 0
+    while True:
+        if roots is None:
+            now = rows.withColumn("root", F.col("doc"))
+        else:
+            now = rows.join(roots, rows["doc"] == roots["node"], "left").select(*rows.columns, F.coalesce("root", "doc").alias("root"))
+            live = now.groupBy("token").agg(F.count("*").alias("_n"), F.min("root").alias("_low"), F.max("root").alias("_high"))
+            now = written(now.join(live.where(f"_low < _high AND _n > {led}").select("token"), "token", "left_semi"), "live-lists")
+        if now.isEmpty():
+            break
+        turn = F.pmod(F.xxhash64(F.lit(SEED), "doc"), F.lit(1 << 30)) / F.lit(1 << 30) * F.col("members")
+        most = 4 * led or 1
+        first = F.col("doc") == F.col("lead") if roots is None else (turn >= (led if led > 1 else 0)) & (turn < most)
+        x = now.where(first).select("token", F.col("doc").alias("x"), F.col("n").alias("nx"), F.col("root").alias("rx"))
+        y = now.select("token", F.col("doc").alias("y"), F.col("n").alias("ny"), F.col("root").alias("ry"))
+        size = F.least("nx", "ny") >= similarity * F.greatest("nx", "ny") - 1e-9
+        pairs = written(x.join(y, "token").where((F.col("rx") != F.col("ry")) & size)
+                        .select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct(), "near-pairs")
+        sx, sy = (sets.select(F.col("doc_id").alias(n), F.col("shingles").alias(f"s{n}")) for n in "xy")
+        both = pairs.join(sx, "x").join(sy, "y").withColumn("common", F.size(F.array_intersect("sx", "sy")))
+        close = written(both.where(F.col("common") >= similarity * (F.size("sx") + F.size("sy") - F.col("common")) - 1e-9).select("x", "y"), "alike")
+        links = close if links is None else links.unionByName(close)
+        roots = written(components(links, "x", "y"), "alike-roots")
+        led = most
+    return sets.sparkSession.createDataFrame([], "x bigint, y bigint") if links is None else links
+
+
+def near_copies(docs: DataFrame, similarity: float = 0.8) -> DataFrame:
     """doc_id, component_id of every document whose words are those of another, exactly or with at
-    least ``similarity`` of all five-word shingles in common. Word-set fingerprints within ``radius``
-    propose pairs; the shingles of both texts decide. Rows without a doc_id take no part."""
+    least ``similarity`` of all five-word shingles in common. Rows without a doc_id take no part."""
     docs = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    marked = written(fingerprints(docs.withColumn("key", F.md5(F.coalesce("text", F.lit("")))), of=word_set_fingerprint, carry=("doc_id", "key")), "word-sets")
-    nodes = written(marked.groupBy("key").agg(F.min("fp").alias("fp"), F.min("doc_id").alias("first_id")), "texts")
-    lead = nodes.groupBy("fp").agg(F.min("first_id").alias("lead"))
-    lead = written(lead, "leads")
-    near = near_links(lead.select("fp"), radius, pairs=True)
-    a, b = lead.select(F.col("fp").alias("a"), F.col("lead").alias("x")), lead.select(F.col("fp").alias("b"), F.col("lead").alias("y"))
-    pairs = near.join(a, "a").join(b, "b").select("x", "y").unionByName(
-        nodes.join(lead, "fp").where("first_id <> lead").select(F.col("lead").alias("x"), F.col("first_id").alias("y")))
-    pairs = written(pairs, "near-pairs")
-    ids = written(pairs.select(F.explode(F.array("x", "y")).alias("doc_id")).distinct(), "near-ids")
-    sets = written(shingle_sets(docs.join(small_enough(ids, small), "doc_id", "left_semi")), "shingles")
-    x, y = (sets.select(F.col("doc_id").alias(n), F.col("shingles").alias(f"s{n}")) for n in "xy")
-    both = pairs.join(x, "x").join(y, "y").withColumn("common", F.size(F.array_intersect("sx", "sy")))
-    close = both.where(F.col("common") >= similarity * (F.size("sx") + F.size("sy") - F.col("common"))).select("x", "y")
+    marked = written(docs.select("doc_id", F.md5(F.coalesce("text", F.lit(""))).alias("key")), "text-keys")
+    nodes = written(marked.groupBy("key").agg(F.min("doc_id").alias("first_id")), "texts")
+    one = docs.withColumn("key", F.md5(F.coalesce("text", F.lit("")))).join(nodes, "key").where("doc_id = first_id").dropDuplicates(["key"])
+    every = written(shingle_sets(one).withColumn("set", F.md5(F.array_join(F.transform("shingles", lambda h: F.hex(h)), ","))), "shingles")
+    least = written(every.groupBy("set").agg(F.min("doc_id").alias("lead")), "sets")
+    same = every.join(least, "set").where("doc_id <> lead").select(F.col("lead").alias("x"), F.col("doc_id").alias("y"))
+    sets = every.join(least.select(F.col("lead").alias("doc_id")), "doc_id", "left_semi").select("doc_id", "shingles")
     copies = marked.join(nodes, "key").where("doc_id <> first_id").select(F.col("first_id").alias("x"), F.col("doc_id").alias("y"))
-    return components(close.unionByName(copies), "x", "y").select(F.col("node").alias("doc_id"), F.col("root").alias("component_id"))
+    links = alike(sets, similarity).unionByName(same).unionByName(copies)
+    return components(links, "x", "y").select(F.col("node").alias("doc_id"), F.col("root").alias("component_id"))
 
 
 def hex_of(fp: Column) -> Column:
