@@ -166,6 +166,40 @@ def test_near_copies_with_edits_insertions_and_cuts(spark):
     assert len(want) > 90 and {r.doc_id: r.component_id for r in simhash.near_copies(docs).collect()} == want
 
 
+def test_near_copies_of_several_families(spark):
+    """Families of the same words in other order, which all share some shingles with the first text and are not its copies."""
+    rng = random.Random(6)
+    words, common = [f"v{i}" for i in range(120)], [f"c{i}" for i in range(30)]
+    texts = [words + common]
+    for _ in range(30):
+        base = rng.sample(words, 120) + common
+        for _ in range(4):
+            copy = list(base)
+            copy[rng.randrange(120)] = "edited"
+            texts.append(copy)
+    docs = spark.createDataFrame(list(enumerate(map(" ".join, texts))), "doc_id bigint, text string").repartition(3)
+    want = _copy_groups([" ".join(t) for t in texts])
+    assert len(want) > 100 and {r.doc_id: r.component_id for r in simhash.near_copies(docs).collect()} == want
+
+
+def test_alike_compares_what_the_first_leaders_reject(spark):
+    """Sets over few tokens: every list is long, and few of its members are like the one that leads."""
+    rng = random.Random(8)
+    sets = sorted({tuple(sorted(rng.sample(range(15), rng.randint(8, 11)))) for _ in range(150)}, key=lambda s: rng.random())
+    parent = list(range(len(sets)))
+
+    def root(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+    near = {(i, j) for j in range(len(sets)) for i in range(j) if len({*sets[i]} & {*sets[j]}) >= 0.8 * len({*sets[i]} | {*sets[j]})}
+    frame = spark.createDataFrame([(i, list(s)) for i, s in enumerate(sets)], "doc_id bigint, shingles array<bigint>")
+    got = {(r.x, r.y) for r in simhash.alike(frame, 0.8).collect()}
+    for i, j in got:
+        parent[root(i)] = root(j)
+    assert got <= near and len(near) > 20 and all(root(i) == root(j) for i, j in near)
+
+
 def test_packing(docs, spark):
     path = queries.vocabulary()
     rows = packing.pack_documents(docs, packing.PackSpec(path)).collect()
