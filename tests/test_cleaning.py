@@ -73,6 +73,20 @@ def test_wide_spelling_table_is_joined(spark, monkeypatch, ages):
     assert {r["job"] for r in wide.select("job").distinct().collect()} == {"ab-c", "d e"}
 
 
+def test_wide_spelling_tables_in_folds(spark, monkeypatch, ages):
+    """Joined spelling tables give every fold the values and the design that inlined ones give."""
+    bad, _ = inject(ages, [DefectSpec("j", "category_variants", "job", 0.3)], "2", "rid")
+    a = arena(bad, "y", "yes", "rid")
+    got = []
+    for most in (R.INLINE_SPELLINGS, 1):
+        monkeypatch.setattr(R, "INLINE_SPELLINGS", most)
+        state = R.fit_folds(a.df, {"job": "normalize_categories", "*": "dedupe_rows"}, a.models, "rid")
+        assert ("table" in state.steps[0][2][0]) == (most == 1)
+        seen = state.df.select("rid", F.array(*[state.value("job", m) for m in range(15)]).alias("v"), F.array(*state.train).alias("t"))
+        got.append((sorted(map(tuple, seen.collect())), [x.tolist() for x in encode(a, state)[1].remap]))
+    assert got[0] == got[1] and {v for _, row, _ in got[1][0] for v in row} == {"ab-c", "d e"}
+
+
 def test_clip_refuses_a_flat_column(spark):
     df = spark.createDataFrame([(i, 0.0 if i else 5.0) for i in range(50)], "rid bigint, v double")
     with pytest.raises(R.RepairError):

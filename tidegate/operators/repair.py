@@ -8,6 +8,7 @@ held-out rows and to a stream.
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
@@ -132,6 +133,13 @@ def _fit_spellings(df: DataFrame, column: str, models: Models) -> list[dict]:
     return [{"forms": f} for f in out]
 
 
+def known_forms(params: dict, keys: list[str]) -> dict[str, str]:
+    """The forms of ``keys``, which are few enough for the driver."""
+    if "forms" in params:
+        return params["forms"]
+    return {r["key"]: r["form"] for r in params["table"].where(F.col("key").isin(keys)).collect()}
+
+
 # ---------------------------------------------------------------- applying
 
 def repaired(op: str, c: Column, params: dict) -> Column:
@@ -237,9 +245,10 @@ class FoldFit:
     def value(self, column: str, model: int) -> Column:
         """The column as model ``model`` sees it."""
         c = F.col(f"`{column}`")
-        for op, col, params in self.steps:
+        for j, (op, col, params) in enumerate(self.steps):
             if col == column and op not in K.ROW_OPS:
-                c = repaired(op, c, params[model])
+                joined = "table" in params[model]
+                c = F.coalesce(F.element_at(f"_forms{j}", F.lit(model)), c) if joined else repaired(op, c, params[model])
         return c
 
 
@@ -269,11 +278,20 @@ def fit_folds(df: DataFrame, ops: dict[str, str], models: Models, row_id: str,
             before += (column,)
         elif op == "dedupe_rows":                     # what counts as a copy depends on every repair so far
             before += (tuple(ops.items())[:len(state.steps) + 1],)
+        if any("table" in p for p in params):
+            state.df = _join_spellings(state.df, column, params, f"_forms{len(state.steps)}")
         state.steps.append((op, column, params))
     state.rows_key = before
     return state
 
 
+def _join_spellings(df: DataFrame, column: str, params: list[dict], name: str) -> DataFrame:
+    """``name``: the form of the column's key by model, at most one entry per model."""
+    tables = [p["table"].select(F.lit(m).alias("m"), F.col("key").alias("_key"), "form") for m, p in enumerate(params)]
+    forms = reduce(DataFrame.unionByName, tables).groupBy("_key").agg(F.map_from_entries(F.collect_list(F.struct("m", "form"))).alias(name))
+    return df.withColumn("_k", norm_key(F.col(f"`{column}`"))).join(forms, F.col("_k") == F.col("_key"), "left").drop("_k", "_key")
+
+
 def _keep_first_copies(state: FoldFit, row_id: str) -> None:
     """Mark, per model, the first training row of each group of copies (as that model sees them)."""
     cols = [c for c in state.df.columns if c != row_id and not c.startswith(("fold_", "_"))]

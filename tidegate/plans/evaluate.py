@@ -18,7 +18,7 @@ from tidegate.functions.stats import clears, commit_bar
 from tidegate.functions.text import norm_key
 from tidegate.operators.folds import fixed_folds, training_sets
 from tidegate.operators.histogram import training_histogram, value_histogram
-from tidegate.operators.repair import FoldFit, fit_folds
+from tidegate.operators.repair import FoldFit, fit_folds, known_forms
 from tidegate.plans.logistic import FoldScores, Layout, fit_and_score
 
 SCORE_SCHEMA = "repeat int, fold int, neg_brier double, f1 double, n_train bigint, n_test bigint"
@@ -175,8 +175,9 @@ def encode(a: Arena, state: FoldFit, cap: dict[str, int] | None = None, scale_le
                 elif op == "fill_unknown":
                     table[m, null] = where.get(K.UNKNOWN_LABEL, unknown)
                 elif op == "normalize_categories":
+                    forms = known_forms(params[m], [key for _, key in a.levels[c] if key is not None])
                     for i, (_, key) in enumerate(a.levels[c]):
-                        form = params[m]["forms"].get(key)
+                        form = forms.get(key)
                         table[m, i] = where[form] if form is not None else i
         if cap and c in cap:
             _pool_rare(state, c, values, table, unknown, cap[c])
