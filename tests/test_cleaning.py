@@ -169,3 +169,22 @@ def test_deciding_code_never_sees_the_answer_key():
         names = {n.id for n in ast.walk(tree) if isinstance(n, ast.Name)} | {n.attr for n in ast.walk(tree) if isinstance(n, ast.Attribute)}
         imports = {n.module for n in ast.walk(tree) if isinstance(n, ast.ImportFrom)}
         assert not names & {"manifest", "expected_fix", "expected_commit"} and "tidegate.operators.inject" not in imports
+
+
+def test_model_queries_do_the_whole_job(spark, sf, monkeypatch):
+    """Fifteen folds and full trees for the forest gate and the single sweep; three columns with gaps for the exhaustive one."""
+    import inspect
+    from tidegate.plans import models
+    from tidegate.queries import gating
+    seen = {}
+    rows = spark.createDataFrame([("event_type=none", 0.0)], "combo string, delta double")
+    for name in ("single_op_sweep", "exhaustive_search"):
+        monkeypatch.setattr(gating.S, name, lambda a, columns=None, name=name: seen.update({name: (a, columns)}) or rows)
+    gating.single_op_sweep(spark, sf), gating.exhaustive_rank(spark, sf)
+    monkeypatch.setattr(gating, "evaluate_forest", lambda a, ops: seen.update(forest=(a, ops)) or type("E", (), {"frame": lambda self, spark: rows})())
+    gating.gate_rf(spark, sf)
+    assert len(seen["single_op_sweep"][0].models) == len(seen["forest"][0].models) == 15
+    a, columns = seen["exhaustive_search"]
+    assert len(columns) == 3 and a.df.where(" OR ".join(f"{c} IS NULL" for c in columns)).count()
+    assert all(a.df.where(F.col(c).isNull()).count() for c in columns)
+    assert inspect.signature(models.evaluate_forest).parameters["depth"].default == 30
