@@ -22,7 +22,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tidegate.llm.chaining import kmer_hashes, word_hashes
+from tidegate.llm.chaining import kmer_hashes, small_enough, word_hashes
 from tidegate.llm.components import components
 from tidegate.llm.text import as_bytes, batch_of
 from tidegate.session import written
@@ -34,6 +34,7 @@ BUCKET = 512                   # fingerprints of one bucket compared in memory
 ROWS = 512                     # fingerprints covered at a time
 SAMPLE = 16                    # one text of so many tells which shingles are common
 COMMON = 100_000               # shingles ordered by that
+SMALL = 500_000                # rows of an id table that may be broadcast
 
 
 def fingerprint(text: str | None, width: int = 4) -> int:
@@ -289,7 +290,9 @@ def alike(sets: DataFrame, similarity: float) -> DataFrame:
         size = F.least("nx", "ny") >= similarity * F.greatest("nx", "ny") - 1e-9
         pairs = written(x.join(y, "token").where((F.col("rx") != F.col("ry")) & size)
                         .select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct(), "near-pairs")
-        sx, sy = (sets.select(F.col("doc_id").alias(n), F.col("shingles").alias(f"s{n}")) for n in "xy")
+        ids = written(pairs.select(F.explode(F.array("x", "y")).alias("doc_id")).distinct(), "near-ids")
+        some = sets.join(small_enough(ids, SMALL), "doc_id", "left_semi")
+        sx, sy = (some.select(F.col("doc_id").alias(n), F.col("shingles").alias(f"s{n}")) for n in "xy")
         both = pairs.join(sx, "x").join(sy, "y").withColumn("common", F.size(F.array_intersect("sx", "sy")))
         close = written(both.where(F.col("common") >= similarity * (F.size("sx") + F.size("sy") - F.col("common")) - 1e-9).select("x", "y"), "alike")
         links = close if links is None else links.unionByName(close)
@@ -308,7 +311,7 @@ def near_copies(docs: DataFrame, similarity: float = 0.8) -> DataFrame:
     every = written(shingle_sets(one).withColumn("set", F.md5(F.array_join(F.transform("shingles", lambda h: F.hex(h)), ","))), "shingles")
     least = written(every.groupBy("set").agg(F.min("doc_id").alias("lead")), "sets")
     same = every.join(least, "set").where("doc_id <> lead").select(F.col("lead").alias("x"), F.col("doc_id").alias("y"))
-    sets = every.join(least.select(F.col("lead").alias("doc_id")), "doc_id", "left_semi").select("doc_id", "shingles")
+    sets = written(every.join(least.select(F.col("lead").alias("doc_id")), "doc_id", "left_semi").select("doc_id", "shingles"), "shingle-sets")
     copies = marked.join(nodes, "key").where("doc_id <> first_id").select(F.col("first_id").alias("x"), F.col("doc_id").alias("y"))
     links = alike(sets, similarity).unionByName(same).unionByName(copies)
     return components(links, "x", "y").select(F.col("node").alias("doc_id"), F.col("root").alias("component_id"))
