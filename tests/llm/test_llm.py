@@ -54,6 +54,18 @@ def test_mixing(docs):
     assert mixing.mix(docs.limit(0)).count() == 0
 
 
+def test_small_sources_stay_in_the_mix_of_the_pipeline():
+    """A source of 150 words keeps its share, and what is chosen of a large one stays in long runs."""
+    from tidegate.llm import stages
+    spec = stages.MIX
+    sources = [{"sid": 0, "target": 1_500_000.0}, {"sid": 1, "target": 300.0}]
+    bands = [{"sid": i, "band": 0, "words": w, "blocks": -(-w // spec.block_words)} for i, w in enumerate((1_000_000, 150))]
+    quota = {sid: q for sid, _, q in mixing._band_quotas(sources, bands, spec)}
+    assert abs(quota[1] * spec.block_words - 300) <= spec.block_words
+    counts = mixing.block_counts(100_000, 3_000, spec.block_words, np.random.default_rng(1), spec.run_blocks)
+    assert counts.sum() == 3_000 and (np.diff(counts) != 0).sum() <= 2 * 3_000 / spec.run_blocks + 2
+
+
 def test_fingerprints_and_classes(docs):
     def slow(t):
         w = (t or "").encode().lower().split()

@@ -31,6 +31,7 @@ class MixSpec:
     total: float = 1.5                               # words wanted, as a share of all words
     times: float = 2.0                               # no source is read more often than this
     block_words: int = 16
+    run_blocks: int = 1                              # blocks chosen together, to keep texts in long runs
     shard_words: int = 1 << 18
     shard_rows: int = 50_000
     seed: int = 20
@@ -44,12 +45,13 @@ def _seed(seed: int, sid: int, shard: int) -> np.random.Generator:
     return np.random.Generator(np.random.Philox(key=[seed, (sid << 40) ^ shard]))
 
 
-def block_counts(words: int, quota: int, block: int, rng: np.random.Generator) -> np.ndarray:
-    """How often each block of a shard is taken."""
+def block_counts(words: int, quota: int, block: int, rng: np.random.Generator, run: int = 1) -> np.ndarray:
+    """How often each block of a shard is taken; the choice is of ``run`` neighbours at a time, the last one cut."""
     n = -(-words // block)
     base, extra = divmod(quota, n)
     counts = np.full(n, base, np.int64)
-    counts[rng.permutation(n)[:extra]] += 1
+    order = (rng.permutation(-(-n // run))[:, None] * run + np.arange(run)).ravel()
+    counts[order[order < n][:extra]] += 1
     return counts
 
 
@@ -137,7 +139,7 @@ def _select(spec: MixSpec, kept: list[str], texts: bool):
         size = t["size"].to_numpy()
         stop = np.cumsum(size)
         start = stop - size
-        counts = block_counts(int(stop[-1]), quota, spec.block_words, rng)
+        counts = block_counts(int(stop[-1]), quota, spec.block_words, rng, spec.run_blocks)
         taken = taken_before(counts, spec.block_words, stop) - taken_before(counts, spec.block_words, start)
         spans = [spans_of(counts, spec.block_words, int(a), int(b)) for a, b in zip(start, stop)] if texts else [[] for _ in size]
         return t.select(kept).append_column("taken", pa.array(taken, pa.int64())).append_column("spans", pa.array(spans, spans_type))
