@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import hashlib
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -31,6 +32,7 @@ from tidegate.llm.text import batch_of
 from tidegate.session import written
 
 ROWS = 2048                # vectors whose parts are compared at a time
+FEW = 4                    # pairs are followed one by one once this times their number is that of all
 LIMB = 48                  # bits of a sum kept together
 LABELS = 100_000           # rows of the label table that may be broadcast
 LONG = 2 ** 63
@@ -44,6 +46,7 @@ class CodeSpec:
     scale: int = 256
 
 
+@lru_cache(64)
 def walsh(width: int) -> np.ndarray:
     """The Walsh-Hadamard matrix of the least power of two that holds ``width``, rows by sign changes."""
     h = np.ones((1, 1), np.int64)
@@ -54,8 +57,8 @@ def walsh(width: int) -> np.ndarray:
 
 def transformed(x: np.ndarray) -> np.ndarray:
     """Rows of ``x`` padded with zeros and transformed, coefficients in sequency order."""
-    h = walsh(x.shape[1])
-    return x @ h[:, :x.shape[1]].T.astype(x.dtype)
+    h = walsh(x.shape[1])[:, :x.shape[1]].astype(x.dtype)
+    return x @ h.T
 
 
 def nearest_entries(x: np.ndarray, book: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -64,17 +67,25 @@ def nearest_entries(x: np.ndarray, book: np.ndarray) -> tuple[np.ndarray, np.nda
     if not width:
         return np.zeros(n, np.int64), np.zeros(n, x.dtype)
     a, b = transformed(x), transformed(book)
-    size = a.shape[1]
-    part = (a[:, :1] - b[None, :, 0]) ** 2                             # n x entries: the first coefficient of all
-    guess = part.argmin(axis=1).astype(np.int64)
-    bound = ((a - b[guess]) ** 2).sum(axis=1)                          # a whole distance, scaled by ``size``
-    row, entry = np.nonzero(part <= bound[:, None])
-    left = part[row, entry]
-    for j in range(1, size):
+    size, left, j = a.shape[1], np.zeros((n, len(book)), x.dtype), 0
+    row = entry = None                                                 # pairs that are left, once they are few
+    while j < size and row is None:
+        left += (a[:, j:j + 1] - b[:, j]) ** 2
+        j += 1
+        if j < size and j & (j - 1) == 0:                              # after 1, 2, 4, ... coefficients
+            bound = ((a - b[left.argmin(axis=1).astype(np.int64)]) ** 2).sum(axis=1, dtype=x.dtype)      # of one whole distance, scaled alike
+            fine = left <= bound[:, None]
+            if FEW * np.count_nonzero(fine) <= left.size:
+                row, entry = np.nonzero(fine)
+                left = left[row, entry]
+    if row is None:
+        best = left.argmin(axis=1).astype(np.int64)                    # the first of equals
+        return best, left[np.arange(n), best] // size
+    for j in range(j, size):
         left = left + (a[row, j] - b[entry, j]) ** 2
         on = left <= bound[row]
         row, entry, left = row[on], entry[on], left[on]
-    order = np.lexsort((entry, left.astype(x.dtype), row)) if x.dtype != object else np.array(
+    order = np.lexsort((entry, left, row)) if x.dtype != object else np.array(
         sorted(range(len(row)), key=lambda i: (row[i], left[i], entry[i])), np.int64)
     first = order[np.unique(row[order], return_index=True)[1]]
     return entry[first].astype(np.int64), left[first] // size
@@ -102,10 +113,11 @@ def _exact_floor(v: float, scale: int) -> int:
 
 
 def _fit_type(x: np.ndarray, book: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Both as 64-bit numbers if no sum of squares can leave them, else as Python integers."""
+    """Both as the narrowest numbers that no sum of squares can leave: 32 bits, 64 bits or Python integers."""
     width = walsh(max(x.shape[-1], 1)).shape[0]
     most = max([abs(int(v)) for a in (x, book) if a.size for v in (a.max(), a.min())], default=0)
-    kind = np.int64 if 4 * width * width * most * most < LONG // 2 else object
+    far = 8 * width * width * most * most
+    kind = np.int32 if far < 2 ** 31 else np.int64 if far < LONG else object
     return x.astype(kind), book.astype(kind)
 
 
