@@ -73,7 +73,7 @@ def test_join_equals_all_pairs(spark):
     assert len({c for _, _, c in want}) < len(rows) - 30                       # there are links to lose
 
 
-@pytest.mark.parametrize("spec", [jaccard.JoinSpec(check_cost=10 ** 6), jaccard.JoinSpec(most_keys=0), jaccard.JoinSpec(bins=1, small=0, close=0)])
+@pytest.mark.parametrize("spec", [jaccard.JoinSpec(check_cost=10 ** 6), jaccard.JoinSpec(most_keys=0), jaccard.JoinSpec(bins=1, small=0, close=0, short=2)])
 def test_boundary_and_rounds_change_nothing(spark, spec):
     """All sizes that may enumerate do; none does; every join shuffles, and leaders go on to the end."""
     rows = _corpus(4)

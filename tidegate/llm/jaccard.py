@@ -8,10 +8,10 @@ ordered from their rarest shingle on, and a similar pair shares one of the first
 m - needed + 1; the pairs of a list are checked on whole texts. The boundary between small and
 large is the size at which enumerating and scanning together cost the least, counted on all sets.
 
-Scanned lists are settled in rounds of leaders: the first round compares one leader with all, every later
-one four times as many, always only between sets that are not yet linked, and as soon as
-few pairs are left, all of them. A list ends when all its members are linked or have been
-compared, so none is capped, and a group of near copies costs a number of pairs in proportion to it.
+Short lists are compared at once. Longer ones are settled in rounds of leaders: the first compares
+one leader with all, every later one four times as many, only between sets that are not
+yet linked, and as soon as the pairs that are left are few against all rows, all of them. A list ends when its members are
+linked or have been compared, so none is capped, and a group of near copies costs pairs in proportion to it.
 
 How frequent shingles are is counted over all texts in a fixed number of hash bins: it orders shingles, so
 collisions only move cost.
@@ -46,7 +46,8 @@ class JoinSpec:
     bins: int = 1 << 17            # of the shingle counts that order shingles
     most_keys: int = 2_000         # subsets of one set up to which a size may count as small
     check_cost: int = 30           # a checked pair against an emitted row, for the boundary
-    close: int = 4                 # pairs per list row up to which the rest is compared at once
+    short: int = 32                # members of a list that is compared at once
+    close: int = 4                 # pairs per row of all lists up to which the rest is compared at once
     small: int = 500_000           # rows of an id table that may be broadcast
 
     def needed(self, n: int, m: int) -> int:
@@ -208,12 +209,13 @@ def kmer_hashes_of(rows: np.ndarray, low: int, high: int) -> np.ndarray:
 
 def list_pairs(x: DataFrame, y: DataFrame, most: int, spec: JoinSpec) -> DataFrame:
     """x, y: pairs of a common token that may be similar, each once."""
-    x = x.select("token", F.col("node").alias("x"), F.col("n").alias("nx"), F.col("rank").alias("rx"), F.col("root").alias("ox"))
+    x = x.select("token", F.col("node").alias("x"), F.col("n").alias("nx"), F.col("rank").alias("rx"), F.col("root").alias("ox"), "both")
     y = y.select("token", F.col("node").alias("y"), F.col("n").alias("ny"), F.col("rank").alias("ry"), F.col("root").alias("oy"))
     need = spec_needed(F.col("nx"), F.col("ny"), spec)
     fits = (F.least("nx", "ny") >= need) & (F.col("nx") - F.col("rx") >= need) & (F.col("ny") - F.col("ry") >= need)
-    both = x.join(y, "token").where((F.col("ox") != F.col("oy")) & (F.greatest("nx", "ny") > most) & fits)
-    return both.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
+    once = ~F.col("both") | (F.col("x") < F.col("y"))
+    pairs = x.join(y, "token").where(once & (F.col("ox") != F.col("oy")) & (F.greatest("nx", "ny") > most) & fits)
+    return pairs.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
 
 
 def similar(pairs: DataFrame, texts: DataFrame, spec: JoinSpec) -> DataFrame:
@@ -237,36 +239,42 @@ def similar(pairs: DataFrame, texts: DataFrame, spec: JoinSpec) -> DataFrame:
 
 
 def scan_links(rows: DataFrame, docs: DataFrame, nodes: DataFrame, most: int, known: DataFrame | None, spec: JoinSpec) -> DataFrame | None:
-    """x, y: links of the pairs in the lists of ``rows`` (token, node, n, rank) with a set of more than ``most``,
-    whose closure, with that of ``known`` links, is the closure of all similar pairs."""
+    """x, y: ``known`` links and those of the pairs in the lists of ``rows`` (token, node, n, rank) with a set of more
+    than ``most``; their closure is the closure of all similar pairs."""
     shared = rows.groupBy("token").agg(F.count("*").alias("members"), F.min("node").alias("lead")).where("members > 1")
     lists = written(rows.join(shared, "token"), "jaccard-lists")
+    facts = lists.agg(F.count("*").alias("rows"), F.max("members").alias("longest")).first()
     links, led = known, 0
-    while True:
-        if links is None:
-            live = lists.withColumn("root", F.col("node"))
+    while facts["rows"] and (led == 0 or facts["longest"] > led):
+        if led == 0:                               # short lists at once, of the others one leader
+            live = lists.withColumns({"root": F.col("node"), "both": F.col("members") <= spec.short})
+            first, ends = F.col("both") | (F.col("node") == F.col("lead")), spec.short
         else:
-            roots = written(components(links, "x", "y"), "jaccard-roots").withColumnRenamed("node", "_node")
-            live = lists.join(small_enough(roots, spec.small), F.col("node") == F.col("_node"), "left").select(
-                *lists.columns, F.coalesce("root", "node").alias("root"))
-        spans = live.groupBy("token").agg(F.count("*").alias("_n"), F.min("root").alias("_low"), F.max("root").alias("_high"))
-        spans = spans.where(f"_low < _high AND _n > {led}")
-        live = written(live.join(spans.select("token", F.col("_n").alias("left")), "token"), "jaccard-live")
-        size = live.agg(F.count("*").alias("rows"), F.sum(F.col("left") - 1).alias("pairs")).first()
-        if not size["rows"]:
-            return links
-        whole = led > 0 and size["pairs"] <= 2 * spec.close * size["rows"]
-        turn = F.pmod(F.xxhash64("node"), F.lit(1 << 30)) / F.lit(1 << 30) * F.col("members")
-        ends = 4 * led or 1
-        first = F.lit(True) if whole else F.col("node") == F.col("lead") if not led else (turn >= (led if led > 1 else 0)) & (turn < ends)
+            live = _unsettled(lists.where(F.col("members") > led), links, spec)
+            left = live.agg(F.count("*").alias("rows"), F.sum((F.col("left") - 1) / 2).alias("pairs")).first()
+            if not left["rows"]:
+                break
+            whole = left["pairs"] <= spec.close * facts["rows"]
+            live = live.withColumn("both", F.lit(whole))
+            ends = facts["longest"] if whole else 4 * led
+            turn = F.pmod(F.xxhash64("node"), F.lit(1 << 30)) / F.lit(1 << 30) * F.col("members")
+            first = F.lit(whole) | ((turn >= (led if led > spec.short else 0)) & (turn < ends))
         pairs = written(list_pairs(live.where(first), live, most, spec), "jaccard-pairs")
         ids = written(pairs.select(F.explode(F.array("x", "y")).alias("node")).distinct(), "jaccard-ids")
         texts = written(texts_of(docs, nodes, ids, spec), "jaccard-texts")
         found = written(similar(pairs, texts, spec), "jaccard-links")
         links = found if links is None else links.unionByName(found)
-        if whole:
-            return links
         led = ends
+    return links
+
+
+def _unsettled(lists: DataFrame, links: DataFrame, spec: JoinSpec) -> DataFrame:
+    """The lists whose members are not all linked yet, with each member's root and the list's length (left)."""
+    roots = written(components(links, "x", "y"), "jaccard-roots").withColumnRenamed("node", "_node")
+    rooted = lists.join(small_enough(roots, spec.small), F.col("node") == F.col("_node"), "left").select(
+        *lists.columns, F.coalesce("root", "node").alias("root"))
+    spans = rooted.groupBy("token").agg(F.count("*").alias("left"), F.min("root").alias("_low"), F.max("root").alias("_high"))
+    return written(rooted.join(spans.where("_low < _high").select("token", "left"), "token"), "jaccard-live")
 
 
 def texts_of(docs: DataFrame, nodes: DataFrame, ids: DataFrame, spec: JoinSpec) -> DataFrame:
