@@ -185,7 +185,7 @@ def encode(a: Arena, state: FoldFit, cap: dict[str, int] | None = None, scale_le
         sizes.append(null + 1)
     base = a.models
     side = F.array(*[F.when(state.train[m], 1).when(base[m], -1).otherwise(0).cast("tinyint") for m in range(k)])
-    out = [F.col("_y").alias("y"), side.alias("train")]
+    out = [F.col("_y").alias("y"), F.col(a.row_id).alias("rid"), side.alias("train")]
     if shared:
         out.append(F.array(*[F.col(f"`{c}`").cast("double") for c in shared]).alias("x"))
     if own:
