@@ -46,7 +46,7 @@ class JoinSpec:
     bins: int = 1 << 17            # of the shingle counts that order shingles
     most_keys: int = 2_000         # subsets of one set up to which a size may count as small
     check_cost: int = 30           # a checked pair against an emitted row, for the boundary
-    short: int = 32                # members of a list that is compared at once
+    short: int = 4                 # members of a list that is compared at once
     close: int = 4                 # pairs per row of all lists up to which the rest is compared at once
     small: int = 500_000           # rows of an id table that may be broadcast
 
@@ -235,7 +235,7 @@ def similar(pairs: DataFrame, texts: DataFrame, spec: JoinSpec) -> DataFrame:
                     xs.append(x), ys.append(y)
             yield batch_of({"x": xs, "y": ys}, schema)
     of = lambda n: texts.select(F.col("node").alias(n), F.col("text").alias(f"t{n}"))
-    return pairs.join(of("y"), "y").join(of("x"), "x").select("x", "y", "tx", "ty").mapInArrow(run, "x bigint, y bigint")
+    return of("y").join(small_enough(pairs, spec.small), "y").join(of("x"), "x").select("x", "y", "tx", "ty").mapInArrow(run, "x bigint, y bigint")
 
 
 def scan_links(rows: DataFrame, docs: DataFrame, nodes: DataFrame, most: int, known: DataFrame | None, spec: JoinSpec) -> DataFrame | None:
@@ -261,8 +261,7 @@ def scan_links(rows: DataFrame, docs: DataFrame, nodes: DataFrame, most: int, kn
             first = F.lit(whole) | ((turn >= (led if led > spec.short else 0)) & (turn < ends))
         pairs = written(list_pairs(live.where(first), live, most, spec), "jaccard-pairs")
         ids = written(pairs.select(F.explode(F.array("x", "y")).alias("node")).distinct(), "jaccard-ids")
-        texts = written(texts_of(docs, nodes, ids, spec), "jaccard-texts")
-        found = written(similar(pairs, texts, spec), "jaccard-links")
+        found = written(similar(pairs, texts_of(docs, nodes, ids, spec), spec), "jaccard-links")
         links = found if links is None else links.unionByName(found)
         led = ends
     return links
@@ -281,7 +280,8 @@ def texts_of(docs: DataFrame, nodes: DataFrame, ids: DataFrame, spec: JoinSpec)
     """node, text of the nodes in ``ids``: the text of the row that stands for the node, told from others of its doc_id by its hash."""
     wanted = nodes.join(small_enough(ids, spec.small), "node").select("node", "first_id", F.col("mark").alias("first_mark"))
     same = F.col("doc_id").eqNullSafe(F.col("first_id")) & (F.col("mark") == F.col("first_mark"))
-    return rows_of(docs).join(small_enough(wanted, spec.small), same).select("node", "text").dropDuplicates(["node"])
+    texts = written(rows_of(docs).join(small_enough(wanted, spec.small), same).select("node", "text"), "jaccard-texts")
+    return texts if texts.count() == ids.count() else texts.dropDuplicates(["node"])           # else rows are repeated
 
 
 def link(docs: DataFrame, spec: JoinSpec = JoinSpec()) -> DataFrame:
