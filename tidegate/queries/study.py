@@ -173,8 +173,8 @@ COMMITTED = [("l_quantity", "sentinel_to_median"), ("l_extendedprice", "clip_out
 
 
 @query("WITH " + DIRTY_LINE + """ SELECT defect_id, "column", count(*) AS rows, CASE "column" WHEN 'l_quantity' THEN 'sentinel_to_median'
-  WHEN 'l_extendedprice' THEN 'clip_outliers' WHEN 'l_returnflag' THEN 'normalize_categories' END AS got, CASE defect_id WHEN 'q_code' THEN 'YES'
-  WHEN 'price_units' THEN 'NO (committed: clip_outliers)' WHEN 'flag_spelling' THEN 'WRONG (committed normalize_categories)' ELSE 'CORRECT (left alone)' END
+  WHEN 'l_extendedprice' THEN 'clip_outliers' WHEN 'l_returnflag' THEN 'normalize_categories' END AS got, CASE defect_id WHEN 'q_code' THEN 'mended'
+  WHEN 'price_units' THEN 'wrongly mended by clip_outliers' WHEN 'flag_spelling' THEN 'needlessly changed by normalize_categories' ELSE 'rightly left' END
   AS verdict FROM dirty_key GROUP BY 1, 2""")
 def answer_key_check(spark: SparkSession, sf: str) -> DataFrame:
     committed = spark.createDataFrame(COMMITTED, "column string, operation string")
