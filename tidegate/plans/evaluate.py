@@ -241,21 +241,40 @@ def evaluate(a: Arena, ops: dict[str, str]) -> Evaluation:
     return a.cache[key]
 
 
+#: What the batched linear comparison applies by itself; any other step goes through fitted chains.
+BATCHED = {"imputation": {"mean": "fill_mean", "median": "fill_median", "most_frequent": "fill_mode"},
+           "encoding": ("onehot", "onehot_capped"), "scaling": ("standard",)}
+
+
 def compare_preprocessing(a: Arena, recommended: list[dict], family: str = "linear") -> dict:
-    """Recommended against default preprocessing on the fixed folds (linear family): paired gain and scores.
+    """Recommended against default preprocessing on the fixed folds: paired gain and scores.
 
     ``recommended``: rows of (stage, method, columns). The default fills medians and most frequent
-    levels, one-hot encodes and standardises.
+    levels, one-hot encodes and standardises. Every step is applied inside every fold, or raises.
     """
-    if family != "linear":
-        raise EvaluationError("the batched comparison covers the linear family")
-    fill = {"mean": "fill_mean", "median": "fill_median", "median+indicator": "fill_median", "most_frequent": "fill_mode"}
+    from tidegate.plans import fitted
+    fitted.plan_of(recommended, a.df.schema)                   # raises for a step that does not exist or does not suit
+    if fitted.class_weighted(recommended):
+        raise EvaluationError("a comparison by probabilities applies no class weights")
+    scaled = {c for s in recommended if s["stage"] == "scaling" for c in s["columns"]}
+    batched = family == "linear" and scaled == set(a.numeric) and all(s["method"] in BATCHED.get(s["stage"], ()) for s in recommended)
+    out = _compare_batched(a, recommended) if batched else [
+        score_chains(a, steps, family) for steps in (fitted.default_steps(a.numeric, a.text), recommended)]
+    gain = paired_gain(out[0], out[1])
+    swap = lambda e: Evaluation(e.f1_scores, e.f1_scores, e.n_train, e.n_test, e.n_splits)
+    f1_gain = paired_gain(swap(out[0]), swap(out[1]))
+    return {"default_mean": out[0].mean, "recommended_mean": out[1].mean, "mean_diff": gain.delta, "se_corrected": gain.se,
+            "f1_default_mean": out[0].f1, "f1_recommended_mean": out[1].f1, "f1_mean_diff": f1_gain.delta, "f1_se_corrected": f1_gain.se,
+            "n_folds": len(out[0].scores)}
+
+
+def _compare_batched(a: Arena, recommended: list[dict]) -> list[Evaluation]:
     ops, cap = {}, {}
     for s in recommended:
         for c in s["columns"]:
-            if s["stage"] == "imputation" and s["method"] in fill:
-                ops[c] = fill[s["method"]]
-            elif s["stage"] == "encoding" and s["method"] == "onehot_capped":
+            if s["stage"] == "imputation":
+                ops[c] = BATCHED["imputation"][s["method"]]
+            elif s["method"] == "onehot_capped":
                 cap[c] = K.HIGH_CARD
     text_gaps = [r[0] for r in a.df.agg(*[F.count_if(F.col(f"`{c}`").isNull()).alias(c) for c in a.text]).unpivot(
         [], a.text, "c", "n").where("n > 0").collect()] if a.text else []
@@ -264,13 +283,33 @@ def compare_preprocessing(a: Arena, recommended: list[dict], family: str = "line
     for plan_ops, plan_cap in ((default, None), (ops, cap)):
         state = fit_folds(a.df, plan_ops, a.models, a.row_id, a.fits, a.bounds)
         table, layout = encode(a, state, plan_cap, scale_levels=False)
-        table = table.persist(StorageLevel.MEMORY_AND_DISK)
+        out.append(_scored(table, layout, a.n_splits))
+    return out
+
+
+def _scored(table: DataFrame, layout: Layout, n_splits: int) -> Evaluation:
+    table = table.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
         s = fit_and_score(table, layout)
+    finally:
         table.unpersist()
-        out.append(Evaluation(list(s.neg_brier), list(s.f1), list(s.n_train.astype(int)), list(s.n_test.astype(int)), a.n_splits))
-    gain = paired_gain(out[0], out[1])
-    swap = lambda e: Evaluation(e.f1_scores, e.f1_scores, e.n_train, e.n_test, e.n_splits)
-    f1_gain = paired_gain(swap(out[0]), swap(out[1]))
-    return {"default_mean": out[0].mean, "recommended_mean": out[1].mean, "mean_diff": gain.delta, "se_corrected": gain.se,
-            "f1_default_mean": out[0].f1, "f1_recommended_mean": out[1].f1, "f1_mean_diff": f1_gain.delta, "f1_se_corrected": f1_gain.se,
-            "n_folds": len(out[0].scores)}
+    return Evaluation(list(s.neg_brier), list(s.f1), list(s.n_train.astype(int)), list(s.n_test.astype(int)), n_splits)
+
+
+def score_chains(a: Arena, steps: list[dict], family: str) -> Evaluation:
+    """A family's score on all folds with ``steps`` fitted inside each: the linear and the tree family for all
+    folds in one job, neighbours and perceptrons fold by fold."""
+    from tidegate.plans import fitted, forest, models
+    chains = fitted.fit_chains(a.df, fitted.plan_of(steps, a.df.schema), a.models)
+    k, width = len(chains), max(sum(c.size for c in m) for m in chains)
+
+    def padded(m: int) -> Column:                               # folds may have learned different levels
+        return F.concat(fitted.features(chains[m]), F.array_repeat(F.lit(0.0), width - sum(c.size for c in chains[m])))
+    side = F.array(*[F.when(t, 1).otherwise(0).cast("tinyint") for t in a.models])
+    if family == "linear":
+        table = a.df.select(F.col("_y").alias("y"), F.col(a.row_id).alias("rid"), side.alias("train"), F.concat(*[padded(m) for m in range(k)]).alias("z"))
+        return _scored(table, Layout(k, 0, width, (), (), scale_numbers=False), a.n_splits)
+    if family == "tree_ensemble":
+        rows = forest.long_rows(a.df.withColumn("y", F.col("_y")), k, lambda m: F.when(a.models[m], 1).otherwise(0), padded, a.row_id)
+        return models.score_forest(rows, k, forest.ForestSpec(), a.n_splits)
+    return models.score_each(a, [padded(m) for m in range(k)], width, family)

@@ -16,7 +16,7 @@ STEPS = [{"stage": "imputation", "method": "median+indicator", "columns": ["valu
          {"stage": "encoding", "method": "ordinal", "columns": ["hour"]}]
 
 # the hour is a level of its own in some test rows
-SPLIT = WIDE + ", w2 AS (SELECT rid, user_id, value, event_type, target, strftime(e.ts, '%H') AS h FROM wide JOIN events e ON e.event_id = rid), " + folds_sql("w2", "w3", "1") + \
+SPLIT = WIDE + ", w2 AS (SELECT wide.rid, wide.user_id, wide.value, wide.event_type, wide.target, strftime(e.ts, '%H') AS h FROM wide JOIN events e ON e.event_id = rid), " + folds_sql("w2", "w3", "1") + \
     ", w AS (SELECT *, CASE WHEN fold_0 = 0 AND rid % 9 = 0 THEN 'new' ELSE h END AS hour FROM w3)"
 
 
