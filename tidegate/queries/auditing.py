@@ -81,11 +81,11 @@ S4, P4 = "printf('%+.4f', delta)", "printf('%.4f', threshold)"
 VERDICT = FACTS + f""", v0 AS (SELECT fact.*, commit_iter, CASE WHEN delta IS NULL THEN 'no_eval' WHEN status = 'committed' AND own_clears THEN 'commit'
     WHEN status = 'committed' THEN 'commit_with_chain' WHEN status = 'staged' THEN 'unresolved' WHEN delta <= 0 THEN 'rollback' ELSE 'noise' END AS code
   FROM fact JOIN chain USING (run, chain_id)),
-verdict AS (SELECT *, CASE code WHEN 'no_eval' THEN 'NOT EVALUATED - ' || coalesce(error, 'no result') WHEN 'commit' THEN 'COMMIT - delta ' || {S4} || ' cleared the bar ' || {P4} || {ZT}
-  WHEN 'commit_with_chain' THEN 'STAGED, then COMMITTED with its chain - alone delta ' || {S4} || ' was below the bar ' || {P4} || '; the chain cleared it at iteration ' || coalesce(CAST(commit_iter AS VARCHAR), 'None')
-  WHEN 'unresolved' THEN 'STAGED (run ended before this chain resolved) - delta ' || {S4} || ', bar ' || {P4}
-  WHEN 'rollback' THEN 'ROLLBACK - delta ' || {S4} || ': not better than the baseline (bar ' || {P4} || ')'
-  ELSE 'ROLLBACK - delta ' || {S4} || ' is ' || CAST(round_even(100 * ratio, 0) AS BIGINT) || '% of the ' || {P4} || ' bar' || {ZT} || ': not distinguishable from noise' END AS text FROM v0)"""
+verdict AS (SELECT *, CASE code WHEN 'no_eval' THEN 'Unmeasured: ' || coalesce(error, 'no result') WHEN 'commit' THEN 'Kept: gain ' || {S4} || ' against a required ' || {P4} || {ZT}
+  WHEN 'commit_with_chain' THEN 'Kept as part of a chain: its own gain ' || {S4} || ' fell short of ' || {P4} || ', which the chain passed in step ' || coalesce(CAST(commit_iter AS VARCHAR), 'None')
+  WHEN 'unresolved' THEN 'Open at the end of the run: gain ' || {S4} || ', required ' || {P4}
+  WHEN 'rollback' THEN 'Undone: gain ' || {S4} || ', so scores did not rise (required ' || {P4} || ')'
+  ELSE 'Undone: gain ' || {S4} || ' reaches ' || CAST(round_even(100 * ratio, 0) AS BIGINT) || '% of the required ' || {P4} || {ZT} || ', which chance explains' END AS text FROM v0)"""
 SUMMARY = FACTS + """, s1 AS (SELECT run, arg_min(f1_before, iteration) AS baseline, arg_max(f1_after, iteration) FILTER (status = 'committed' AND own_clears) AS last,
     count(ratio) FILTER (delta IS NOT NULL) AS n_evaluations, arg_max(iteration, (ratio, -iteration)) FILTER (ratio IS NOT NULL) AS close_it,
     arg_max(ratio, (ratio, -iteration)) FILTER (ratio IS NOT NULL) AS close_ratio, arg_max(delta, (ratio, -iteration)) FILTER (ratio IS NOT NULL) AS close_delta,
@@ -165,10 +165,10 @@ def audit_run_summary(spark: SparkSession, sf: str) -> DataFrame:
         F.round("closest.ratio", 6).alias("closest_ratio"))
 
 
-@query("WITH " + SUMMARY + """ SELECT run, CASE WHEN n_committed = 0 THEN n_chains || ' chain(s), ' || n_evaluations || ' evaluations: nothing cleared the statistical bar -> data left as-is. neg-Brier '
-    || printf('%.4f', baseline) || ' -> ' || printf('%.4f', final) || ' (unchanged).' || CASE WHEN close_ratio > 0 THEN ' Closest miss: iteration ' || close_it || ' at '
-    || CAST(round_even(100 * close_ratio, 0) AS BIGINT) || '% of its bar (delta ' || printf('%+.4f', close_delta) || ', bar ' || printf('%.4f', close_bar) || ').' ELSE '' END
-  ELSE n_committed || ' of ' || n_chains || ' chain(s) committed (' || committed_ops || '). neg-Brier ' || printf('%.4f', baseline) || ' -> ' || printf('%.4f', final)
+@query("WITH " + SUMMARY + """ SELECT run, CASE WHEN n_committed = 0 THEN n_chains || ' chains and ' || n_evaluations || ' measurements, none of them enough; the table stays as it is. neg-Brier '
+    || printf('%.4f', baseline) || ' -> ' || printf('%.4f', final) || ' as before.' || CASE WHEN close_ratio > 0 THEN ' Nearest: step ' || close_it || ' at '
+    || CAST(round_even(100 * close_ratio, 0) AS BIGINT) || '% of what it needed (gain ' || printf('%+.4f', close_delta) || ', required ' || printf('%.4f', close_bar) || ').' ELSE '' END
+  ELSE n_committed || ' of ' || n_chains || ' chains kept (' || committed_ops || '). neg-Brier ' || printf('%.4f', baseline) || ' -> ' || printf('%.4f', final)
     || ' (' || printf('%+.4f', final - baseline) || ').' END AS headline FROM summary""")
 def audit_headline(spark: SparkSession, sf: str) -> DataFrame:
     return A.headline(A.run_summary(*_facts(spark, sf)))
@@ -179,25 +179,25 @@ def _case(key: str, table: dict[str, str], other: str, sub: bool = False) -> str
     return f"CASE {key} " + " ".join(f"WHEN '{k}' THEN {value(v)}" for k, v in table.items()) + f" ELSE {other} END"
 
 
-FIX = _case("op", A.PLAIN_FIX, "'Applied an automatic clean-up to ' || col", True)
+FIX = _case("op", A.PLAIN_FIX, "'Cleaned ' || col", True)
 PLAIN = VERDICT + ", s1 AS" + SUMMARY.split(", s1 AS", 1)[1] + """, p AS (SELECT run, count(*) AS tried, count(*) FILTER (chain_status = 'committed') AS kept,
     count(*) FILTER (status = 'discarded') AS rolled_back FROM verdict JOIN chain USING (run, chain_id) GROUP BY 1)"""
 
 
-@query("WITH " + PLAIN + """ SELECT run, tried, kept, rolled_back, 'We checked ' || tried || ' possible fix' || CASE WHEN tried = 1 THEN '' ELSE 'es' END || ' to your data. '
-    || CASE WHEN kept = 0 THEN 'None were kept, because none of them clearly helped.' ELSE kept || CASE WHEN kept = 1 THEN ' was' ELSE ' were' END || ' kept'
-    || CASE WHEN tried > kept THEN ', the rest were undone because they did not clearly help.' ELSE '.' END END AS head,
-  CASE WHEN kept = 0 OR final = baseline THEN 'Overall, data quality was not changed: the data was left as it was.' WHEN final > baseline THEN
-    'Overall, the checks suggest the data is somewhat cleaner: predictions built on it were more accurate in our cross-checked test. This is evidence, not proof.'
-    ELSE 'Overall, the checks did not show an improvement.' END AS overall FROM p JOIN summary USING (run)""")
+@query("WITH " + PLAIN + """ SELECT run, tried, kept, rolled_back, 'Tried ' || tried || ' repair' || CASE WHEN tried = 1 THEN '' ELSE 's' END || ': '
+    || CASE WHEN kept = 0 THEN 'none stayed, as no gain was certain.' ELSE kept || CASE WHEN kept = 1 THEN ' has' ELSE ' have' END || ' stayed'
+    || CASE WHEN tried > kept THEN ', the others were taken back.' ELSE '.' END END AS head,
+  CASE WHEN kept = 0 OR final = baseline THEN 'The table is the one that came in.' WHEN final > baseline THEN
+    'Held-out predictions got better, which speaks for the repairs but does not prove them.'
+    ELSE 'Scores did not rise.' END AS overall FROM p JOIN summary USING (run)""")
 def audit_plain(spark: SparkSession, sf: str) -> DataFrame:
     f, c = _facts(spark, sf)
     return A.plain_summary(f, c, A.run_summary(f, c))
 
 
 @query("WITH " + VERDICT + f""" SELECT run, iteration, col AS "column", op AS operation, delta, code, text, {FIX} AS plain_fix,
-  CASE WHEN code IN ('commit', 'commit_with_chain') THEN CASE WHEN ratio IS NULL THEN 'prediction accuracy improved (size not recorded)'
-    WHEN ratio >= 3 THEN 'prediction accuracy improved noticeably' ELSE 'prediction accuracy improved slightly' END
+  CASE WHEN code IN ('commit', 'commit_with_chain') THEN CASE WHEN ratio IS NULL THEN 'predictions got better by an unknown amount'
+    WHEN ratio >= 3 THEN 'predictions got clearly better' ELSE 'predictions got a little better' END
   ELSE {_case('code', A.UNDONE_REASON, "'" + A.UNDONE_OTHER + "'")} END AS why FROM verdict""")
 def audit_repairs(spark: SparkSession, sf: str) -> DataFrame:
     v = A.verdicts(*_facts(spark, sf))

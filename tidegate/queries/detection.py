@@ -25,13 +25,13 @@ def missing_sql(src: str, num: tuple, text: tuple) -> str:
         return (f"SELECT 'missing' AS defect, '{c}' AS \"column\", count(*) - count({c}) AS n_rows, count(*) AS t, '{ops}' AS ops FROM {src}")
     parts = [one(c, "fill_median,fill_mean,drop_rows") for c in num] + [one(c, "fill_mode,fill_unknown,drop_rows") for c in text]
     p = pct_sql("n_rows", "t")
-    return (f"SELECT defect, \"column\", n_rows, {p} AS pct, n_rows || ' null values (' || CAST({p} AS VARCHAR) || '% of rows)' "
+    return (f"SELECT defect, \"column\", n_rows, {p} AS pct, n_rows || ' gaps in ' || CAST({p} AS VARCHAR) || '% of rows' "
             f"AS evidence, ops FROM ({' UNION ALL '.join(parts)}) WHERE n_rows > 0")
 
 
 def duplicates_sql(src: str, cols: tuple) -> str:
     return (f"SELECT 'duplicates' AS defect, '*' AS \"column\", n AS n_rows, {pct_sql('n', 't')} AS pct, "
-            f"n || ' rows are exact copies of an earlier row' AS evidence, 'dedupe_rows' AS ops FROM "
+            f"n || ' rows repeat a row that came before' AS evidence, 'dedupe_rows' AS ops FROM "
             f"(SELECT CAST(sum(k - 1) AS BIGINT) AS n, CAST(sum(k) AS BIGINT) AS t FROM "
             f"(SELECT count(*) AS k FROM {src} GROUP BY {', '.join(cols)})) WHERE n > 0")
 
@@ -63,8 +63,8 @@ def spikes_ctes(src: str, num: tuple, p: str) -> str:
 def spikes_sql(p: str) -> str:
     return (f"SELECT CASE WHEN sent THEN 'sentinel' ELSE 'top_coded' END AS defect, c AS \"column\", n AS n_rows, pct, "
             f"'value ' || shown || ' appears ' || n || 'x (' || CAST(pct AS VARCHAR) || '% of rows), ' || CAST(round_even(ratio, 0) AS BIGINT) "
-            f"|| 'x the typical count of its neighbours' || CASE WHEN sent THEN '; sits far outside the real range, looks like a missing-value code' "
-            f"ELSE '; looks like a cap/top-code' END AS evidence, concat_ws(',', CASE WHEN sent THEN 'sentinel_to_median' END, "
+            f"|| ' times as often as values near it' || CASE WHEN sent THEN ', far from all others: a code for no value' "
+            f"ELSE ', at an end: values may have been cut there' END AS evidence, concat_ws(',', CASE WHEN sent THEN 'sentinel_to_median' END, "
             f"CASE WHEN clip THEN 'clip_outliers' END) AS ops FROM {p}_t")
 
 
@@ -77,7 +77,7 @@ def variants_ctes(src: str, text: tuple, p: str) -> str:
 
 def variants_sql(src: str, p: str) -> str:
     return (f"SELECT 'category_variants' AS defect, c AS \"column\", n AS n_rows, {pct_sql('n', f'(SELECT count(*) FROM {src})')} AS pct, "
-            f"keys || ' categories split into ' || forms || ' spellings; ' || n || ' rows use a non-dominant spelling' AS evidence, "
+            f"keys || ' levels in ' || forms || ' spellings; ' || n || ' rows have a rarer one' AS evidence, "
             f"'normalize_categories' AS ops FROM (SELECT c, count(*) AS keys, CAST(sum(forms) AS BIGINT) AS forms, "
             f"CAST(sum(n - top) AS BIGINT) AS n FROM {p}_vk WHERE forms > 1 GROUP BY c)")
 
@@ -99,8 +99,8 @@ def units_ctes(src: str, num: tuple, p: str) -> str:
 
 def units_sql(src: str, p: str) -> str:
     return (f"SELECT 'mixed_units' AS defect, c AS \"column\", n AS n_rows, {pct_sql('n', f'(SELECT count(*) FROM {src})')} AS pct, "
-            f"n || ' values sit above ' || CAST(round_even(cut, 0) AS BIGINT) || ', a gap past the bulk of the column; dividing them by ' || "
-            f"factor || ' lands them inside the normal range, looks like a mix of two units' AS evidence, 'rescale_units' AS ops FROM "
+            f"n || ' values lie beyond ' || CAST(round_even(cut, 0) AS BIGINT) || ', where a gap begins; divided by ' || "
+            f"factor || ' they fall among the others: two units' AS evidence, 'rescale_units' AS ops FROM "
             f"(SELECT c, cut, factor, count(*) FILTER (v > cut) AS n FROM {p}_ur JOIN {p}_u USING (c) GROUP BY ALL)")
 
 
