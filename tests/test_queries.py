@@ -5,7 +5,7 @@ import __spark_entry__ as entry
 from oracle import compare, connect
 
 HEAVY = {"stage2_models", "gate_run", "demo_multi", "pilot_ladder", "exhaustive_rank", "single_op_sweep", "positive_control",
-         "column_headroom", "gate_rf", "naive_cv", "naive_holdout", "stage2_compare", "gate_lr", "evaluate_candidate"}     # run by tests/oracle.py
+         "column_headroom", "stage2_compare", "gate_lr", "evaluate_candidate"}     # run by tests/oracle.py
 QUERIES, SQL = entry.queries(), entry.oracle_sql()
 
 
