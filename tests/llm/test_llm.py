@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from oracle import compare, connect
-from tidegate.llm import ann, apportion, chaining, chat, langid, mixing, packing, quality_cnn, queries, rules, simhash, suffixes
+from tidegate.llm import ann, apportion, chaining, chat, jaccard, langid, mixing, packing, quality_cnn, queries, rules, simhash, stages, suffixes
 from tidegate.llm.tokens import WordTokenizer
 
 SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint, n_words string, shard string, size string, spans string, fp string"
@@ -194,7 +194,7 @@ def test_near_copies_of_several_families(spark):
     assert len(want) > 100 and {r.doc_id: r.component_id for r in simhash.near_copies(docs).collect()} == want
 
 
-def test_alike_compares_what_the_first_leaders_reject(spark):
+def test_lists_compare_what_the_first_leaders_reject(spark):
     """Sets over few tokens: every list is long, and few of its members are like the one that leads."""
     rng = random.Random(8)
     sets = sorted({tuple(sorted(rng.sample(range(15), rng.randint(8, 11)))) for _ in range(150)}, key=lambda s: rng.random())
@@ -205,11 +205,32 @@ def test_alike_compares_what_the_first_leaders_reject(spark):
             i = parent[i]
         return i
     near = {(i, j) for j in range(len(sets)) for i in range(j) if len({*sets[i]} & {*sets[j]}) >= 0.8 * len({*sets[i]} | {*sets[j]})}
-    frame = spark.createDataFrame([(i, list(s)) for i, s in enumerate(sets)], "doc_id bigint, shingles array<bigint>")
-    got = {(r.x, r.y) for r in simhash.alike(frame, 0.8).collect()}
-    for i, j in got:
-        parent[root(i)] = root(j)
-    assert got <= near and len(near) > 20 and all(root(i) == root(j) for i, j in near)
+    for i, j in near:
+        parent[max(root(i), root(j))] = min(root(i), root(j))
+    frame = spark.createDataFrame([(i, " ".join(f"t{x}" for x in s)) for i, s in enumerate(sets)], "doc_id bigint, text string")
+    for spec in (jaccard.JoinSpec(width=1, percent=80, most_keys=0), jaccard.JoinSpec(width=1, percent=80, most_keys=0, close=0)):
+        got = {r.doc_id: r.component_id for r in jaccard.link(frame, spec).collect()}
+        assert len(near) > 20 and got == {i: root(i) for i in range(len(sets))}
+
+
+def test_near_copies_of_a_repeated_doc_id(spark):
+    """Two texts under one doc_id are two documents: the unique one stays, its namesake goes as a copy."""
+    rng = random.Random(4)
+    text = lambda: " ".join(f"v{rng.randrange(5000)}" for _ in range(60))
+    lone, copied = text(), text()
+    rows = [(1, copied), (2, lone), (2, copied), (2, copied + " more"), (3, lone + " x"), (4, ""), (5, None), (None, copied)]
+    docs = spark.createDataFrame(rows, "doc_id int, text string")
+    kept = stages.simhash_dedup(spark, docs, "").collect()
+    assert sorted(map(tuple, kept), key=str) == sorted([(1, copied), (2, lone), (4, ""), (None, copied)], key=str)
+
+
+def test_sketches_drop_no_similar_pair():
+    rng = np.random.default_rng(5)
+    for _ in range(300):
+        both, x, y = (rng.integers(0, 1 << 63, rng.integers(0, n) + 1).astype(np.uint64) for n in (400, 60, 60))
+        sx, sy = (np.unique(np.concatenate([both, z])) for z in (x, y))
+        apart = int(np.bitwise_count((jaccard.parity(sx, 8) ^ jaccard.parity(sy, 8)).view(np.uint64)).sum())
+        assert apart <= len(np.setxor1d(sx, sy))
 
 
 def test_packing(docs, spark):

@@ -5,8 +5,10 @@ Equal sets are one node. Two sets of sizes n <= m are similar enough only if the
 shares one needs no further check, and a list of them is linked through one member of the
 smaller size, so nothing grows with the square of a list. Large sets scan inverted lists: sets are
 ordered from their rarest shingle on, and a similar pair shares one of the first n - needed + 1 and
-m - needed + 1; the pairs of a list are checked on whole texts. The boundary between small and
-large is the size at which enumerating and scanning together cost the least, counted on all sets.
+m - needed + 1. Each set keeps a parity sketch, one bit a bin of its shingles: bits that differ come from
+different shingles that only one set of a pair has, so a pair with more of them than similar sets may have is
+dropped without its texts, and no similar one ever is. The other pairs are checked on whole texts. The boundary between
+small and large is the size at which enumerating and scanning together cost the least, counted on all sets.
 
 Short lists are compared at once. Longer ones are settled in rounds of leaders: the first compares
 one leader with all, every later one four times as many, only between sets that are not
@@ -44,6 +46,7 @@ class JoinSpec:
     width: int = 4                 # words of a shingle
     percent: int = 85              # 100 * intersection >= percent * union
     bins: int = 1 << 17            # of the shingle counts that order shingles
+    sketch: int = 8                # 64-bit words of a parity sketch
     most_keys: int = 2_000         # subsets of one set up to which a size may count as small
     check_cost: int = 30           # a checked pair against an emitted row, for the boundary
     short: int = 4                 # members of a list that is compared at once
@@ -118,16 +121,31 @@ def rarity(marks: DataFrame, spec: JoinSpec) -> np.ndarray:
     return out
 
 
-ORDERED = pa.schema([("key", pa.binary()), ("n", pa.int32()), ("tokens", pa.list_(pa.int64()))])
+def parity(s: np.ndarray, words: int) -> np.ndarray:
+    """Bit i tells whether an odd number of the shingles fall into bin i."""
+    bits = np.bincount((scramble(s) >> np.uint64(32)).astype(np.int64) % (64 * words), minlength=64 * words) & 1
+    return np.packbits(bits.astype(np.uint8), bitorder="little").view("<i8")
 
 
-def ordered_sets(docs: DataFrame, often: np.ndarray, spec: JoinSpec) -> DataFrame:
-    """key, n, tokens: each set's shingles from the rarest on, as many as any partner asks for (all of a set that may be small)."""
-    limit, counts = spec.limit, docs.sparkSession.sparkContext.broadcast(often)
+def majority(s: np.ndarray) -> int:
+    """SimHash of a set: bit i is set if it is set in more than half of the shingles' hashes."""
+    votes, step = np.zeros(64, np.int64), 1 << 16
+    for k in range(0, len(s), step):
+        votes += np.unpackbits(s[k:k + step].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(votes * 2 > len(s), bitorder="little").view("<i8")[0])
+
+
+ORDERED = pa.schema([("key", pa.binary()), ("n", pa.int32()), ("tokens", pa.list_(pa.int64())), ("sketch", pa.list_(pa.int64())), ("fp", pa.int64())])
+
+
+def ordered_sets(docs: DataFrame, often: np.ndarray, spec: JoinSpec, limit: int, simhash: bool = False) -> DataFrame:
+    """key, n, tokens, sketch, fp: each set's shingles from the rarest on, as many as any partner asks for (all of a set of at
+    most ``limit``, which may be small), its parity sketch and, if ``simhash``, its SimHash."""
+    counts = docs.sparkSession.sparkContext.broadcast(often)
 
     def run(batches):
         for b in batches:
-            out = {"key": [], "n": [], "tokens": []}
+            out = {name: [] for name in ORDERED.names}
             for t in b.column(0):
                 s = shingle_set(t.as_py(), spec.width)
                 if not len(s):
@@ -136,8 +154,9 @@ def ordered_sets(docs: DataFrame, often: np.ndarray, spec: JoinSpec) -> DataFram
                 take = n if n <= limit else n - spec.needed(n, spec.partners(n)[0]) + 1
                 order = np.lexsort((scramble(s), counts.value[_bin(s, spec.bins)]))
                 out["key"].append(set_key(s)), out["n"].append(n), out["tokens"].append(s[order[:take]].view(np.int64))
+                out["sketch"].append(parity(s, spec.sketch)), out["fp"].append(majority(s) if simhash else None)
             yield batch_of(out, ORDERED)
-    return docs.select("text").mapInArrow(run, "key binary, n int, tokens array<bigint>")
+    return docs.select("text").mapInArrow(run, "key binary, n int, tokens array<bigint>, sketch array<bigint>, fp bigint")
 
 
 def scanned(sets: DataFrame, spec: JoinSpec) -> DataFrame:
@@ -218,6 +237,32 @@ def list_pairs(x: DataFrame, y: DataFrame, most: int, spec: JoinSpec) -> DataFra
     return pairs.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
 
 
+def may_be_similar(pairs: DataFrame, marks: DataFrame, spec: JoinSpec) -> DataFrame:
+    """The rows of ``pairs`` (x, y) that are not linked yet and whose sketches differ in no more bits than similar sets may;
+    ``marks`` has node, n, sketch and root."""
+    of = lambda c: marks.select(F.col("node").alias(c), F.col("n").alias(f"n{c}"), F.col("sketch").alias(f"s{c}"), F.col("root").alias(f"r{c}"))
+    both = pairs.join(of("x"), "x").join(of("y"), "y")
+    apart = sum((F.bit_count(F.col("sx")[i].bitwiseXOR(F.col("sy")[i])) for i in range(1, spec.sketch)), F.bit_count(F.col("sx")[0].bitwiseXOR(F.col("sy")[0])))
+    free = F.col("nx") + F.col("ny") - 2 * spec_needed(F.col("nx"), F.col("ny"), spec)
+    return both.where((F.col("rx") != F.col("ry")) & (apart <= free)).select("x", "y")
+
+
+def checked(pairs: DataFrame, marks: DataFrame, docs: DataFrame, nodes: DataFrame, spec: JoinSpec) -> DataFrame:
+    """The rows of ``pairs`` (x, y) that are similar, those known to be linked left out."""
+    some = written(may_be_similar(pairs, marks, spec), "jaccard-close")
+    ids = written(some.select(F.explode(F.array("x", "y")).alias("node")).distinct(), "jaccard-ids")
+    return written(similar(some, texts_of(docs, nodes, ids, spec), spec), "jaccard-links")
+
+
+def with_roots(sets: DataFrame, links: DataFrame | None, spec: JoinSpec) -> DataFrame:
+    """node, n, sketch and root, the smallest node that ``links`` (x, y) reach."""
+    if links is None:
+        return sets.select("node", "n", "sketch", F.col("node").alias("root"))
+    roots = written(components(links, "x", "y"), "jaccard-roots").withColumnRenamed("node", "_node")
+    return sets.join(small_enough(roots, spec.small), F.col("node") == F.col("_node"), "left").select(
+        "node", "n", "sketch", F.coalesce("root", "node").alias("root"))
+
+
 def similar(pairs: DataFrame, texts: DataFrame, spec: JoinSpec) -> DataFrame:
     """The rows of ``pairs`` (x, y) whose whole texts (node, text) are similar enough."""
     schema = pa.schema([("x", pa.int64()), ("y", pa.int64())])
@@ -238,9 +283,10 @@ def similar(pairs: DataFrame, texts: DataFrame, spec: JoinSpec) -> DataFrame:
     return of("y").join(small_enough(pairs, spec.small), "y").join(of("x"), "x").select("x", "y", "tx", "ty").mapInArrow(run, "x bigint, y bigint")
 
 
-def scan_links(rows: DataFrame, docs: DataFrame, nodes: DataFrame, most: int, known: DataFrame | None, spec: JoinSpec) -> DataFrame | None:
-    """x, y: ``known`` links and those of the pairs in the lists of ``rows`` (token, node, n, rank) with a set of more
+def scan_links(sets: DataFrame, docs: DataFrame, nodes: DataFrame, most: int, known: DataFrame | None, spec: JoinSpec) -> DataFrame | None:
+    """x, y: ``known`` links and those of the pairs in the inverted lists of ``sets`` with a set of more
     than ``most``; their closure is the closure of all similar pairs."""
+    rows, marks = scanned(sets, spec), with_roots(sets, known, spec)
     shared = rows.groupBy("token").agg(F.count("*").alias("members"), F.min("node").alias("lead")).where("members > 1")
     lists = written(rows.join(shared, "token"), "jaccard-lists")
     facts = lists.agg(F.count("*").alias("rows"), F.max("members").alias("longest")).first()
@@ -260,8 +306,7 @@ def scan_links(rows: DataFrame, docs: DataFrame, nodes: DataFrame, most: int, kn
             turn = F.pmod(F.xxhash64("node"), F.lit(1 << 30)) / F.lit(1 << 30) * F.col("members")
             first = F.lit(whole) | ((turn >= (led if led > spec.short else 0)) & (turn < ends))
         pairs = written(list_pairs(live.where(first), live, most, spec), "jaccard-pairs")
-        ids = written(pairs.select(F.explode(F.array("x", "y")).alias("node")).distinct(), "jaccard-ids")
-        found = written(similar(pairs, texts_of(docs, nodes, ids, spec), spec), "jaccard-links")
+        found = checked(pairs, marks, docs, nodes, spec)
         links = found if links is None else links.unionByName(found)
         led = ends
     return links
@@ -284,27 +329,37 @@ def texts_of(docs: DataFrame, nodes: DataFrame, ids: DataFrame, spec: JoinSpec)
     return texts if texts.count() == ids.count() else texts.dropDuplicates(["node"])           # else rows are repeated
 
 
-def link(docs: DataFrame, spec: JoinSpec = JoinSpec()) -> DataFrame:
-    """doc_id, n_shingles, component_id of every row of ``docs`` (doc_id, text)."""
+def set_nodes(docs: DataFrame, spec: JoinSpec, limit: int, simhash: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Three tables: every row's doc_id, mark, n and key; a node for each different set, empty ones too, with the row that
+    stands for it; and each node's n, tokens, sketch and fp."""
     marks = written(marked(docs, spec), "jaccard-marks")
     rows = marks.where("bin IS NULL").select("doc_id", "mark", "n", "key")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "mark"))
-    nodes = rows.where("n > 0").groupBy("key").agg(first.alias("first")).select(
+    nodes = rows.groupBy("key").agg(first.alias("first")).select(
         "key", F.col("first.doc_id").alias("first_id"), F.col("first.mark").alias("mark"), F.monotonically_increasing_id().alias("node"))
     nodes = written(nodes, "jaccard-nodes")
-    named = ordered_sets(docs, rarity(marks, spec), spec).dropDuplicates(["key"]).join(nodes.select("key", "node"), "key")
-    sets = written(named.select("node", "n", "tokens"), "jaccard-sets")
+    named = ordered_sets(docs, rarity(marks, spec), spec, limit, simhash).dropDuplicates(["key"]).join(nodes.select("key", "node"), "key")
+    return rows, nodes, written(named.select("node", "n", "tokens", "sketch", "fp"), "jaccard-sets")
+
+
+def classes_of(nodes: DataFrame, links: DataFrame | None) -> DataFrame:
+    """_key, component_id and first_mark of every node: the smallest doc_id that ``links`` (x, y) reach, and its text's mark."""
+    if links is None:
+        return nodes.select(F.col("key").alias("_key"), F.col("first_id").alias("component_id"), F.col("mark").alias("first_mark"))
+    roots = written(components(links, "x", "y"), "jaccard-roots").withColumnRenamed("node", "_node")
+    classed = nodes.join(roots, F.col("node") == F.col("_node"), "left").select("key", "first_id", "mark", F.coalesce("root", "node").alias("root"))
+    least = classed.groupBy("root").agg(F.min(F.struct(F.col("first_id").isNull().alias("none"), "first_id", "mark")).alias("first"))
+    return classed.join(least, "root").select(F.col("key").alias("_key"), F.col("first.first_id").alias("component_id"), F.col("first.mark").alias("first_mark"))
+
+
+def link(docs: DataFrame, spec: JoinSpec = JoinSpec()) -> DataFrame:
+    """doc_id, n_shingles, component_id of every row of ``docs`` (doc_id, text)."""
+    rows, nodes, sets = set_nodes(docs, spec, spec.limit)
     most = boundary(sets, spec)
     known = None
     if most:
         known = written(subset_links(sets, most, spec).select(F.col("a").alias("x"), F.col("b").alias("y")), "jaccard-subsets")
-    large = sets.where(F.col("n") >= spec.partners(most + 1)[0])
-    links = scan_links(scanned(large, spec), docs, nodes, most, known, spec)
-    if links is None:
-        return rows.select("doc_id", F.col("n").cast("bigint").alias("n_shingles"), F.col("doc_id").alias("component_id"))
-    roots = written(components(links, "x", "y"), "jaccard-roots").withColumnRenamed("node", "_node")
-    classed = nodes.join(roots, F.col("node") == F.col("_node"), "left").select("key", "first_id", F.coalesce("root", "node").alias("root"))
-    least = classed.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    classes = classed.join(least, "root").select(F.col("key").alias("_key"), "component_id")
-    return rows.join(classes, F.col("key") == F.col("_key"), "left").select(
-        "doc_id", F.col("n").cast("bigint").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    links = scan_links(sets.where(F.col("n") >= spec.partners(most + 1)[0]), docs, nodes, most, known, spec)
+    found = rows.join(classes_of(nodes, links), F.col("key") == F.col("_key"), "left")
+    return found.select("doc_id", F.col("n").cast("bigint").alias("n_shingles"),
+                        F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))

@@ -14,7 +14,6 @@ an empty table gives no rows; other columns are ignored.
 """
 from __future__ import annotations
 
-import math
 from functools import lru_cache
 
 import numpy as np
@@ -22,7 +21,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tidegate.llm.chaining import kmer_hashes, small_enough, word_hashes
+from tidegate.llm import jaccard
 from tidegate.llm.components import components
 from tidegate.llm.text import as_bytes, batch_of
 from tidegate.session import written
@@ -32,9 +31,6 @@ SEED = 42                      # of the shingle hash: a fixed value
 STEP = 1 << 16                 # shingles counted at a time
 BUCKET = 512                   # fingerprints of one bucket compared in memory
 ROWS = 512                     # fingerprints covered at a time
-SAMPLE = 16                    # one text of so many tells which shingles are common
-COMMON = 100_000               # shingles ordered by that
-SMALL = 500_000                # rows of an id table that may be broadcast
 
 
 def fingerprint(text: str | None, width: int = 4) -> int:
@@ -213,108 +209,34 @@ def near_classes(marked: DataFrame, radius: int = 4) -> DataFrame:
     return joined.join(least, "root").select("fp", "component_id")
 
 
-def shingle_sets(texts: DataFrame, width: int = 5) -> DataFrame:
-    """doc_id, shingles: the sorted hashes of a text's different ``width``-word shingles (of the whole
-    text if it is shorter)."""
-    schema = pa.schema([("doc_id", pa.int64()), ("shingles", pa.list_(pa.int64()))])
-
-    def run(batches):
-        for b in batches:
-            rows = []
-            for t in b.column(1):
-                w = word_hashes(as_bytes(t.as_py()).lower())
-                rows.append(np.unique(kmer_hashes(w, max(1, min(width, len(w))))).view(np.int64))
-            yield batch_of({"doc_id": b.column(0), "shingles": rows}, schema)
-    return texts.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(run, "doc_id bigint, shingles array<bigint>")
-
-
-def common_shingles(sets: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """The most frequent shingles of a seeded sample of texts, sorted, and their counts there. They only
-    serve to order shingles, so the sample changes the cost of a join on prefixes but not its pairs."""
-    some = sets.where(F.pmod(F.xxhash64(F.lit(SEED), "doc_id"), F.lit(SAMPLE)) == 0)
-    counts = some.select(F.explode("shingles").alias("s")).groupBy("s").agg(F.count("*").alias("n")).where("n > 1")
-    rows = sorted((r["s"], r["n"]) for r in counts.orderBy(F.desc("n"), "s").limit(COMMON).collect())
-    return np.array([s for s, _ in rows], np.int64), np.array([n for _, n in rows], np.int64)
+def covered_links(sets: DataFrame, docs: DataFrame, nodes: DataFrame, spec: jaccard.JoinSpec, radius: int) -> DataFrame:
+    """x, y: links between sets (node, n, sketch, fp) that SimHash proposes and their texts confirm. Sets of one
+    fingerprint are compared with the first of them, linked fingerprints through their first sets."""
+    firsts = written(sets.groupBy("fp").agg(F.min("node").alias("lead")), "set-fingerprints")
+    same = sets.join(firsts, "fp").where("node <> lead").select(F.col("lead").alias("x"), F.col("node").alias("y"))
+    of = lambda c, n: firsts.select(F.col("fp").alias(c), F.col("lead").alias(n))
+    near = near_links(firsts.select("fp"), radius).join(of("a", "p"), "a").join(of("b", "q"), "b")
+    pairs = same.unionByName(near.select(F.least("p", "q").alias("x"), F.greatest("p", "q").alias("y"))).distinct()
+    return jaccard.checked(pairs, jaccard.with_roots(sets, None, spec), docs, nodes, spec)
 
 
-def prefixes(sets: DataFrame, similarity: float) -> DataFrame:
-    """token, doc, n: of each text's n shingles the rarest n - ceil(similarity * n) + 1, in one order for all
-    texts. Sets of this similarity share ceil(similarity * n) shingles or more, so also one of these."""
-    seen, often = common_shingles(sets)
-    schema = pa.schema([("token", pa.int64()), ("doc", pa.int64()), ("n", pa.int32())])
+def near_copies(docs: DataFrame, similarity: float = 0.8, radius: int = 4) -> DataFrame:
+    """doc_id, mark (of the text), component_id, first_mark of every row whose words are those of another document, exactly or with
+    at least ``similarity`` of all five-word shingles in common. component_id and first_mark name the document that
+    stands for all: the one with the smallest doc_id, and among texts of one doc_id the smallest mark. Rows without a doc_id
+    take no part; texts without words are copies of each other.
 
-    def run(batches):
-        for b in batches:
-            out = [np.empty(0, np.int64)]
-            docs, sizes, takes = b.column(0).to_numpy(), [], []
-            for s in b.column(1):
-                s = s.values.to_numpy()
-                count = np.zeros(len(s), np.int64)
-                if len(seen) and len(s):
-                    at = np.minimum(np.searchsorted(seen, s), len(seen) - 1)
-                    count = np.where(seen[at] == s, often[at], 0)
-                take = len(s) - math.ceil(similarity * len(s) - 1e-9) + 1 if len(s) else 0
-                out.append(s[np.lexsort((s, count))[:take]])
-                sizes.append(len(s)), takes.append(take)
-            yield batch_of({"token": np.concatenate(out), "doc": np.repeat(docs, takes), "n": np.repeat(np.array(sizes, np.int32), takes)}, schema)
-    return sets.select("doc_id", "shingles").mapInArrow(run, "token bigint, doc bigint, n int")
-
-
-def alike(sets: DataFrame, similarity: float) -> DataFrame:
-    """x, y: links between sets (doc_id, shingles; none twice) of at least ``similarity`` shingles in common,
-    whose closure is the closure of all such pairs.
-
-    Texts that share a prefix token form its list. A round compares some leaders of every list with all its
-    other members that are not yet linked to them; the first round takes one leader, each later one
-    about four times as many, chosen by a hash. A list is done when all its members are linked or all
-    have led, so every pair of a list is compared or already linked, and no list is capped.
+    The covering tables over SimHashes give the first links, confirmed on whole texts. Pairs that SimHash does not
+    propose are found by inverted lists of the rarest shingles, where sets that are linked already are not compared again.
     """
-    keys = written(prefixes(sets, similarity), "prefixes")
-    shared = keys.groupBy("token").agg(F.count("*").alias("members"), F.min("doc").alias("lead")).where("members > 1")
-    rows = written(keys.join(shared, "token"), "lists")
-    links, roots, led = None, None, 0
-    while True:
-        if roots is None:
-            now = rows.withColumn("root", F.col("doc"))
-        else:
-            now = rows.join(roots, rows["doc"] == roots["node"], "left").select(*rows.columns, F.coalesce("root", "doc").alias("root"))
-            live = now.groupBy("token").agg(F.count("*").alias("_n"), F.min("root").alias("_low"), F.max("root").alias("_high"))
-            now = written(now.join(live.where(f"_low < _high AND _n > {led}").select("token"), "token", "left_semi"), "live-lists")
-        if now.isEmpty():
-            break
-        turn = F.pmod(F.xxhash64(F.lit(SEED), "doc"), F.lit(1 << 30)) / F.lit(1 << 30) * F.col("members")
-        most = 4 * led or 1
-        first = F.col("doc") == F.col("lead") if roots is None else (turn >= (led if led > 1 else 0)) & (turn < most)
-        x = now.where(first).select("token", F.col("doc").alias("x"), F.col("n").alias("nx"), F.col("root").alias("rx"))
-        y = now.select("token", F.col("doc").alias("y"), F.col("n").alias("ny"), F.col("root").alias("ry"))
-        size = F.least("nx", "ny") >= similarity * F.greatest("nx", "ny") - 1e-9
-        pairs = written(x.join(y, "token").where((F.col("rx") != F.col("ry")) & size)
-                        .select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct(), "near-pairs")
-        ids = written(pairs.select(F.explode(F.array("x", "y")).alias("doc_id")).distinct(), "near-ids")
-        some = sets.join(small_enough(ids, SMALL), "doc_id", "left_semi")
-        sx, sy = (some.select(F.col("doc_id").alias(n), F.col("shingles").alias(f"s{n}")) for n in "xy")
-        both = pairs.join(sx, "x").join(sy, "y").withColumn("common", F.size(F.array_intersect("sx", "sy")))
-        close = written(both.where(F.col("common") >= similarity * (F.size("sx") + F.size("sy") - F.col("common")) - 1e-9).select("x", "y"), "alike")
-        links = close if links is None else links.unionByName(close)
-        roots = written(components(links, "x", "y"), "alike-roots")
-        led = most
-    return sets.sparkSession.createDataFrame([], "x bigint, y bigint") if links is None else links
-
-
-def near_copies(docs: DataFrame, similarity: float = 0.8) -> DataFrame:
-    """doc_id, component_id of every document whose words are those of another, exactly or with at
-    least ``similarity`` of all five-word shingles in common. Rows without a doc_id take no part."""
-    docs = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    marked = written(docs.select("doc_id", F.md5(F.coalesce("text", F.lit(""))).alias("key")), "text-keys")
-    nodes = written(marked.groupBy("key").agg(F.min("doc_id").alias("first_id")), "texts")
-    one = docs.withColumn("key", F.md5(F.coalesce("text", F.lit("")))).join(nodes, "key").where("doc_id = first_id").dropDuplicates(["key"])
-    every = written(shingle_sets(one).withColumn("set", F.md5(F.array_join(F.transform("shingles", lambda h: F.hex(h)), ","))), "shingles")
-    least = written(every.groupBy("set").agg(F.min("doc_id").alias("lead")), "sets")
-    same = every.join(least, "set").where("doc_id <> lead").select(F.col("lead").alias("x"), F.col("doc_id").alias("y"))
-    sets = written(every.join(least.select(F.col("lead").alias("doc_id")), "doc_id", "left_semi").select("doc_id", "shingles"), "shingle-sets")
-    copies = marked.join(nodes, "key").where("doc_id <> first_id").select(F.col("first_id").alias("x"), F.col("doc_id").alias("y"))
-    links = alike(sets, similarity).unionByName(same).unionByName(copies)
-    return components(links, "x", "y").select(F.col("node").alias("doc_id"), F.col("root").alias("component_id"))
+    docs = docs.where("doc_id IS NOT NULL")
+    spec = jaccard.JoinSpec(width=5, percent=round(100 * similarity))
+    rows, nodes, sets = jaccard.set_nodes(docs, spec, 0, simhash=True)
+    links = jaccard.scan_links(sets, docs, nodes, 0, covered_links(sets, docs, nodes, spec, radius), spec)
+    every = written(rows.join(jaccard.classes_of(nodes, links), F.col("key") == F.col("_key")).select("doc_id", "mark", "component_id", "first_mark"), "near-copies")
+    own = (F.col("doc_id") == F.col("component_id")) & (F.col("mark") == F.col("first_mark"))
+    groups = every.where(~own).select(F.col("component_id").alias("_id"), F.col("first_mark").alias("_mark")).distinct()
+    return every.join(groups, (F.col("component_id") == F.col("_id")) & (F.col("first_mark") == F.col("_mark")), "left_semi")
 
 
 def hex_of(fp: Column) -> Column:
