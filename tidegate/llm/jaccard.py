@@ -160,10 +160,11 @@ def ordered_sets(docs: DataFrame, often: np.ndarray, spec: JoinSpec, limit: int,
 
 
 def scanned(sets: DataFrame, spec: JoinSpec) -> DataFrame:
-    """token, node, n, rank: the tokens of each set that a scan looks up, with their place in its order."""
+    """token, node, n, rank (and root, if ``sets`` has it): the tokens of each set that a scan looks up, with their place in its order."""
     take = F.col("n") - spec_needed(F.col("n"), F.ceil(F.col("n") * spec.percent / 100), spec) + 1
-    rows = sets.select("node", "n", F.posexplode(F.slice("tokens", F.lit(1), take.cast("int"))).alias("rank", "token"))
-    return rows.select("token", "node", "n", "rank")
+    more = [c for c in sets.columns if c == "root"]
+    rows = sets.select("node", "n", *more, F.posexplode(F.slice("tokens", F.lit(1), take.cast("int"))).alias("rank", "token"))
+    return rows.select("token", "node", "n", "rank", *more)
 
 
 def spec_needed(n, m, spec: JoinSpec):
@@ -255,12 +256,12 @@ def checked(pairs: DataFrame, marks: DataFrame, docs: DataFrame, nodes: DataFram
 
 
 def with_roots(sets: DataFrame, links: DataFrame | None, spec: JoinSpec) -> DataFrame:
-    """node, n, sketch and root, the smallest node that ``links`` (x, y) reach."""
+    """``sets`` with root, the smallest node that ``links`` (x, y) reach."""
     if links is None:
-        return sets.select("node", "n", "sketch", F.col("node").alias("root"))
+        return sets.withColumn("root", F.col("node"))
     roots = written(components(links, "x", "y"), "jaccard-roots").withColumnRenamed("node", "_node")
     return sets.join(small_enough(roots, spec.small), F.col("node") == F.col("_node"), "left").select(
-        "node", "n", "sketch", F.coalesce("root", "node").alias("root"))
+        *sets.columns, F.coalesce("root", "node").alias("root"))
 
 
 def similar(pairs: DataFrame, texts: DataFrame, spec: JoinSpec) -> DataFrame:
@@ -286,17 +287,18 @@ def similar(pairs: DataFrame, texts: DataFrame, spec: JoinSpec) -> DataFrame:
 def scan_links(sets: DataFrame, docs: DataFrame, nodes: DataFrame, most: int, known: DataFrame | None, spec: JoinSpec) -> DataFrame | None:
     """x, y: ``known`` links and those of the pairs in the inverted lists of ``sets`` with a set of more
     than ``most``; their closure is the closure of all similar pairs."""
-    rows, marks = scanned(sets, spec), with_roots(sets, known, spec)
-    shared = rows.groupBy("token").agg(F.count("*").alias("members"), F.min("node").alias("lead")).where("members > 1")
-    lists = written(rows.join(shared, "token"), "jaccard-lists")
+    marks = with_roots(sets, known, spec)
+    rows = scanned(marks, spec)
+    shared = rows.groupBy("token").agg(F.count("*").alias("members"), F.min("node").alias("lead"), F.min("root").alias("_low"), F.max("root").alias("_high"))
+    lists = written(rows.join(shared.where("_low < _high").select("token", "members", "lead"), "token"), "jaccard-lists")
     facts = lists.agg(F.count("*").alias("rows"), F.max("members").alias("longest")).first()
     links, led = known, 0
     while facts["rows"] and (led == 0 or facts["longest"] > led):
         if led == 0:                               # short lists at once, of the others one leader
-            live = lists.withColumns({"root": F.col("node"), "both": F.col("members") <= spec.short})
+            live = lists.withColumn("both", F.col("members") <= spec.short)
             first, ends = F.col("both") | (F.col("node") == F.col("lead")), spec.short
         else:
-            live = _unsettled(lists.where(F.col("members") > led), links, spec)
+            live = _unsettled(lists.where(F.col("members") > led).drop("root"), links, spec)
             left = live.agg(F.count("*").alias("rows"), F.sum((F.col("left") - 1) / 2).alias("pairs")).first()
             if not left["rows"]:
                 break
