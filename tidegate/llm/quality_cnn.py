@@ -46,10 +46,16 @@ class Model:
     spec: CnnSpec
 
 
+def padded(raw: bytes, spec: CnnSpec) -> np.ndarray:
+    """The bytes of a text, filled up with zeros until windows of ``width`` at steps of ``stride`` read every one."""
+    short = spec.width - len(raw)
+    return np.frombuffer(raw + bytes(short if short > 0 else short % spec.stride), np.uint8)
+
+
 def chunk_answers(raw: bytes, table: np.ndarray, bias: np.ndarray, spec: CnnSpec) -> tuple[np.ndarray, np.ndarray]:
     """Per chunk and filter the largest answer and the byte where it starts. Positions are shared by
     overlapping chunks, so each is computed once per piece of the text."""
-    b = np.frombuffer(raw + bytes(max(0, spec.width - len(raw))), np.uint8)
+    b = padded(raw, spec)
     hop = spec.chunk - spec.overlap
     tops, wheres = [], []
     step = 64 * hop                                              # chunks are made 64 at a time
@@ -138,7 +144,7 @@ def _accumulate(raw: bytes, y: float, weight: float, m: Model, grads: list[np.nd
     g[top.argmax(axis=0), np.arange(spec.filters)] += m.dense[:spec.filters]
     g = np.where(top > 0, g * e, 0)
     grads[1] += g.sum(axis=0)
-    b = np.frombuffer(raw + bytes(max(0, spec.width - len(raw))), np.uint8)
+    b = padded(raw, spec)
     f = np.broadcast_to(np.arange(spec.filters), where.shape)
     for k in range(spec.width):
         np.add.at(grads[0][k], (b[where + k], f), g)
