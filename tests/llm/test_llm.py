@@ -1,5 +1,7 @@
 """The training-data operators against brute force, on a small fixture with the awkward cases."""
 import random
+import re
+import time
 import zlib
 
 import numpy as np
@@ -10,6 +12,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from oracle import compare, connect
 from tidegate.llm import ann, apportion, chaining, chat, jaccard, langid, mixing, packing, quality_cnn, queries, rules, simhash, stages, suffixes
+from tidegate.llm.text import told_apart
 from tidegate.llm.tokens import WordTokenizer
 
 SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint, n_words string, shard string, size string, spans string, fp string"
@@ -284,6 +287,18 @@ def test_cnn(docs):
     assert quality_cnn.fit([], np.empty(0, bool)).dense[-1] == 0
 
 
+def test_every_byte_is_read():
+    spec = quality_cnn.CnnSpec(filters=2)
+    m = quality_cnn.constant(0.5, spec)
+    m.table[:, ord("z"), 0] = 1
+    for n in (1, 2, 5, 6, 7, 8, 9, 1023, 1024, 1025, 1985, 61_440, 61_441, 61_503, 61_504, 61_505, 61_507, 123_001):
+        flat = quality_cnn.document_vector(b"a" * n, m)
+        for at in {0, n // 2, n - 1, max(0, n - 2), max(0, n - 7)}:
+            text = bytearray(b"a" * n)
+            text[at] = ord("z")
+            assert (quality_cnn.document_vector(bytes(text), m) != flat).any(), (n, at)
+
+
 def test_chat(spark, sf):
     t = chat.ChatTemplate()
     said = [(1, 0, "user", "a\\<|end|>\n</s>\\\\[INST]"), (1, 1, "assistant", "<|text|><\\|turn|>"), (2, 0, "assistant", None), (None, None, None, "x"), (3, 0, "user", "q"), (3, 1, "user", "q")]
@@ -296,7 +311,7 @@ def test_chat(spark, sf):
 
 
 def test_passages(docs):
-    got = {r.doc_id: r for r in chaining.repeat_spans(docs).collect()}
+    got = {r.doc_id: r for r in chaining.repeat_spans(told_apart(docs)).collect()}
     n = lambda i: sum(s.stop - s.start for s in got[i].spans)
     assert 70 <= n(4) <= 72 and got[4].sources == [3]
     assert n(1) == len(_texts()[0][1].split()) and n(2) == n(1) and 3 not in got and 10 not in got
@@ -313,7 +328,7 @@ def test_passages_whose_seeds_occur_elsewhere(spark):
     texts = [new(60) + passage[i:i + 14] + new(60) for i in range(0, 42, 6)]
     texts += [new(50) + passage + new(50)] + [new(60) + passage[i:i + 14] + new(60) for i in range(3, 42, 6)] + [new(70) + passage + new(30)]
     docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id bigint, text string").repartition(3)
-    got = {r.doc_id: [(s.start, s.stop) for s in r.spans] for r in chaining.repeat_spans(docs).collect()}
+    got = {r.doc_id: [(s.start, s.stop) for s in r.spans] for r in chaining.repeat_spans(told_apart(docs)).collect()}
     assert list(got) == [len(texts) - 1] and got[len(texts) - 1][0][0] <= 70 and got[len(texts) - 1][0][1] >= 126
 
 
@@ -357,6 +372,35 @@ def test_suffixes(docs, chunk):
     assert got == sorted(want, key=str)
 
 
+def test_one_id_with_two_texts(spark):
+    """A text loses its own repeats only, whatever another text of the same doc_id repeats, and two texts of
+    one doc_id are no repeats of each other."""
+    rng = random.Random(21)
+    new = lambda n: " ".join(f"w{rng.randrange(5000)}" for _ in range(n))
+    shared, alone, own = new(80), new(200), new(90)
+    said = [(1, new(100) + " " + shared), (2, shared + " " + own), (2, alone), (2, new(30) + " " + own), (3, new(60)), (3, new(60)), (3, None)]
+    rows = said + [(2, alone)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").withColumns({"twin": F.lit("x"), "n_chars": F.length("text").cast("bigint")}).repartition(3)
+    found = told_apart(docs, "_t").select("doc_id", "text", F.col("_t").alias("twin"))
+    by_text = {r.text: r.twin for r in found.collect()}
+    got = {(r.doc_id, r.twin): [(s.start, s.stop) for s in r.spans] for r in chaining.repeat_spans(found).collect()}
+    assert got == {(2, by_text[said[1][1]]): [(0, 80)]} and len({by_text[t] for i, t in said if i == 2}) == 3
+    kept = {}
+    for r in suffixes.dedup_bytes(docs, suffixes.SuffixSpec(least_buckets=3)).collect():
+        kept.setdefault((r.doc_id, r.n_bytes), set()).add(bytes(r.kept))
+    for i, t in rows:
+        raw = (t or "").encode()
+        first = said[0][1].encode()
+        want = np.ones(len(raw), bool)
+        for p in range(len(raw) - 49 if i == 2 else 0):
+            if raw[p:p + 50] in first:
+                want[p:p + 50] = False
+        assert bytes(np.frombuffer(raw, np.uint8)[want]) in kept[i, len(raw)]
+    left = stages.passage_dedup(spark, docs, "")
+    assert left.columns == docs.columns
+    assert sorted((r.doc_id, r.text or "") for r in left.collect()) == sorted((i, own if t == said[1][1] else t or "") for i, t in rows)
+
+
 def test_blind_trie():
     rng = random.Random(0)
     words = [bytes(rng.choice(b"ab") for _ in range(8)) for _ in range(300)]
@@ -388,6 +432,20 @@ def test_neighbours(spark):
     assert ann.search(df.limit(0)).count() == 0
 
 
+def test_tags_in_one_pass():
+    """Equal to the plain pattern with backtracking, and linear where nothing closes."""
+    plain = re.compile(rb"<(script|style)\b.*?</\1\s*>|<!--.*?-->|<[^>]*>", re.S | re.I)
+    rng = random.Random(3)
+    pieces = ["<script", "</script>", "</SCRIPT  >", "<Style>", "</style", "<!--", "-->", "<p>", "<", ">", "x", "\n", "<scripts>", "<!-->", "é"]
+    for _ in range(4000):
+        raw = "".join(rng.choice(pieces) for _ in range(rng.randint(0, 14))).encode()
+        assert langid.visible(raw) == plain.sub(b" ", raw), raw
+    for one in ("<script ", "<style>", "<!-- ", "<", "<p ", "</script ", "<script>x</script "):
+        start = time.process_time()
+        langid.page_text(one * (1_000_000 // len(one)))
+        assert time.process_time() - start < 3, one
+
+
 def test_language(spark):
     words = {"en": "the house and the water of this place", "de": "das haus und der garten mit dem wasser", "fr": "la maison et le jardin avec des fleurs"}
     docs = spark.createDataFrame([(i, t, k) for k, t in words.items() for i in range(5)], "doc_id bigint, text string, lang string")

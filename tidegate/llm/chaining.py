@@ -14,8 +14,8 @@ fetched in blocks and aligned between the seeds and beyond the ends; a passage o
 that is less alike as a whole gives the parts of it that are.
 
 Defined cases: words are compared with ASCII letters lower-cased; a null text has no words; rows with
-a null doc_id take no part and keep their text; rows that repeat a doc_id count as one document
-(only other, smaller ids make a repeat); an empty table gives no rows; other columns are ignored.
+a null doc_id take no part and keep their text; rows that repeat doc_id and text count as one document,
+rows of one doc_id with different texts are documents of their own (only smaller ids make a repeat); an empty table gives no rows; other columns are ignored.
 """
 from __future__ import annotations
 
@@ -25,7 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from tidegate.llm.text import as_bytes, batch_of, word_spans
+from tidegate.llm.text import as_bytes, batch_of, small_enough, told_apart, word_spans
 from tidegate.session import written
 
 MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -113,37 +113,37 @@ def reach_hashes(words: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
     return np.where(at + n <= len(words), (scramble((run[to] - run[at]) * down[at]) >> np.uint64(33)).astype(np.int64), -1)
 
 
-SEEDS = pa.schema([("seed", pa.int64()), ("doc", pa.int64()), ("pos", pa.int32()), ("ahead", pa.int32())])
+SEEDS = pa.schema([("seed", pa.int64()), ("doc", pa.int64()), ("twin", pa.int64()), ("pos", pa.int32()), ("ahead", pa.int32())])
 
 
 def seeds(docs: DataFrame, spec: ChainSpec) -> DataFrame:
-    """seed, doc, pos, ahead (hash of its reach) of every minimizer of every text that is long enough to hold a passage."""
+    """seed, doc, twin, pos, ahead (hash of its reach) of every minimizer of every text that is long enough to hold a passage."""
     def run(batches):
         for b in batches:
-            s, d, p, r = [np.empty(0, np.uint64)], [np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0, np.int64)]
-            for doc, text in zip(b.column(0).to_pylist(), b.column(1)):
+            s, d, t, p, r = [np.empty(0, np.uint64)], *([np.empty(0, np.int64)] for _ in range(4))
+            for doc, twin, text in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), b.column(1)):
                 words = word_hashes(as_bytes(text.as_py()).lower())
                 if len(words) >= spec.min_words * spec.similarity:
                     h = kmer_hashes(words, spec.k)
                     at = minimizers(h, spec.w)
-                    s.append(h[at]), p.append(at), d.append(np.full(len(at), doc)), r.append(reach_hashes(words, at, spec.reach))
-            yield batch_of({"seed": np.concatenate(s).view(np.int64), "doc": np.concatenate(d), "pos": np.concatenate(p).astype(np.int32),
+                    s.append(h[at]), p.append(at), d.append(np.full(len(at), doc)), t.append(np.full(len(at), twin)), r.append(reach_hashes(words, at, spec.reach))
+            yield batch_of({"seed": np.concatenate(s).view(np.int64), "doc": np.concatenate(d), "twin": np.concatenate(t), "pos": np.concatenate(p).astype(np.int32),
                             "ahead": np.concatenate(r).astype(np.int32)}, SEEDS)
-    return docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("bigint"), "text").mapInArrow(run, "seed bigint, doc bigint, pos int, ahead int")
+    return docs.where("doc_id IS NOT NULL").select("doc_id", "text", "twin").mapInArrow(run, "seed bigint, doc bigint, twin bigint, pos int, ahead int")
 
 
 def matches(found: DataFrame) -> DataFrame:
-    """a, d, pa, pd, alike: every seed of a document with its first occurrence and with the one just before,
+    """a, a_twin, d, d_twin, pa, pd, alike: every seed of a document with its first occurrence and with the one just before,
     in order of (doc, pos), and with these two among the seeds of equal reach, where they are in smaller documents."""
-    here = F.struct("doc", "pos", "ahead")
-    every = W.partitionBy("seed").orderBy("doc", "pos")
-    alike = W.partitionBy("seed", "ahead").orderBy("doc", "pos")
+    here = F.struct("doc", "twin", "pos", "ahead")
+    every = W.partitionBy("seed").orderBy("doc", "twin", "pos")
+    alike = W.partitionBy("seed", "ahead").orderBy("doc", "twin", "pos")
     placed = found.withColumns({"first": F.first(here).over(every), "last": F.lag(here).over(every), "next": F.lead("doc").over(every)})
     placed = (placed.where("last IS NOT NULL OR next IS NOT NULL")         # a seed that occurs once has no match
               .withColumns({"first_alike": F.first(here).over(alike), "last_alike": F.lag(here).over(alike)}))
     ends = F.filter(F.array_distinct(F.array("first", "last", "first_alike", "last_alike")), lambda x: x["doc"] < F.col("doc"))
     return (placed.withColumn("e", F.explode(ends))
-            .select(F.col("e.doc").alias("a"), F.col("doc").alias("d"), F.col("e.pos").alias("pa"), F.col("pos").alias("pd"),
+            .select(F.col("e.doc").alias("a"), F.col("e.twin").alias("a_twin"), F.col("doc").alias("d"), F.col("twin").alias("d_twin"), F.col("e.pos").alias("pa"), F.col("pos").alias("pd"),
                     ((F.col("ahead") >= 0) & (F.col("ahead") == F.col("e.ahead"))).alias("alike")))
 
 
@@ -223,15 +223,16 @@ def straight(at: np.ndarray, dt: np.ndarray, alike: np.ndarray, found: list[tupl
     return out
 
 
-CHAINS = pa.schema([("a", pa.int64()), ("d", pa.int64()), ("pa", pa.list_(pa.int32())), ("pd", pa.list_(pa.int32()))])
+PAIR = ["a", "a_twin", "d", "d_twin"]
+CHAINS = pa.schema([*[(n, pa.int64()) for n in PAIR], ("pa", pa.list_(pa.int32())), ("pd", pa.list_(pa.int32()))])
 
 
 def chained(found: DataFrame, spec: ChainSpec) -> DataFrame:
-    """a, d, pa, pd: the chains of every pair of documents, streamed pair by pair."""
+    """a, a_twin, d, d_twin, pa, pd: the chains of every pair of documents, streamed pair by pair."""
     def close(cols) -> dict | None:
-        a, d, at, dt, alike = cols
-        cut = np.flatnonzero((a[1:] != a[:-1]) | (d[1:] != d[:-1])) + 1
-        start, stop = np.concatenate([[0], cut]), np.concatenate([cut, [len(a)]])
+        pair, (at, dt, alike) = cols[:4], cols[4:]
+        cut = np.flatnonzero(np.any([x[1:] != x[:-1] for x in pair], axis=0)) + 1
+        start, stop = np.concatenate([[0], cut]), np.concatenate([cut, [len(at)]])
         keep = (stop - start >= spec.min_seeds) | np.logical_or.reduceat(alike, start)
         out = {n: [] for n in CHAINS.names}
         for s, e in zip(start[keep], stop[keep]):
@@ -240,45 +241,42 @@ def chained(found: DataFrame, spec: ChainSpec) -> DataFrame:
             if alike[s:e].any():
                 whole += straight(at[s:e].astype(np.int64), dt[s:e].astype(np.int64), alike[s:e], whole, spec)
             for u, v in whole:
-                out["a"].append(a[s]), out["d"].append(d[s]), out["pa"].append(u), out["pd"].append(v)
+                for n, x in zip(PAIR, pair):
+                    out[n].append(x[s])
+                out["pa"].append(u), out["pd"].append(v)
         return out
 
     def run(batches):
         held = None
         for b in batches:
-            cols = [b.column(i).to_numpy(zero_copy_only=False) for i in range(5)]
+            cols = [b.column(i).to_numpy(zero_copy_only=False) for i in range(7)]
             if held is not None:
                 cols = [np.concatenate(x) for x in zip(held, cols)]
             if not len(cols[0]):
                 continue
-            tail = int(np.flatnonzero((cols[0] != cols[0][-1]) | (cols[1] != cols[1][-1])).max(initial=-1)) + 1      # the last pair may go on
+            tail = int(np.flatnonzero(np.any([x != x[-1] for x in cols[:4]], axis=0)).max(initial=-1)) + 1      # the last pair may go on
             held = [c[tail:] for c in cols]
             if tail:
                 yield batch_of(close([c[:tail] for c in cols]), CHAINS)
         if held is not None and len(held[0]):
             yield batch_of(close(held), CHAINS)
-    return (found.repartition("a", "d").sortWithinPartitions("a", "d", "pd", "pa").select("a", "d", "pa", "pd", "alike")
-            .mapInArrow(run, "a bigint, d bigint, pa array<int>, pd array<int>"))
-
-
-def small_enough(ids: DataFrame, most: int) -> DataFrame:
-    """``ids``, marked for broadcast if it has at most ``most`` rows; a join shuffles it otherwise."""
-    return F.broadcast(ids) if ids.limit(most + 1).count() <= most else ids
+    return (found.repartition("a", "d").sortWithinPartitions(*PAIR, "pd", "pa").select(*PAIR, "pa", "pd", "alike")
+            .mapInArrow(run, "a bigint, a_twin bigint, d bigint, d_twin bigint, pa array<int>, pd array<int>"))
 
 
 def word_blocks(docs: DataFrame, spec: ChainSpec) -> DataFrame:
-    """doc, block, words: 32-bit word hashes of every text, ``block`` words a row."""
-    schema = pa.schema([("doc", pa.int64()), ("block", pa.int32()), ("words", pa.binary())])
+    """doc, twin, block, words: 32-bit word hashes of every text, ``block`` words a row."""
+    schema = pa.schema([("doc", pa.int64()), ("twin", pa.int64()), ("block", pa.int32()), ("words", pa.binary())])
 
     def run(batches):
         for b in batches:
             out = {n: [] for n in schema.names}
-            for doc, text in zip(b.column(0).to_pylist(), b.column(1)):
+            for doc, twin, text in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), b.column(1)):
                 raw = word_hashes(as_bytes(text.as_py()).lower()).astype(np.uint32).tobytes()
                 for k in range(0, len(raw), 4 * spec.block):
-                    out["doc"].append(doc), out["block"].append(k // (4 * spec.block)), out["words"].append(raw[k:k + 4 * spec.block])
+                    out["doc"].append(doc), out["twin"].append(twin), out["block"].append(k // (4 * spec.block)), out["words"].append(raw[k:k + 4 * spec.block])
             yield batch_of(out, schema)
-    return docs.mapInArrow(run, "doc bigint, block int, words binary")
+    return docs.select("doc_id", "text", "twin").mapInArrow(run, "doc bigint, twin bigint, block int, words binary")
 
 
 def align(x: np.ndarray, y: np.ndarray, px: np.ndarray, py: np.ndarray) -> tuple[int, int, np.ndarray]:
@@ -350,20 +348,20 @@ def passages(xs: int, runs: np.ndarray, spec: ChainSpec) -> list[tuple[int, int]
 
 
 def repeats(docs: DataFrame, spec: ChainSpec = ChainSpec()) -> DataFrame:
-    """doc_id, source_id, start, stop: passages (word numbers) that an earlier document has too."""
+    """doc_id, twin, source_id, start, stop: passages (word numbers) that an earlier document has too. ``docs``
+    comes from ``told_apart``."""
     found = written(chained(matches(seeds(docs, spec)), spec).withColumn("chain", F.monotonically_increasing_id()), "chains")
     margin = 2 * spec.w
-    sides = [found.select("chain", F.lit(side).alias("side"), F.col(doc).alias("doc"),
+    sides = [found.select("chain", F.lit(side).alias("side"), F.col(doc).alias("doc"), F.col(f"{doc}_twin").alias("twin"),
                           F.greatest(F.lit(0), F.element_at(at, 1) - margin).alias("lo"), (F.element_at(at, -1) + spec.k + margin).alias("hi"))
              for side, doc, at in ((0, "d", "pd"), (1, "a", "pa"))]
     wanted = sides[0].unionByName(sides[1]).select(
-        "chain", "side", "doc", F.explode(F.sequence(F.floor(F.col("lo") / spec.block).cast("int"), F.floor((F.col("hi") - 1) / spec.block).cast("int"))).alias("block"))
+        "chain", "side", "doc", "twin", F.explode(F.sequence(F.floor(F.col("lo") / spec.block).cast("int"), F.floor((F.col("hi") - 1) / spec.block).cast("int"))).alias("block"))
     ids = written(found.select(F.explode(F.array("a", "d")).alias("doc_id")).distinct(), "chain-docs")
-    texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").join(small_enough(ids, spec.small), "doc_id", "left_semi")
-    blocks = word_blocks(texts.select("doc_id", "text"), spec)
-    fetched = wanted.join(blocks, ["doc", "block"]).select("chain", "side", "block", "words")
+    blocks = word_blocks(docs.join(small_enough(ids, spec.small), "doc_id", "left_semi"), spec)
+    fetched = wanted.join(blocks, ["doc", "twin", "block"]).select("chain", "side", "block", "words")
     parts = fetched.groupBy("chain").agg(F.array_sort(F.collect_set(F.struct("side", "block", "words"))).alias("parts"))       # bounded by the chain's own length
-    schema = pa.schema([("doc_id", pa.int64()), ("source_id", pa.int64()), ("start", pa.int32()), ("stop", pa.int32())])
+    schema = pa.schema([("doc_id", pa.int64()), ("twin", pa.int64()), ("source_id", pa.int64()), ("start", pa.int32()), ("stop", pa.int32())])
 
     def flat(col: pa.Array) -> tuple[np.ndarray, pa.Array]:
         return col.offsets.to_numpy(), col.values
@@ -371,7 +369,7 @@ def repeats(docs: DataFrame, spec: ChainSpec = ChainSpec()) -> DataFrame:
     def run(batches):
         for b in batches:
             out = {n: [] for n in schema.names}
-            a, d = b.column("a").to_numpy(), b.column("d").to_numpy()
+            a, d, twin = (b.column(n).to_numpy() for n in ("a", "d", "d_twin"))
             (cut, at), (_, dt), (edge, got) = flat(b.column("pa")), flat(b.column("pd")), flat(b.column("parts"))
             at, dt = at.to_numpy(), dt.to_numpy()
             side, block, words = got.field("side").to_numpy(), got.field("block").to_numpy(), got.field("words")
@@ -384,21 +382,21 @@ def repeats(docs: DataFrame, spec: ChainSpec = ChainSpec()) -> DataFrame:
                 first = int(block[lo]) * spec.block
                 xs, _, runs = align(later, earlier, dt[cut[i]:cut[i + 1]] - first, at[cut[i]:cut[i + 1]] - int(block[turn]) * spec.block)
                 for start, stop in passages(xs + first, runs, spec):
-                    out["doc_id"].append(d[i]), out["source_id"].append(a[i]), out["start"].append(start), out["stop"].append(stop)
+                    out["doc_id"].append(d[i]), out["twin"].append(twin[i]), out["source_id"].append(a[i]), out["start"].append(start), out["stop"].append(stop)
             yield batch_of(out, schema)
-    return found.join(parts, "chain").select("a", "d", "pa", "pd", "parts").mapInArrow(run, "doc_id bigint, source_id bigint, start int, stop int")
+    return found.join(parts, "chain").select("a", "d", "d_twin", "pa", "pd", "parts").mapInArrow(run, "doc_id bigint, twin bigint, source_id bigint, start int, stop int")
 
 
 def repeat_spans(docs: DataFrame, spec: ChainSpec = ChainSpec()) -> DataFrame:
-    """doc_id, spans (merged word ranges, ascending), sources: one row per document with repeats. The
-    lists are bounded by the document's own seeds."""
+    """doc_id, twin, spans (merged word ranges, ascending), sources: one row per document with repeats. The
+    lists are bounded by the document's own seeds. ``docs`` comes from ``told_apart``."""
     merged = F.aggregate(
         F.array_sort(F.collect_set(F.struct("start", "stop"))), F.array().cast("array<struct<start:int,stop:int>>"),
         lambda acc, x: F.when((F.size(acc) > 0) & (F.element_at(acc, -1)["stop"] >= x["start"]),
                               F.concat(F.slice(acc, F.lit(1), F.size(acc) - 1), F.array(F.struct(
                                   F.element_at(acc, -1)["start"].alias("start"), F.greatest(F.element_at(acc, -1)["stop"], x["stop"]).alias("stop")))))
         .otherwise(F.concat(acc, F.array(x))))
-    return repeats(docs, spec).groupBy("doc_id").agg(merged.alias("spans"), F.sort_array(F.collect_set("source_id")).alias("sources"))
+    return repeats(docs, spec).groupBy("doc_id", "twin").agg(merged.alias("spans"), F.sort_array(F.collect_set("source_id")).alias("sources"))
 
 
 def cut_words(text: str, spans: list[tuple[int, int]]) -> str:

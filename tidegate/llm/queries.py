@@ -6,7 +6,7 @@ from functools import wraps
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tidegate.llm import ann, chaining, chat, codes, jaccard, langid, mixing, packing, quality_cnn, rules, simhash, suffixes, turns
-from tidegate.llm.text import bounded_batches
+from tidegate.llm.text import bounded_batches, told_apart
 from tidegate.session import written
 from tidegate.sources.tables import table
 
@@ -85,10 +85,11 @@ def op8_chat(spark: SparkSession, sf: str) -> DataFrame:
 
 @register
 def op9_chaining(spark: SparkSession, sf: str) -> DataFrame:
-    docs = table(spark, sf, "documents").select("doc_id", mixing.n_words(F.col("text")).alias("n_words"))
-    spans = chaining.repeat_spans(table(spark, sf, "documents"))
+    own = told_apart(table(spark, sf, "documents").select(F.col("doc_id").cast("bigint").alias("doc_id"), "text"))
+    docs = own.select("doc_id", "twin", mixing.n_words(F.col("text")).alias("n_words"))
+    spans = chaining.repeat_spans(own)
     removed = F.aggregate("spans", F.lit(0).cast("bigint"), lambda n, s: n + s["stop"] - s["start"])
-    return docs.join(spans, "doc_id", "left").select(
+    return docs.join(spans, ["doc_id", "twin"], "left").select(
         "doc_id", "n_words", F.coalesce(removed, F.lit(0)).cast("bigint").alias("n_removed"), F.coalesce(F.size("spans"), F.lit(0)).cast("bigint").alias("n_spans"),
         F.coalesce("sources", F.array().cast("array<bigint>")).alias("source_ids"))
 

@@ -11,7 +11,8 @@ by a blind trie (a group of two is the trie of one comparison). Suffixes that ag
 bytes are repeats in every document but the smallest.
 
 Defined cases: a null text is empty; rows with a null doc_id take no part and keep their bytes; rows
-that repeat a doc_id are one document; an empty table gives no rows; other columns are ignored; texts
+that repeat doc_id and text are one document, rows of one doc_id with different texts are documents of their own of
+which none is earlier than the other; an empty table gives no rows; other columns are ignored; texts
 of any length are read in pieces of ``chunk`` bytes.
 """
 from __future__ import annotations
@@ -23,8 +24,8 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, functions as F
 
-from tidegate.llm.chaining import _BYTE, _powers, scramble, small_enough
-from tidegate.llm.text import as_bytes, batch_of
+from tidegate.llm.chaining import _BYTE, _powers, scramble
+from tidegate.llm.text import as_bytes, batch_of, small_enough, told_apart
 from tidegate.session import written
 
 
@@ -244,13 +245,13 @@ def against_head(b, start, size, doc, reps, head, spec: SuffixSpec) -> tuple[np.
 
 
 ROWS = pa.schema([("bucket", pa.int32()), ("block", pa.binary())])
-SPANS = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("stop", pa.int64())])
+SPANS = pa.schema([("doc_id", pa.int64()), ("twin", pa.int64()), ("start", pa.int64()), ("stop", pa.int64())])
 
 
-def _packed(doc, pos, size, tag, content) -> bytes:
+def _packed(doc, twin, pos, size, tag, content) -> bytes:
     head = np.array([len(doc)], "<i8").tobytes()
     tag = tag.astype("<u4").view(np.uint8).reshape(-1, 4)[:, :3].T.tobytes()          # three bytes of the hash tell most groups apart
-    planes = [x.astype(kind).view(np.uint8).reshape(len(x), -1).T.tobytes() for x, kind in ((doc, "<i8"), (pos, "<i8"), (size, "<i4"))]      # equal high bytes side by side
+    planes = [x.astype(kind).view(np.uint8).reshape(len(x), -1).T.tobytes() for x, kind in ((doc, "<i8"), (twin, "<i8"), (pos, "<i8"), (size, "<i4"))]      # equal high bytes side by side
     return zstandard.ZstdCompressor(level=5).compress(b"".join([head, *planes, tag, content.tobytes()]))
 
 
@@ -258,7 +259,7 @@ def _unpacked(block: bytes):
     raw = zstandard.ZstdDecompressor().decompress(block)
     n = int(np.frombuffer(raw, "<i8", 1)[0])
     at, out = 8, []
-    for kind, width in (("<i8", 8), ("<i8", 8), ("<i4", 4)):
+    for kind, width in (("<i8", 8), ("<i8", 8), ("<i8", 8), ("<i4", 4)):
         out.append(np.ascontiguousarray(np.frombuffer(raw, np.uint8, n * width, at).reshape(width, n).T).view(kind).ravel().astype(np.int64))
         at += n * width
     tag = np.zeros((n, 4), np.uint8)
@@ -267,16 +268,16 @@ def _unpacked(block: bytes):
 
 
 def _chunks(batches, spec: SuffixSpec):
-    """Lists of (doc, offset, bytes) of about ``chunk`` bytes; a longer text comes in overlapping pieces
+    """Lists of (doc, twin, offset, bytes) of about ``chunk`` bytes; a longer text comes in overlapping pieces
     whose string starts do not overlap."""
     held, size = [], 0
     for b in batches:
-        for doc, text in zip(b.column(0).to_pylist(), b.column(1)):
+        for doc, twin, text in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), b.column(1)):
             raw = as_bytes(text.as_py())
             for at in range(0, max(1, len(raw) - spec.length + 1), spec.chunk):
                 part = raw[at:at + spec.chunk + spec.length - 1]
                 if len(part) >= spec.length:
-                    held.append((doc, at, part))
+                    held.append((doc, twin, at, part))
                     size += len(part)
                 if size >= spec.chunk:
                     yield held
@@ -290,19 +291,19 @@ def blocks(docs: DataFrame, buckets: int, spec: SuffixSpec) -> DataFrame:
     goes along as a block of plain spans."""
     def run(batches):
         for chunk in _chunks(batches, spec):
-            b = np.frombuffer(b"".join(p for _, _, p in chunk), np.uint8)
-            bounds = np.concatenate([[0], np.cumsum([len(p) for _, _, p in chunk])])
+            b = np.frombuffer(b"".join(p for *_, p in chunk), np.uint8)
+            bounds = np.concatenate([[0], np.cumsum([len(p) for *_, p in chunk])])
             start, count, h = stretches(b, bounds, spec)
             text = np.searchsorted(bounds, start, "right") - 1
-            doc = np.array([d for d, _, _ in chunk], np.int64)[text]
-            pos = start - bounds[text] + np.array([a for _, a, _ in chunk], np.int64)[text]
+            doc, twin, offset = (np.array([c[i] for c in chunk], np.int64)[text] for i in range(3))
+            pos = start - bounds[text] + offset
             size = count + spec.length - 1
             lead, _ = collapse(b, start, size, doc, pos)
             settled = doc > doc[lead]                                        # an equal stretch of a smaller document is in this chunk
             out = {"bucket": [], "block": []}
             if settled.any():
                 out["bucket"].append(int(bounds[-1] + chunk[0][0]) % buckets)
-                out["block"].append(b"\0" + np.stack([doc[settled], pos[settled], (pos + size)[settled]]).astype("<i8").tobytes())
+                out["block"].append(b"\0" + np.stack([doc[settled], twin[settled], pos[settled], (pos + size)[settled]]).astype("<i8").tobytes())
             left = np.flatnonzero(~settled)
             to = (h[left] % np.uint64(buckets)).astype(np.int64)
             left = left[np.argsort(to, kind="stable")]
@@ -311,17 +312,17 @@ def blocks(docs: DataFrame, buckets: int, spec: SuffixSpec) -> DataFrame:
             for i in np.flatnonzero(np.diff(edge)):
                 own = left[edge[i]:edge[i + 1]]
                 out["bucket"].append(int(i))
-                out["block"].append(b"\1" + _packed(doc[own], pos[own], size[own], tag[own], gathered(b, start[own], size[own])))
+                out["block"].append(b"\1" + _packed(doc[own], twin[own], pos[own], size[own], tag[own], gathered(b, start[own], size[own])))
             yield batch_of(out, ROWS)
-    return docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("bigint"), "text").mapInArrow(run, "bucket int, block binary")
+    return docs.where("doc_id IS NOT NULL").select("doc_id", "text", "twin").mapInArrow(run, "bucket int, block binary")
 
 
-def bucket_spans(raw_blocks: list[bytes], spec: SuffixSpec) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(doc, start, stop) of the bytes that repeat a smaller document, from the blocks of one bucket."""
-    spans = [np.frombuffer(x, "<i8", -1, 1).reshape(3, -1) for x in raw_blocks if x[:1] == b"\0"]
+def bucket_spans(raw_blocks: list[bytes], spec: SuffixSpec) -> tuple[np.ndarray, ...]:
+    """(doc, twin, start, stop) of the bytes that repeat a smaller document, from the blocks of one bucket."""
+    spans = [np.frombuffer(x, "<i8", -1, 1).reshape(4, -1) for x in raw_blocks if x[:1] == b"\0"]
     parts = [_unpacked(x[1:]) for x in raw_blocks if x[:1] == b"\1"]
     if parts:
-        doc, pos, size, tag, b = (np.concatenate(x) for x in zip(*parts))
+        doc, twin, pos, size, tag, b = (np.concatenate(x) for x in zip(*parts))
         start = np.cumsum(size) - size
         order = np.lexsort((doc, tag))
         first = np.append(True, tag[order][1:] != tag[order][:-1])
@@ -330,13 +331,13 @@ def bucket_spans(raw_blocks: list[bytes], spec: SuffixSpec) -> tuple[np.ndarray,
         np.minimum.at(low, group, doc[order])
         np.maximum.at(high, group, doc[order])
         use = np.sort(order[(low < high)[group]])                            # the hash occurs in several documents
-        doc, pos, size, tag = doc[use], pos[use], size[use], tag[use]
+        doc, twin, pos, size, tag = doc[use], twin[use], pos[use], size[use], tag[use]
         if len(use):
             b = gathered(b, start[use], size)
             start = np.cumsum(size) - size
             lead, _ = collapse(b, start, size, doc, pos)
             settled = doc > doc[lead]
-            spans.append(np.stack([doc[settled], pos[settled], (pos + size)[settled]]))
+            spans.append(np.stack([doc[settled], twin[settled], pos[settled], (pos + size)[settled]]))
             reps = np.flatnonzero(lead == np.arange(len(lead)))
             reps = reps[np.lexsort((pos[reps], doc[reps], tag[reps]))]
             group = np.cumsum(np.append(True, tag[reps][1:] != tag[reps][:-1])) - 1
@@ -361,16 +362,16 @@ def bucket_spans(raw_blocks: list[bytes], spec: SuffixSpec) -> tuple[np.ndarray,
                 s, e = s[hit[s]], e[hit[s]]
                 run.append((owner[s], at[s], at[e] + spec.length))
             run = [np.concatenate(x) for x in zip(*run)]
-            spans.append(np.stack([doc[run[0]], pos[run[0]] + run[1], pos[run[0]] + run[2]]))
+            spans.append(np.stack([doc[run[0]], twin[run[0]], pos[run[0]] + run[1], pos[run[0]] + run[2]]))
             if len(run[0]):
-                twin = np.flatnonzero((lead != np.arange(len(lead))) & ~settled)              # equal stretches of the same document share its runs
-                if len(twin):
+                same = np.flatnonzero((lead != np.arange(len(lead))) & ~settled)              # equal stretches of the same document share its runs
+                if len(same):
                     by = np.argsort(run[0], kind="stable")
-                    lo, hi = np.searchsorted(run[0][by], lead[twin], "left"), np.searchsorted(run[0][by], lead[twin], "right")
-                    k = np.repeat(np.arange(len(twin)), hi - lo)
+                    lo, hi = np.searchsorted(run[0][by], lead[same], "left"), np.searchsorted(run[0][by], lead[same], "right")
+                    k = same[np.repeat(np.arange(len(same)), hi - lo)]
                     r = by[np.arange(len(k)) - np.repeat(np.cumsum(hi - lo) - (hi - lo), hi - lo) + np.repeat(lo, hi - lo)]
-                    spans.append(np.stack([doc[twin[k]], pos[twin[k]] + run[1][r], pos[twin[k]] + run[2][r]]))
-    return tuple(np.concatenate(x) for x in zip(*spans)) if spans else (np.empty(0, np.int64),) * 3
+                    spans.append(np.stack([doc[k], twin[k], pos[k] + run[1][r], pos[k] + run[2][r]]))
+    return tuple(np.concatenate(x) for x in zip(*spans)) if spans else (np.empty(0, np.int64),) * 4
 
 
 def merged(start: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -383,36 +384,37 @@ def merged(start: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray]
 
 
 def repeated_spans(docs: DataFrame, spec: SuffixSpec = SuffixSpec()) -> DataFrame:
-    """doc_id, spans: merged byte ranges that repeat a string of a smaller document; one row per
-    document that has any."""
+    """doc_id, twin, spans: merged byte ranges that repeat a string of a smaller document; one row per
+    document that has any. ``docs`` comes from ``told_apart``."""
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(spec.least_buckets, -(-total // spec.bucket_bytes))
 
     def settle(t: pa.Table) -> pa.Table:
-        doc, start, stop = bucket_spans(t["block"].to_pylist(), spec)
-        return pa.Table.from_batches([batch_of({"doc_id": doc, "start": start, "stop": stop}, SPANS)])
+        doc, twin, start, stop = bucket_spans(t["block"].to_pylist(), spec)
+        return pa.Table.from_batches([batch_of({"doc_id": doc, "twin": twin, "start": start, "stop": stop}, SPANS)])
 
-    found = blocks(docs, buckets, spec).groupBy("bucket").applyInArrow(settle, "doc_id bigint, start bigint, stop bigint")
-    lists = found.groupBy("doc_id").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))          # bounded by the document's own length
+    found = blocks(docs, buckets, spec).groupBy("bucket").applyInArrow(settle, "doc_id bigint, twin bigint, start bigint, stop bigint")
+    lists = found.groupBy("doc_id", "twin").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))          # bounded by the document's own length
     kind = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))
 
     def tidy(batches):
         for b in batches:
-            flat = b.column(1).flatten()
-            edge = b.column(1).offsets.to_numpy()
+            flat = b.column(2).flatten()
+            edge = b.column(2).offsets.to_numpy()
             s, e = (flat.field(i).to_numpy() for i in range(2))
             rows = []
             for lo, hi in zip(edge[:-1] - edge[0], edge[1:] - edge[0]):
                 x, y = merged(s[lo:hi], e[lo:hi])
                 rows.append([{"start": i, "stop": j} for i, j in zip(x.tolist(), y.tolist())])
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(rows, kind)], names=["doc_id", "spans"])
-    return lists.mapInArrow(tidy, "doc_id bigint, spans array<struct<start:bigint,stop:bigint>>")
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(rows, kind)], names=["doc_id", "twin", "spans"])
+    return lists.mapInArrow(tidy, "doc_id bigint, twin bigint, spans array<struct<start:bigint,stop:bigint>>")
 
 
 def dedup_bytes(docs: DataFrame, spec: SuffixSpec = SuffixSpec()) -> DataFrame:
     """doc_id, n_bytes, spans, kept (the remaining bytes) of every document."""
-    spans = written(repeated_spans(docs, spec).select(F.col("doc_id").alias("_id"), "spans"), "byte-spans")
-    own = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").join(small_enough(spans, spec.small), F.col("doc_id") == F.col("_id"), "left")
+    docs = told_apart(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text"))
+    spans = written(repeated_spans(docs, spec), "byte-spans")
+    own = docs.join(small_enough(spans, spec.small), ["doc_id", "twin"], "left")
     kind = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))
 
     def run(batches):

@@ -3,7 +3,9 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from tidegate.session import written
 
 SPACE = b" \t\n\x0b\x0c\r"             # what separates words; bytes.split() uses the same six
 WORD = r"[^\x20\x09-\x0D]+"
@@ -34,3 +36,19 @@ def bounded_batches(spark: SparkSession, rows: int = 500) -> None:
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if spark.conf.get(key) == "10000":
         spark.conf.set(key, str(rows))
+
+
+def small_enough(ids: DataFrame, most: int) -> DataFrame:
+    """``ids``, marked for broadcast if it has at most ``most`` rows; a join shuffles it otherwise."""
+    return F.broadcast(ids) if ids.limit(most + 1).count() <= most else ids
+
+
+def told_apart(docs: DataFrame, name: str = "twin", small: int = 500_000) -> DataFrame:
+    """``docs`` and a column ``name`` that tells rows of one doc_id with different texts apart: a hash of
+    the text where the doc_id has several texts, else 0. Rows that repeat doc_id and text stay one document."""
+    mark = F.xxhash64("text")
+    several = (docs.where("doc_id IS NOT NULL").groupBy(F.col("doc_id").cast("bigint").alias("_several"))
+               .agg(F.min(mark).alias("low"), F.max(mark).alias("high")).where("low <> high").select("_several"))
+    held = small_enough(written(several, "several-texts"), small)
+    return (docs.join(held, docs["doc_id"].cast("bigint") == held["_several"], "left")
+            .withColumn(name, F.when(F.col("_several").isNotNull(), mark).otherwise(F.lit(0).cast("bigint"))).drop("_several"))
