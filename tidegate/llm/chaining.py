@@ -9,7 +9,7 @@ earlier document has is found even where its seeds also occur elsewhere. A match
 as the seeds at both ends and the middle of the reach. Matches of two documents are chained in
 order of both positions: a chain gains k per seed and pays ``gap_cost`` per skipped word, the best
 predecessor is a prefix maximum in a Fenwick tree. Chains are cut at long gaps, their words are
-fetched in blocks and aligned between the seeds and beyond the ends; a passage of at least
+fetched in blocks and aligned between the seeds and up to min_words beyond the ends; a passage of at least
 ``min_words`` words in the later document, ``similarity`` of them aligned, is a repeat. An alignment
 that is less alike as a whole gives the parts of it that are.
 
@@ -19,6 +19,7 @@ rows of one doc_id with different texts are documents of their own (only smaller
 """
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right
 from dataclasses import dataclass
 
 import numpy as np
@@ -101,8 +102,16 @@ def minimizers(h: np.ndarray, w: int) -> np.ndarray:
     """Positions of the smallest hash (the first, if tied) of every window of w."""
     if len(h) <= w:
         return np.array([int(h.argmin())]) if len(h) else np.empty(0, np.int64)
-    view = np.lib.stride_tricks.sliding_window_view(h, w)
-    return np.unique(view.argmin(axis=1) + np.arange(len(view)))
+    place, low_bits = np.arange(len(h), dtype=np.uint64), np.uint64((1 << 24) - 1)
+    low, have = (h & ~low_bits) | (place & low_bits), 1                  # the place breaks ties and is read back
+    while 2 * have <= w:
+        low = np.minimum(low[:-have], low[have:])
+        have *= 2
+    if have < w:
+        low = np.minimum(low[:have - w], low[w - have:])
+    place = place[:len(low)]
+    at = (place + ((low - place) & low_bits)).astype(np.int64)
+    return at[np.append(True, at[1:] != at[:-1])]
 
 
 def reach_hashes(words: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
@@ -224,11 +233,18 @@ def straight(at: np.ndarray, dt: np.ndarray, alike: np.ndarray, found: list[tupl
 
 
 PAIR = ["a", "a_twin", "d", "d_twin"]
-CHAINS = pa.schema([*[(n, pa.int64()) for n in PAIR], ("pa", pa.list_(pa.int32())), ("pd", pa.list_(pa.int32()))])
+CHAINS = pa.schema([*[(n, pa.int64()) for n in PAIR], *[(n, pa.list_(pa.int32())) for n in ("size", "ba", "bd")],
+                    ("pa", pa.list_(pa.int32())), ("pd", pa.list_(pa.int32()))])
 
 
 def chained(found: DataFrame, spec: ChainSpec) -> DataFrame:
-    """a, a_twin, d, d_twin, pa, pd: the chains of every pair of documents, streamed pair by pair."""
+    """a, a_twin, d, d_twin, size, ba, bd, pa, pd: the chains of every pair of documents, one after another with
+    their sizes, and the blocks of words that their alignment needs; streamed pair by pair."""
+    def blocks_of(spans: list[np.ndarray]) -> np.ndarray:
+        first = np.array([max(0, x[0] - spec.min_words) for x in spans]) // spec.block
+        n = (np.array([x[-1] for x in spans]) + spec.k + spec.min_words - 1) // spec.block - first + 1
+        return np.unique(np.arange(n.sum()) + np.repeat(first - np.cumsum(n) + n, n))
+
     def close(cols) -> dict | None:
         pair, (at, dt, alike) = cols[:4], cols[4:]
         cut = np.flatnonzero(np.any([x[1:] != x[:-1] for x in pair], axis=0)) + 1
@@ -240,10 +256,12 @@ def chained(found: DataFrame, spec: ChainSpec) -> DataFrame:
             whole = [(x[c], y[c]) for c in chains(x, y, spec)]
             if alike[s:e].any():
                 whole += straight(at[s:e].astype(np.int64), dt[s:e].astype(np.int64), alike[s:e], whole, spec)
-            for u, v in whole:
+            if whole:
                 for n, x in zip(PAIR, pair):
                     out[n].append(x[s])
-                out["pa"].append(u), out["pd"].append(v)
+                u, v = zip(*whole)
+                out["size"].append([len(x) for x in u]), out["ba"].append(blocks_of(u)), out["bd"].append(blocks_of(v))
+                out["pa"].append(np.concatenate(u)), out["pd"].append(np.concatenate(v))
         return out
 
     def run(batches):
@@ -261,7 +279,7 @@ def chained(found: DataFrame, spec: ChainSpec) -> DataFrame:
         if held is not None and len(held[0]):
             yield batch_of(close(held), CHAINS)
     return (found.repartition("a", "d").sortWithinPartitions(*PAIR, "pd", "pa").select(*PAIR, "pa", "pd", "alike")
-            .mapInArrow(run, "a bigint, a_twin bigint, d bigint, d_twin bigint, pa array<int>, pd array<int>"))
+            .mapInArrow(run, "a bigint, a_twin bigint, d bigint, d_twin bigint, size array<int>, ba array<int>, bd array<int>, pa array<int>, pd array<int>"))
 
 
 def word_blocks(docs: DataFrame, spec: ChainSpec) -> DataFrame:
@@ -347,20 +365,72 @@ def passages(xs: int, runs: np.ndarray, spec: ChainSpec) -> list[tuple[int, int]
     return [(int(edge[s]), int(edge[e])) for s, e in parts if edge[e] - edge[s] >= spec.min_words]
 
 
+def agreeing(x: np.ndarray, y: np.ndarray, px: np.ndarray, py: np.ndarray, most: np.ndarray, step: int, width: int) -> np.ndarray:
+    """How many words agree from x[px] and y[py] on in direction ``step``, up to ``most``, at most ``width``."""
+    out = np.empty(len(px), np.int64)
+    k = np.arange(width) * step
+    for i in range(0, len(px), 1 << 13):
+        own = slice(i, i + (1 << 13))
+        same = x[np.clip(px[own, None] + k, 0, len(x) - 1)] == y[np.clip(py[own, None] + k, 0, len(y) - 1)]
+        same &= np.arange(width) < most[own, None]
+        out[own] = np.where(same.all(axis=1), width, same.argmin(axis=1))
+    return out
+
+
+def placed(pos: np.ndarray, blocks: np.ndarray, size: int, block: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Where words ``pos`` of a text are among its fetched ``blocks``, which lie one after another, and
+    where the stretch of adjoining blocks around each begins and ends."""
+    first = np.append(True, np.diff(blocks) != 1)
+    start = np.flatnonzero(first)
+    i = np.searchsorted(blocks, pos // block)
+    run = np.cumsum(first)[i] - 1
+    return i * block + pos % block, start[run] * block, np.append(start[1:] * block, size)[run]
+
+
+def pair_passages(x: np.ndarray, xb: np.ndarray, y: np.ndarray, yb: np.ndarray, at: np.ndarray, dt: np.ndarray, edge: np.ndarray, spec: ChainSpec) -> list[tuple[int, int]]:
+    """Merged word ranges of the later text that repeat the earlier one, from all chains of the pair: x and y
+    are the words of blocks xb and yb, chain i is at[edge[i]:edge[i + 1]] and dt likewise.
+
+    Words that agree beyond a chain's ends count up to ``min_words`` on each side. So a chain that is too short
+    even with them is no repeat, and one whose surroundings are a known repeat up to there adds nothing;
+    both are passed over without an alignment."""
+    px, xlo, xhi = placed(dt, xb, len(x), spec.block)
+    py, ylo, yhi = placed(at, yb, len(y), spec.block)
+    head, tail, more = edge[:-1], edge[1:] - 1, spec.min_words
+    left = agreeing(x, y, px[head] - 1, py[head] - 1, np.minimum(px[head] - xlo[head], py[head] - ylo[head]), -1, more)
+    right = agreeing(x, y, px[tail], py[tail], np.minimum(xhi[tail] - px[tail], yhi[tail] - py[tail]), 1, spec.k + more)
+    words = px[tail] - px[head] + left + right
+    open_ = np.flatnonzero(words >= spec.min_words)
+    order = open_[np.lexsort((scramble(open_.astype(np.uint64)), -(words[open_] // spec.block)))]      # long ones first, else spread over the text
+    starts: list[int] = []
+    stops: list[int] = []
+    for i in order.tolist():
+        s, e = int(head[i]), int(tail[i])
+        known = bisect_right(starts, max(0, int(dt[s]) - more)) - 1
+        if known >= 0 and stops[known] >= int(dt[e]) + spec.k + more:
+            continue
+        x0, y0 = max(int(xlo[s]), int(px[s]) - more), max(int(ylo[s]), int(py[s]) - more)
+        x1, y1 = min(int(xhi[e]), int(px[e]) + spec.k + more), min(int(yhi[e]), int(py[e]) + spec.k + more)
+        xs, _, runs = align(x[x0:x1], y[y0:y1], px[s:e + 1] - x0, py[s:e + 1] - y0)
+        for start, stop in passages(xs + int(dt[s]) - int(px[s]) + x0, runs, spec):
+            f, t = bisect_left(stops, start), bisect_right(starts, stop)
+            if f < t:
+                start, stop = min(start, starts[f]), max(stop, stops[t - 1])
+            starts[f:t], stops[f:t] = [start], [stop]
+    return list(zip(starts, stops))
+
+
 def repeats(docs: DataFrame, spec: ChainSpec = ChainSpec()) -> DataFrame:
-    """doc_id, twin, source_id, start, stop: passages (word numbers) that an earlier document has too. ``docs``
-    comes from ``told_apart``."""
-    found = written(chained(matches(seeds(docs, spec)), spec).withColumn("chain", F.monotonically_increasing_id()), "chains")
-    margin = 2 * spec.w
-    sides = [found.select("chain", F.lit(side).alias("side"), F.col(doc).alias("doc"), F.col(f"{doc}_twin").alias("twin"),
-                          F.greatest(F.lit(0), F.element_at(at, 1) - margin).alias("lo"), (F.element_at(at, -1) + spec.k + margin).alias("hi"))
-             for side, doc, at in ((0, "d", "pd"), (1, "a", "pa"))]
-    wanted = sides[0].unionByName(sides[1]).select(
-        "chain", "side", "doc", "twin", F.explode(F.sequence(F.floor(F.col("lo") / spec.block).cast("int"), F.floor((F.col("hi") - 1) / spec.block).cast("int"))).alias("block"))
+    """doc_id, twin, source_id, start, stop: merged passages (word numbers) that an earlier document has too.
+    ``docs`` comes from ``told_apart``. The words of a pair of documents are fetched once for all its chains,
+    so one row holds at most two texts as word hashes."""
+    found = written(chained(matches(seeds(docs, spec)), spec).withColumn("pair", F.monotonically_increasing_id()), "chains")
+    sides = [found.select("pair", F.lit(side).alias("side"), F.col(doc).alias("doc"), F.col(f"{doc}_twin").alias("twin"), F.explode(f"b{doc}").alias("block"))
+             for side, doc in ((0, "d"), (1, "a"))]
     ids = written(found.select(F.explode(F.array("a", "d")).alias("doc_id")).distinct(), "chain-docs")
     blocks = word_blocks(docs.join(small_enough(ids, spec.small), "doc_id", "left_semi"), spec)
-    fetched = wanted.join(blocks, ["doc", "twin", "block"]).select("chain", "side", "block", "words")
-    parts = fetched.groupBy("chain").agg(F.array_sort(F.collect_set(F.struct("side", "block", "words"))).alias("parts"))       # bounded by the chain's own length
+    fetched = sides[0].unionByName(sides[1]).join(blocks, ["doc", "twin", "block"]).select("pair", "side", "block", "words")
+    parts = fetched.groupBy("pair").agg(F.array_sort(F.collect_set(F.struct("side", "block", "words"))).alias("parts"))       # bounded by the two texts
     schema = pa.schema([("doc_id", pa.int64()), ("twin", pa.int64()), ("source_id", pa.int64()), ("start", pa.int32()), ("stop", pa.int32())])
 
     def flat(col: pa.Array) -> tuple[np.ndarray, pa.Array]:
@@ -370,21 +440,21 @@ def repeats(docs: DataFrame, spec: ChainSpec = ChainSpec()) -> DataFrame:
         for b in batches:
             out = {n: [] for n in schema.names}
             a, d, twin = (b.column(n).to_numpy() for n in ("a", "d", "d_twin"))
-            (cut, at), (_, dt), (edge, got) = flat(b.column("pa")), flat(b.column("pd")), flat(b.column("parts"))
-            at, dt = at.to_numpy(), dt.to_numpy()
-            side, block, words = got.field("side").to_numpy(), got.field("block").to_numpy(), got.field("words")
+            (cut, at), (_, dt), (many, size), (edge, got) = (flat(b.column(n)) for n in ("pa", "pd", "size", "parts"))
+            at, dt, size = (v.to_numpy().astype(np.int64) for v in (at, dt, size))
+            side, block, words = got.field("side").to_numpy(), got.field("block").to_numpy().astype(np.int64), got.field("words")
             byte = np.frombuffer(words.buffers()[1], np.int64 if pa.types.is_large_binary(words.type) else np.int32)[words.offset:words.offset + len(words) + 1]
-            every = np.frombuffer(words.buffers()[2], np.uint32)           # blocks of one chain lie one after another
+            every = np.frombuffer(words.buffers()[2], np.uint32)           # blocks of one pair lie one after another
             for i in range(len(a)):
                 lo, hi = edge[i], edge[i + 1]
                 turn = lo + int(np.searchsorted(side[lo:hi], 1))
-                later, earlier = every[byte[lo] // 4:byte[turn] // 4], every[byte[turn] // 4:byte[hi] // 4]
-                first = int(block[lo]) * spec.block
-                xs, _, runs = align(later, earlier, dt[cut[i]:cut[i + 1]] - first, at[cut[i]:cut[i + 1]] - int(block[turn]) * spec.block)
-                for start, stop in passages(xs + first, runs, spec):
+                ends = np.concatenate([[0], np.cumsum(size[many[i]:many[i + 1]])])
+                for start, stop in pair_passages(every[byte[lo] // 4:byte[turn] // 4], block[lo:turn], every[byte[turn] // 4:byte[hi] // 4], block[turn:hi],
+                                                 at[cut[i]:cut[i + 1]], dt[cut[i]:cut[i + 1]], ends, spec):
                     out["doc_id"].append(d[i]), out["twin"].append(twin[i]), out["source_id"].append(a[i]), out["start"].append(start), out["stop"].append(stop)
             yield batch_of(out, schema)
-    return found.join(parts, "chain").select("a", "d", "d_twin", "pa", "pd", "parts").mapInArrow(run, "doc_id bigint, twin bigint, source_id bigint, start int, stop int")
+    return found.join(parts, "pair").select("a", "d", "d_twin", "size", "pa", "pd", "parts").mapInArrow(
+        run, "doc_id bigint, twin bigint, source_id bigint, start int, stop int")
 
 
 def repeat_spans(docs: DataFrame, spec: ChainSpec = ChainSpec()) -> DataFrame:
