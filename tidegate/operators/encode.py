@@ -44,10 +44,10 @@ def by_model(df: DataFrame, models: list[Column]) -> DataFrame:
 
 
 def scaled(long: DataFrame, moments: DataFrame, column: str) -> DataFrame:
-    """Add <column>_scaled from the model's training moments (fifteen rows, so Spark broadcasts them)."""
+    """Add <column>_scaled from the model's training moments: one row per model, broadcast, so the long form is never shuffled."""
     m = moments.where(F.col("column") == column).select("model", F.col("mean").alias("_m"), F.col("std").alias("_s"))
     scale = F.when(F.col("_s") > 0, F.col("_s")).otherwise(1.0)
-    return long.join(m, "model").withColumn(f"{column}_scaled", (F.col(column) - F.col("_m")) / scale).drop("_m", "_s")
+    return long.join(F.broadcast(m), "model").withColumn(f"{column}_scaled", (F.col(column) - F.col("_m")) / scale).drop("_m", "_s")
 
 
 def leak_guard(long: DataFrame, moments: DataFrame, columns: list[str], tolerance: float = 1e-12) -> DataFrame:

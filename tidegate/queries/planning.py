@@ -70,7 +70,8 @@ FOLDED = DIRTY_LINE + ", " + folds_sql("dirty", "folded", "label") + ", " + _mod
   count(*) FILTER (l_discount IS NULL) AS filled FROM long JOIN s USING (r, f) GROUP BY ALL""")
 def impute_in_fold(spark: SparkSession, sf: str) -> DataFrame:
     df = held(fixed_folds(dirty_line(spark, sf)[0], F.col("label"), ROW))
-    long = E.by_model(df, training_sets()).join(E.fold_medians(df, "l_discount", training_sets()), "model")
+    medians = F.broadcast(E.fold_medians(df, "l_discount", training_sets()))          # one row per model
+    long = E.by_model(df, training_sets()).join(medians, "model")
     return long.groupBy("model", (~F.col("in_train")).alias("is_test"), F.round("median", 6).alias("median")).agg(
         F.round(F.avg(F.coalesce("l_discount", "median")), 8).alias("mean_after"), F.count_if(F.col("l_discount").isNull()).alias("filled"))
 
