@@ -192,8 +192,9 @@ def detection_precision_recall(spark: SparkSession, sf: str) -> DataFrame:
     df, key = dirty_line(spark, sf)
     findings = held(detect(df, "label", ROW))
     code = findings.where("defect = 'sentinel' AND column = 'l_quantity'").select(F.col("detail")["value"].cast("double").alias("v"))
-    by_code = df.join(code, df["l_quantity"] == code["v"]).select(F.lit("l_quantity").alias("column"), F.col(ROW).alias("row_id"))
-    canon = spelling_groups(df, ["l_returnflag"]).select("key", "canonical")
+    by_code = df.join(F.broadcast(code), df["l_quantity"] == code["v"]).select(F.lit("l_quantity").alias("column"), F.col(ROW).alias("row_id"))
+    canon = held(spelling_groups(df, ["l_returnflag"]).select("key", "canonical"))
+    canon.count()         # kept and counted, so Spark knows its size and sends a small one to the rows, not all rows to a few keys
     by_form = df.withColumn("key", norm_key(F.col("l_returnflag"))).join(canon, "key").where("l_returnflag <> canonical").select(
         F.lit("l_returnflag").alias("column"), F.col(ROW).alias("row_id"))
     out = C.detection_check(findings, key.where("defect_id <> 'price_units'"), by_code.unionByName(by_form))
