@@ -75,3 +75,51 @@ def test_group_key_has_no_collisions(spark):
     from tidegate.operators.folds import group_key
     rows = [("a|b", "c"), ("a", "b|c"), (None, "x"), ("<NA>", "x"), ("-", "x"), ("1:a", None), ("1", "a"), ("", "1:a")]
     assert spark.createDataFrame(rows, "x string, y string").select(group_key(["x", "y"])).distinct().count() == len(rows)
+
+
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_ranges_and_medians_meet_values_without_a_shuffle(spark):
+    """A local table has no known size; without a hint all values were sorted and shuffled to a handful of keys."""
+    from tidegate.functions.quantiles import _in_range, _long, _Target
+    from tidegate.operators.encode import scaled
+    df = spark.range(100).select(F.col("id").cast("double").alias("v"), F.lit(0).alias("model"))
+    near = _in_range(_long(df, [Ask("q", F.col("v"))]), [(0, 0, _Target(3, 0.0, 50.0, 0, 51))], {0: (0.0, 99.0)})
+    moments = spark.createDataFrame([(0, "v", 100, 49.5, 28.9)], "model int, column string, n bigint, mean double, std double")
+    for d, rows in ((near, 51), (scaled(df, moments, "v"), 100)):
+        assert "SortMergeJoin" not in _plan(d) and d.count() == rows
+
+
+@pytest.mark.parametrize("group_rows", [4096, 4])
+def test_only_the_last_prefix_of_a_draw_leaves_the_scan(spark, monkeypatch, group_rows):
+    """Null ids are in no draw's order, null conditions are not eligible; the rows are ranked after a filter, not after a join."""
+    monkeypatch.setattr(hashing, "GROUP_ROWS", group_rows)
+    rows = [(i, None if i % 7 == 0 else i % 2 == 0) for i in range(700)]
+    df = spark.createDataFrame(rows, "rid bigint, ok boolean")
+    plans = []
+    collect = type(df).collect
+    monkeypatch.setattr(type(df), "collect", lambda self: plans.append(_plan(self)) or collect(self))
+    cut = draw_cuts(df, "rid", [Draw("a", "s", 0.2, F.col("ok"))])["a"]
+    monkeypatch.undo()
+    order = sorted((hashlib.md5(f"s:{i}".encode()).hexdigest(), i) for i, ok in rows if ok)
+    assert cut.eligible == len(order) and cut.rows == round(0.2 * len(order)) and (cut.hash, cut.row_id) == order[cut.rows - 1]
+    assert "Join" not in plans[-1]
+
+
+def test_scores_of_counted_rows_are_the_scores_of_the_rows(spark):
+    from tidegate.plans.rate_table import rate_scores
+    df = spark.createDataFrame([(i % 4 if i % 9 else None, int(i % 3 == 0), i % 5, (i // 5) % 5) for i in range(600)],
+                               "b int, y int, fold_0 int, fold_1 int")
+    counted = df.groupBy("b", "y", "fold_0", "fold_1").agg(F.count("*").alias("k"))
+    key = lambda d: sorted((r["repeat"], r["fold"], round(r["neg_brier"], 9), round(r["f1"], 9), r["n_train"], r["n_test"]) for r in d.collect())
+    assert key(rate_scores(counted, F.col("b"), F.col("y"), 5, 2, F.col("k"))) == key(rate_scores(df, F.col("b"), F.col("y"), 5, 2))
+
+
+def test_folded_rows_are_read_once_for_all_scores(spark, sf, monkeypatch):
+    from tidegate.queries import evaluation
+    read = []
+    monkeypatch.setattr(evaluation, "rate_scores", lambda df, *a, _f=evaluation.rate_scores: read.append(df.columns) or _f(df, *a))
+    assert evaluation._scored(spark, sf).count() == 45
+    assert len(read) == 3 and all("rid" not in c and "n" in c for c in read)

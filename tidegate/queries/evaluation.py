@@ -87,17 +87,22 @@ SCORES += ", clean0 AS (SELECT d.rid, d.label, fold_0, fold_1, fold_2, CASE WHEN
 
 
 def _scored(spark: SparkSession, sf: str) -> DataFrame:
-    """Scores of three versions of one table: the raw column, a band of its repaired form, another column."""
-    df = held(fixed_folds(dirty_line(spark, sf)[0], F.col("label"), ROW))
+    """Scores of three versions of one table: the raw column, a band of its repaired form, another column.
+
+    The folded table is read once: its rows are counted by all that the scores look at, and every score starts from the counts.
+    """
+    used = ["label", "l_quantity", "l_discount"]
+    df = fixed_folds(dirty_line(spark, sf)[0].select(ROW, *used), F.col("label"), ROW)
+    df = held(df.groupBy(*used, *[f"fold_{r}" for r in range(K.CV_REPEATS)]).agg(F.count("*").alias("n")))
     y = (F.col("label") == "hi").cast("int")
     args = (y, K.CV_FOLDS, K.CV_REPEATS)
     q = F.when(F.col("l_quantity") == 9999, 25.5).otherwise(F.col("l_quantity"))
     parts = {"base": F.col("l_quantity"), "cand": F.floor(q / 5), "blank": F.coalesce("l_discount", F.lit(-1.0))}
     out = None
     for k, bucket in parts.items():
-        s = rate_scores(df, bucket, *args).withColumn("state", F.lit(k))
+        s = rate_scores(df, bucket, *args, F.col("n")).withColumn("state", F.lit(k))
         out = s if out is None else out.unionByName(s)
-    return out
+    return held(out)          # one row per state and fold
 
 
 ALL_STATES = " UNION ALL ".join(f"SELECT '{k}' AS state, * FROM {k}" for k in ("base", "cand", "blank"))
