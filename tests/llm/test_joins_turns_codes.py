@@ -300,3 +300,36 @@ def replace_rows(book):
 def test_spec_is_bounded(spark):
     with pytest.raises(ValueError):
         codes.compress(spark.createDataFrame([], "vec_id bigint, embedding array<float>, label int"), spec=replace(codes.CodeSpec(), entries=300))
+
+
+def test_small_link_tables_are_few_files_and_lists_are_shuffled_once(spark, monkeypatch):
+    from pyspark.sql import functions as F
+    from tidegate import session
+    from tidegate.llm import components as parts
+    made = []
+
+    def kept(df, name):
+        out = session.written(df, name)
+        made.append((name, len(out.inputFiles()), df))
+        return out
+    monkeypatch.setattr(parts, "written", kept)
+    monkeypatch.setattr(jaccard, "written", kept)
+    old = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    shuffles = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "64")
+    try:
+        links = spark.range(300).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
+        got = {r.node: r.root for r in parts.components(links, "a", "b", 300).collect()}
+        assert got == {i: 0 for i in range(301)}
+        cores = spark.sparkContext.defaultParallelism
+        assert max(files for name, files, _ in made if name == "small-star") <= cores
+        rng = random.Random(5)
+        words = [f"v{i}" for i in range(80)]
+        rows = [(i, _near(rng, words, words, i % 4)) for i in range(12)]
+        assert _joined(spark, rows) == _classes(rows)
+        lists = next(df for name, _, df in made if name == "jaccard-lists")
+        assert lists._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0].count("Exchange hashpartitioning(token") == 1
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", shuffles)
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", old)

@@ -11,7 +11,7 @@ dropped without its texts, and no similar one ever is. The other pairs are check
 small and large is the size at which enumerating and scanning together cost the least, counted on all sets.
 
 Short lists are compared at once. Longer ones are settled in rounds of leaders: the first compares
-one leader with all, every later one four times as many, only between sets that are not
+one leader with all, every later one ``step`` times as many, only between sets that are not
 yet linked, and as soon as the pairs that are left are few against all rows, all of them. A list ends when its members are
 linked or have been compared, so none is capped, and a group of near copies costs pairs in proportion to it.
 
@@ -33,12 +33,12 @@ from math import comb
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window as W, functions as F
 
 from tidegate.llm.chaining import kmer_hashes, scramble, small_enough, word_hashes
 from tidegate.llm.components import components
 from tidegate.llm.text import as_bytes, batch_of
-from tidegate.session import written
+from tidegate.session import few_files, written
 
 
 @dataclass(frozen=True)
@@ -50,6 +50,7 @@ class JoinSpec:
     most_keys: int = 2_000         # subsets of one set up to which a size may count as small
     check_cost: int = 30           # a checked pair against an emitted row, for the boundary
     short: int = 4                 # members of a list that is compared at once
+    step: int = 16                 # leaders of a round against those of all before
     close: int = 4                 # pairs per row of all lists up to which the rest is compared at once
     small: int = 500_000           # rows of an id table that may be broadcast
 
@@ -250,20 +251,30 @@ def may_be_similar(pairs: DataFrame, marks: DataFrame, spec: JoinSpec) -> DataFr
 
 def checked(pairs: DataFrame, marks: DataFrame, docs: DataFrame, nodes: DataFrame, spec: JoinSpec) -> DataFrame:
     """The rows of ``pairs`` (x, y) that are similar, those known to be linked left out."""
-    some = written(may_be_similar(pairs, marks, spec), "jaccard-close")
-    ids = written(some.select(F.explode(F.array("x", "y")).alias("node")).distinct(), "jaccard-ids")
-    return written(similar(some, texts_of(docs, nodes, ids, spec), spec), "jaccard-links")
+    some = written(few_files(may_be_similar(pairs, marks, spec), pairs.count()), "jaccard-close")
+    most = some.count()
+    ids = written(few_files(some.select(F.explode(F.array("x", "y")).alias("node")).distinct(), 2 * most), "jaccard-ids")
+    return written(few_files(similar(some, texts_of(docs, nodes, ids, spec), spec), most), "jaccard-links")
 
 
-def with_roots(sets: DataFrame, links: DataFrame | None, spec: JoinSpec) -> DataFrame:
-    """``sets`` with root, the smallest node that ``links`` (x, y) reach."""
-    if links is None:
+def with_roots(sets: DataFrame, roots: DataFrame | None, spec: JoinSpec) -> DataFrame:
+    """``sets`` with root, the smallest node that links reach; ``roots`` (node, root) has the linked nodes."""
+    if roots is None:
         return sets.withColumn("root", F.col("node"))
-    roots = written(components(links, "x", "y"), "jaccard-roots").withColumnRenamed("node", "_node")
-    return sets.join(small_enough(roots, spec.small), F.col("node") == F.col("_node"), "left").select(
+    return sets.join(small_enough(roots.withColumnRenamed("node", "_node"), spec.small), F.col("node") == F.col("_node"), "left").select(
         *sets.columns, F.coalesce("root", "node").alias("root"))
 
 
+def joined_roots(roots: DataFrame | None, links: DataFrame | None) -> DataFrame | None:
+    """node, root of what ``links`` (x, y) and the links behind ``roots`` reach together; None where nothing is linked."""
+    new = 0 if links is None else links.count()
+    if not new:
+        return roots
+    most = new + (0 if roots is None else roots.count())
+    every = links if roots is None else links.unionByName(roots.select(F.col("node").alias("x"), F.col("root").alias("y")))
+    return written(few_files(components(every, "x", "y", most), 2 * most), "jaccard-roots")
+
+
 def similar(pairs: DataFrame, texts: DataFrame, spec: JoinSpec) -> DataFrame:
     """The rows of ``pairs`` (x, y) whose whole texts (node, text) are similar enough."""
     schema = pa.schema([("x", pa.int64()), ("y", pa.int64())])
@@ -285,42 +296,44 @@ def similar(pairs: DataFrame, texts: DataFrame, spec: JoinSpec) -> DataFrame:
 
 
 def scan_links(sets: DataFrame, docs: DataFrame, nodes: DataFrame, most: int, known: DataFrame | None, spec: JoinSpec) -> DataFrame | None:
-    """x, y: ``known`` links and those of the pairs in the inverted lists of ``sets`` with a set of more
-    than ``most``; their closure is the closure of all similar pairs."""
-    marks = with_roots(sets, known, spec)
-    rows = scanned(marks, spec)
-    shared = rows.groupBy("token").agg(F.count("*").alias("members"), F.min("node").alias("lead"), F.min("root").alias("_low"), F.max("root").alias("_high"))
-    lists = written(rows.join(shared.where("_low < _high").select("token", "members", "lead"), "token"), "jaccard-lists")
+    """node, root of all nodes that ``known`` links (x, y) and those of the pairs in the inverted lists of ``sets`` with a set
+    of more than ``most`` connect: the closure of all similar pairs. None where nothing is linked.
+
+    Rows of lists are shuffled once: a window over each token counts its list, so no second copy of them is grouped."""
+    roots = joined_roots(None, known)
+    marks = with_roots(sets, roots, spec)
+    own = W.partitionBy("token")
+    shared = scanned(marks, spec).withColumns({"members": F.count("*").over(own), "lead": F.min("node").over(own),
+                                               "_low": F.min("root").over(own), "_high": F.max("root").over(own)})
+    lists = written(shared.where("_low < _high").drop("_low", "_high"), "jaccard-lists")
     facts = lists.agg(F.count("*").alias("rows"), F.max("members").alias("longest")).first()
-    links, led = known, 0
+    led, most_pairs = 0, None
     while facts["rows"] and (led == 0 or facts["longest"] > led):
         if led == 0:                               # short lists at once, of the others one leader
             live = lists.withColumn("both", F.col("members") <= spec.short)
             first, ends = F.col("both") | (F.col("node") == F.col("lead")), spec.short
         else:
-            live = _unsettled(lists.where(F.col("members") > led).drop("root"), links, spec)
+            live = _unsettled(lists.where(F.col("members") > led).drop("root"), facts["rows"], roots, spec)
             left = live.agg(F.count("*").alias("rows"), F.sum((F.col("left") - 1) / 2).alias("pairs")).first()
             if not left["rows"]:
                 break
             whole = left["pairs"] <= spec.close * facts["rows"]
             live = live.withColumn("both", F.lit(whole))
-            ends = facts["longest"] if whole else 4 * led
+            ends = facts["longest"] if whole else spec.step * led
+            most_pairs = 2 * left["pairs"]         # a leader meets a member from either side
             turn = F.pmod(F.xxhash64("node"), F.lit(1 << 30)) / F.lit(1 << 30) * F.col("members")
             first = F.lit(whole) | ((turn >= (led if led > spec.short else 0)) & (turn < ends))
-        pairs = written(list_pairs(live.where(first), live, most, spec), "jaccard-pairs")
-        found = checked(pairs, marks, docs, nodes, spec)
-        links = found if links is None else links.unionByName(found)
+        pairs = written(few_files(list_pairs(live.where(first), live, most, spec), most_pairs), "jaccard-pairs")
+        roots = joined_roots(roots, checked(pairs, marks, docs, nodes, spec))
         led = ends
-    return links
+    return roots
 
 
-def _unsettled(lists: DataFrame, links: DataFrame, spec: JoinSpec) -> DataFrame:
-    """The lists whose members are not all linked yet, with each member's root and the list's length (left)."""
-    roots = written(components(links, "x", "y"), "jaccard-roots").withColumnRenamed("node", "_node")
-    rooted = lists.join(small_enough(roots, spec.small), F.col("node") == F.col("_node"), "left").select(
-        *lists.columns, F.coalesce("root", "node").alias("root"))
-    spans = rooted.groupBy("token").agg(F.count("*").alias("left"), F.min("root").alias("_low"), F.max("root").alias("_high"))
-    return written(rooted.join(spans.where("_low < _high").select("token", "left"), "token"), "jaccard-live")
+def _unsettled(lists: DataFrame, most: int, roots: DataFrame | None, spec: JoinSpec) -> DataFrame:
+    """Of ``lists``, which have ``most`` rows at most, those whose members are not all linked yet, with each member's root and the list's length (left)."""
+    own = W.partitionBy("token")
+    spans = with_roots(lists, roots, spec).withColumns({"left": F.count("*").over(own), "_low": F.min("root").over(own), "_high": F.max("root").over(own)})
+    return written(few_files(spans.where("_low < _high").drop("_low", "_high"), most), "jaccard-live")
 
 
 def texts_of(docs: DataFrame, nodes: DataFrame, ids: DataFrame, spec: JoinSpec) -> DataFrame:
@@ -344,12 +357,12 @@ def set_nodes(docs: DataFrame, spec: JoinSpec, limit: int, simhash: bool = False
     return rows, nodes, written(named.select("node", "n", "tokens", "sketch", "fp"), "jaccard-sets")
 
 
-def classes_of(nodes: DataFrame, links: DataFrame | None) -> DataFrame:
-    """_key, component_id and first_mark of every node: the smallest doc_id that ``links`` (x, y) reach, and its text's mark."""
-    if links is None:
+def classes_of(nodes: DataFrame, roots: DataFrame | None) -> DataFrame:
+    """_key, component_id and first_mark of every node: the smallest doc_id among the nodes of its root in ``roots`` (node, root), and its text's mark."""
+    if roots is None:
         return nodes.select(F.col("key").alias("_key"), F.col("first_id").alias("component_id"), F.col("mark").alias("first_mark"))
-    roots = written(components(links, "x", "y"), "jaccard-roots").withColumnRenamed("node", "_node")
-    classed = nodes.join(roots, F.col("node") == F.col("_node"), "left").select("key", "first_id", "mark", F.coalesce("root", "node").alias("root"))
+    classed = nodes.join(roots.withColumnRenamed("node", "_node"), F.col("node") == F.col("_node"), "left").select(
+        "key", "first_id", "mark", F.coalesce("root", "node").alias("root"))
     least = classed.groupBy("root").agg(F.min(F.struct(F.col("first_id").isNull().alias("none"), "first_id", "mark")).alias("first"))
     return classed.join(least, "root").select(F.col("key").alias("_key"), F.col("first.first_id").alias("component_id"), F.col("first.mark").alias("first_mark"))
 
@@ -361,7 +374,7 @@ def link(docs: DataFrame, spec: JoinSpec = JoinSpec()) -> DataFrame:
     known = None
     if most:
         known = written(subset_links(sets, most, spec).select(F.col("a").alias("x"), F.col("b").alias("y")), "jaccard-subsets")
-    links = scan_links(sets.where(F.col("n") >= spec.partners(most + 1)[0]), docs, nodes, most, known, spec)
-    found = rows.join(classes_of(nodes, links), F.col("key") == F.col("_key"), "left")
+    roots = scan_links(sets.where(F.col("n") >= spec.partners(most + 1)[0]), docs, nodes, most, known, spec)
+    found = rows.join(classes_of(nodes, roots), F.col("key") == F.col("_key"), "left")
     return found.select("doc_id", F.col("n").cast("bigint").alias("n_shingles"),
                         F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))

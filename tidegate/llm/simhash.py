@@ -216,7 +216,7 @@ def covered_links(sets: DataFrame, docs: DataFrame, nodes: DataFrame, spec: jacc
     same = sets.join(firsts, "fp").where("node <> lead").select(F.col("lead").alias("x"), F.col("node").alias("y"))
     of = lambda c, n: firsts.select(F.col("fp").alias(c), F.col("lead").alias(n))
     near = near_links(firsts.select("fp"), radius).join(of("a", "p"), "a").join(of("b", "q"), "b")
-    pairs = same.unionByName(near.select(F.least("p", "q").alias("x"), F.greatest("p", "q").alias("y"))).distinct()
+    pairs = written(same.unionByName(near.select(F.least("p", "q").alias("x"), F.greatest("p", "q").alias("y"))).distinct(), "simhash-pairs")
     return jaccard.checked(pairs, jaccard.with_roots(sets, None, spec), docs, nodes, spec)
 
 
@@ -232,8 +232,8 @@ def near_copies(docs: DataFrame, similarity: float = 0.8, radius: int = 4) -> Da
     docs = docs.where("doc_id IS NOT NULL")
     spec = jaccard.JoinSpec(width=5, percent=round(100 * similarity))
     rows, nodes, sets = jaccard.set_nodes(docs, spec, 0, simhash=True)
-    links = jaccard.scan_links(sets, docs, nodes, 0, covered_links(sets, docs, nodes, spec, radius), spec)
-    every = written(rows.join(jaccard.classes_of(nodes, links), F.col("key") == F.col("_key")).select("doc_id", "mark", "component_id", "first_mark"), "near-copies")
+    roots = jaccard.scan_links(sets, docs, nodes, 0, covered_links(sets, docs, nodes, spec, radius), spec)
+    every = written(rows.join(jaccard.classes_of(nodes, roots), F.col("key") == F.col("_key")).select("doc_id", "mark", "component_id", "first_mark"), "near-copies")
     own = (F.col("doc_id") == F.col("component_id")) & (F.col("mark") == F.col("first_mark"))
     groups = every.where(~own).select(F.col("component_id").alias("_id"), F.col("first_mark").alias("_mark")).distinct()
     return every.join(groups, (F.col("component_id") == F.col("_id")) & (F.col("first_mark") == F.col("_mark")), "left_semi")
