@@ -252,9 +252,8 @@ def may_be_similar(pairs: DataFrame, marks: DataFrame, spec: JoinSpec) -> DataFr
 def checked(pairs: DataFrame, marks: DataFrame, docs: DataFrame, nodes: DataFrame, spec: JoinSpec) -> DataFrame:
     """The rows of ``pairs`` (x, y) that are similar, those known to be linked left out."""
     some = written(few_files(may_be_similar(pairs, marks, spec), pairs.count()), "jaccard-close")
-    most = some.count()
-    ids = written(few_files(some.select(F.explode(F.array("x", "y")).alias("node")).distinct(), 2 * most), "jaccard-ids")
-    return written(few_files(similar(some, texts_of(docs, nodes, ids, spec), spec), most), "jaccard-links")
+    ids = written(few_files(some.select(F.explode(F.array("x", "y")).alias("node")).distinct(), 2 * some.count()), "jaccard-ids")
+    return written(similar(some, texts_of(docs, nodes, ids, spec), spec), "jaccard-links")        # whole texts: as many tasks as there are
 
 
 def with_roots(sets: DataFrame, roots: DataFrame | None, spec: JoinSpec) -> DataFrame:
