@@ -462,3 +462,35 @@ def test_pipeline(spark, sf):
         seen.append(docs.count())
     assert seen == sorted(seen, reverse=True) and seen[-1] > 100 and "k_text" in docs.columns
     assert docs.groupBy("text").count().where("count > 1").count() == 0
+
+
+def test_chaining_helpers_agree_with_plain_loops():
+    """The helpers of op9 that count words and sort matches without building arrays per step."""
+    rng = np.random.default_rng(5)
+    spec = chaining.ChainSpec()
+    for _ in range(200):
+        same = rng.random(rng.integers(0, 6)) < 0.6
+        assert chaining.leading(same) == next((i for i, s in enumerate(same) if not s), len(same))
+        n = int(rng.integers(1, 30))
+        order = sorted({(int(d), int(a)) for d, a in rng.integers(0, 120, (n, 2))})
+        dt, at = (np.array(c, np.int64) for c in zip(*order))
+        alike = rng.random(len(at)) < 0.4
+        last, plain = spec.reach - spec.k, set(order)
+        for i in np.flatnonzero(alike):
+            ahead = i + 1 < len(at) and dt[i + 1] - dt[i] <= last and at[i + 1] - at[i] == dt[i + 1] - dt[i]
+            if not ahead:
+                plain |= {(int(dt[i] + x), int(at[i] + x)) for x in (last // 2, last)}
+        got_at, got_dt = chaining.spread(at, dt, alike, spec)
+        assert list(zip(got_dt.tolist(), got_at.tolist())) == sorted(plain)
+        blocks = np.array(sorted(set(rng.integers(0, 12, 5).tolist())))
+        pos = rng.choice(blocks, 4) * 64 + rng.integers(0, 64, 4)
+        size = len(blocks) * 64 - 10
+        held = blocks.tolist()
+        for p, i, low, high in zip(pos, *chaining.placed(pos, blocks, size, 64)):
+            k = held.index(p // 64)
+            first = last_ = k
+            while first and held[first - 1] == held[first] - 1:
+                first -= 1
+            while last_ + 1 < len(held) and held[last_ + 1] == held[last_] + 1:
+                last_ += 1
+            assert (i, low, high) == (k * 64 + p % 64, first * 64, size if last_ == len(held) - 1 else (last_ + 1) * 64)
