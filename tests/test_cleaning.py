@@ -188,3 +188,43 @@ def test_model_queries_do_the_whole_job(spark, sf, monkeypatch):
     assert len(columns) == 3 and a.df.where(" OR ".join(f"{c} IS NULL" for c in columns)).count()
     assert all(a.df.where(F.col(c).isNull()).count() for c in columns)
     assert inspect.signature(models.evaluate_forest).parameters["depth"].default == 30
+
+
+def test_spelling_keys_are_made_from_the_histogram(spark):
+    """One key a value, not one a row: no condition on the key is pushed below the counts. Labels without a key are left out."""
+    from tidegate.operators.detect import spelling_groups
+    from tidegate.operators.repair import spelling_table
+    df = spark.createDataFrame([("a-b",), ("A B",), ("a-b",), ("--",), ("é",), (None,)], "c string")
+    for out, key in ((spelling_groups(df, ["c"]), "canonical"), (spelling_table(df, "c", [None]), "form")):
+        plan = out._jdf.queryExecution().optimizedPlan().toString().splitlines()
+        below = plan[max(i for i, x in enumerate(plan) if "Aggregate [" in x) + 1:]
+        assert below and "regexp_replace" in "".join(plan) and "regexp_replace" not in "".join(below)
+        assert [(r["key"], r[key]) for r in out.collect()] == [("ab", "a-b")]
+
+
+def test_right_spellings_stay(spark):
+    from tidegate.operators.repair import repaired
+    df = spark.createDataFrame([(0, "A-b"), (1, "a b"), (2, "x"), (3, None), (4, "É"), (5, "y!")], "i int, c string")
+    forms = {"ab": "A-b", "x": "y!", "é": "É"}                       # "x" becomes "y!", whose own key is another one
+    got = df.select("i", repaired("normalize_categories", F.col("c"), {"forms": forms}).alias("c")).orderBy("i").collect()
+    assert [r["c"] for r in got] == ["A-b", "A-b", "y!", None, "É", "y!"]
+
+
+def test_preview_joins_once(spark):
+    from tidegate.operators import compare as C
+    before = spark.createDataFrame([(i, float(i % 5), "u") for i in range(300)] + [(7, 2.0, "twice"), (None, 1.0, "v")], "rid int, x double, t string")
+    after = before.where("rid IS NULL OR rid <> 11").withColumn("x", F.when(F.col("x") == 3, 0.0).otherwise(F.col("x")))
+    rows = C.preview(before, after, "rid", ["x", "t"], 5).collect()
+    both = [(a, b) for a in before.collect() for b in after.collect() if a["rid"] is not None and a["rid"] == b["rid"]]
+    changed = sum(a["x"] != b["x"] or a["t"] != b["t"] for a, b in both)
+    assert {(r["n_changed_rows"], r["rows_dropped"]) for r in rows} == {(changed, before.count() - len(both))}
+    assert [r["rid"] for r in rows] == sorted(a["rid"] for a, b in both if a["x"] != b["x"] or a["t"] != b["t"])[:5] and all(r["changed_cells"] for r in rows)
+    assert C.preview(before.where("rid > 999"), after.where("rid > 999"), "rid", ["x"]).collect() == []
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("double")
+    def counted(x):
+        seen.add(1)
+        return x
+    C.preview(before, after.withColumn("x", counted("x")), "rid", ["x"], 5).collect()
+    assert seen.value <= after.count()                                                 # one job reads the join
