@@ -332,6 +332,20 @@ def test_passages_whose_seeds_occur_elsewhere(spark):
     assert list(got) == [len(texts) - 1] and got[len(texts) - 1][0][0] <= 70 and got[len(texts) - 1][0][1] >= 126
 
 
+def test_exact_cosines_hold_few_pairs_at_a_time():
+    """Many pairs pass the bounds of a full block of queries; gathered at once their vectors would take 2 x 120 MB here."""
+    import tracemalloc
+    rng = np.random.default_rng(2)
+    q, v = rng.standard_normal((50, 300)), rng.standard_normal((70, 300))
+    qi, vi = rng.integers(0, 50, 50_000), rng.integers(0, 70, 50_000)
+    tracemalloc.start()
+    got = ann.cosines(q, ann.norms(q), v, ann.norms(v), qi, vi, 30_000)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 10 << 20
+    assert np.allclose(got, ((q / ann.norms(q)[:, None]) @ (v / ann.norms(v)[:, None]).T)[qi, vi], atol=1e-12)
+
+
 def test_alike_parts_of_an_alignment():
     score = [3, -5, 4, -1, 2, -9, 1, 1]
     assert chaining.heavy_parts(score) == [(0, 1), (2, 5), (6, 7), (7, 8)] or chaining.heavy_parts(score) == [(0, 1), (2, 5), (6, 8)]

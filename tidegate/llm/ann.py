@@ -34,7 +34,8 @@ class AnnSpec:
     centre_rows: int = 4096           # sample for the centre, the first by hash of the id; it moves no result beyond the bounds
     block_bytes: int = 32 << 20       # of one block of queries in double precision
     rows: int = 4096                  # candidates compared with a block at a time
-    cells: int = 8 << 20              # query-candidate estimates held at a time
+    cells: int = 2 << 20              # query-candidate estimates held at a time
+    exact: int = 1 << 20              # numbers of one side of the pairs scored exactly at a time
     seed: int = 11
 
 
@@ -86,6 +87,15 @@ def build_index(clean: DataFrame, dim: int, spec: AnnSpec) -> tuple[DataFrame, n
     return clean.mapInArrow(run, "id bigint, vec array<double>, code binary, length double, f double"), centre
 
 
+def cosines(q: np.ndarray, qn: np.ndarray, v: np.ndarray, vn: np.ndarray, qi: np.ndarray, vi: np.ndarray, most: int) -> np.ndarray:
+    """The cosine of every pair (q[qi], v[vi]) of vectors with lengths qn and vn; at most ``most`` numbers of each side are gathered at a time."""
+    out, step = np.empty(len(qi)), max(1, most // q.shape[1])
+    for at in range(0, len(qi), step):
+        a, b = qi[at:at + step], vi[at:at + step]
+        out[at:at + step] = np.einsum("ij,ij->i", q[a], v[b]) / (qn[a] * vn[b])
+    return out
+
+
 def _scan(ids: np.ndarray, queries: np.ndarray, centre: np.ndarray, spec: AnnSpec):
     dim = queries.shape[1]
     schema = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
@@ -123,7 +133,7 @@ def _scan(ids: np.ndarray, queries: np.ndarray, centre: np.ndarray, spec: AnnSpe
                     qi, vi = np.nonzero((est + slack.astype(np.float32) >= bar[:, None].astype(np.float32) - 1e-6) & (est > -np.inf))
                     if not len(qi):
                         continue
-                    score = np.einsum("ij,ij->i", q[own][qi], v[vi]) / (qn[own][qi] * vn[vi])
+                    score = cosines(q[own], qn[own], v, vn, qi, vi, spec.exact)
                     rows = np.concatenate([np.repeat(np.arange(len(est)), spec.k), qi])
                     all_s = np.concatenate([best[own].ravel(), score])
                     all_i = np.concatenate([best_id[own].ravel(), vid[vi]])
